@@ -85,7 +85,7 @@ def strip_statement(sentence: Column) -> Column:
 
 def phrase_pattern(phrase: Column) -> Column:
     """A pattern for the phrase as whole words, however they are spaced."""
-    escaped = F.regexp_replace(squeezed(phrase), r"([^\p{L}\p{N}\s_])", r"\\\\$1")
+    escaped = F.regexp_replace(squeezed(phrase), r"([^\p{L}\p{N}\s_])", r"\\$1")
     return F.concat(F.lit(r"(?iU)(?<!\w)"), F.replace(escaped, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))
 
 
@@ -127,3 +127,8 @@ def density_signals(text: Column) -> Column:
 
 def density_score(text: Column, tokens: Column) -> Column:
     return F.when(tokens > 0, F.least(density_signals(text) / tokens / F.lit(0.5), F.lit(1.0))).otherwise(F.lit(0.0))
+
+
+def seconds(ts: Column) -> Column:
+    """A timestamp of either kind as seconds."""
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import seconds
+
 
 def by_seq():
     return Window.partitionBy("client_session").orderBy("seq")
@@ -61,10 +63,10 @@ def link_subagents(calls: DataFrame, openings: DataFrame, minutes: int = 10) ->
 
     Spark finds the candidate pairs by session and ten-minute bands; the greedy choice runs over one session's pairs.
     """
-    band = lambda c: F.floor(F.col(c).cast("double") / (60 * minutes))
+    band = lambda c: F.floor(seconds(F.col(c)) / (60 * minutes))
     near = openings.withColumn("band", F.explode(F.array(band("opened_at") - 1, band("opened_at"), band("opened_at") + 1)))
     pairs = calls.withColumn("band", band("called_at")).join(near, ["client_session", "band"])
-    gap = F.abs(F.col("opened_at").cast("double") - F.col("called_at").cast("double"))
+    gap = F.abs(seconds(F.col("opened_at")) - seconds(F.col("called_at")))
     pairs = pairs.filter(F.contains("opening", "prompt") & (gap <= 60 * minutes)).select("client_session", "call_id", "opening_id", F.char_length("prompt").alias("n"), "called_at", "opened_at")
 
     def greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:

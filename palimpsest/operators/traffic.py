@@ -9,6 +9,10 @@ USAGE = ("input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_t
 DEFAULT_LIFETIME_S, MARGIN_S = 300, 5
 
 
+def micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def traffic_totals(requests: DataFrame) -> DataFrame:
     """A1: requests and tokens overall, by client session, and by conversation, in one pass; level 0, 1 or 2."""
     sums = [F.count(F.lit(1)).alias("requests"), F.sum("tokens_from_client").alias("tokens_in"), F.sum("tokens_forwarded").alias("tokens_out"), *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in USAGE)]
@@ -77,7 +81,7 @@ def cache_state(requests: DataFrame) -> DataFrame:
     used = (F.coalesce("cache_read_tokens", F.lit(0)) + F.coalesce("cache_creation_tokens", F.lit(0))) > 0
     answered = F.col("status") == 200
     out = requests.withColumn("uses_cache", F.max(F.when(answered, used)).over(before)).withColumn("__last", F.max(F.when(answered, F.col("forwarded_at"))).over(before))
-    out = out.withColumn("idle_s", F.round(F.col("forwarded_at").cast("double") - F.col("__last").cast("double"), 3))
+    out = out.withColumn("idle_s", (micros("forwarded_at") - micros("__last")) / F.lit(1e6))
     cold = ~F.col("uses_cache") | (F.col("idle_s") > F.col("lifetime_s") + MARGIN_S)
     return out.withColumn("cache", F.when(F.coalesce(cold, F.lit(False)), "cold").otherwise("warm")).drop("__last")
 

@@ -28,7 +28,7 @@ class Bands:
 
 
 def level_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, NAMES)), (rank + 1).cast("int"))
+    return F.when(rank == OUT, NAMES[OUT]).when(rank == ARCHIVED, NAMES[ARCHIVED]).when(rank == COMPACTED, NAMES[COMPACTED]).when(rank == KEPT, NAMES[KEPT])
 
 
 def estimated_costs(spans: DataFrame, ratio: float = 0.35) -> DataFrame:

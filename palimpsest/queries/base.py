@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import BACK_REFERENCES, STOPWORDS, first_sentence
 from palimpsest.operators import exchanges, scoring
 from palimpsest.plans import levels, recap
+from palimpsest.sources.state import cut
 from palimpsest.sources.turns import inline_instructions, turns_of
 
 #: Settings of the queries: conversations of the tables are short, so that the usual ones would cut little.
@@ -67,15 +68,15 @@ def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchanges.group_exchanges(split(spark, sf_dir).filter("not in_tail"), CAP)
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exchanges.spans_of(condensed(spark, sf_dir))
+def spans(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return exchanges.spans_of(condensed(spark, sf_dir) if rows is None else rows)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Spans with recency, relevance and score, the greater of both."""
     t = split(spark, sf_dir)
     newest = t.groupBy("conv_id").agg(F.max("turn_index").alias("newest"))
-    s = spans(spark, sf_dir)
+    s = cut(spans(spark, sf_dir, rows))
     related = scoring.lexical_relevance(s, scoring.now_text(t))
     out = s.join(related, ["conv_id", "span_no"]).join(newest, "conv_id").withColumn("recency", scoring.recency(F.col("last_turn"), F.col("newest")))
     return out.withColumn("score", F.round(F.greatest("recency", "relevance"), 6)).drop("newest")
@@ -83,21 +84,21 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored spans with their text at each level; the opening line, doubled, stands for a summary of longer spans."""
-    c = condensed(spark, sf_dir)
-    s = scored(spark, sf_dir).join(exchanges.index_lines(c), ["conv_id", "span_no"])
+    c = cut(condensed(spark, sf_dir))
+    s = scored(spark, sf_dir, c).join(exchanges.index_lines(c), ["conv_id", "span_no"])
     summary = F.when(F.col("tokens") > 40, F.concat_ws(" ", "index_line", "index_line"))
     return recap.span_texts(s.withColumn("summary_text", summary), c)
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans ready for planning; every third has a level already, and every fifth can't be archived."""
-    out = recap.level_costs(texts(spark, sf_dir))
+    """Spans ready for planning, written once; every third has a level already, and every fifth can't be archived."""
+    out = cut(recap.level_costs(texts(spark, sf_dir)))
     current = F.when((F.col("conv_id") + F.col("span_no")) % 3 == 0, (F.col("conv_id") % 4).cast("int"))
     return out.withColumns({"current": current, "archivable": (F.col("conv_id") + F.col("span_no")) % 5 != 0, "budget": F.lit(BUDGET), "fold_line_tokens": F.lit(FOLD_LINE)})
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.plan_levels(costs(spark, sf_dir), BANDS)
+    return cut(levels.plan_levels(costs(spark, sf_dir), BANDS))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

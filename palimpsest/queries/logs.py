@@ -153,7 +153,7 @@ def a8_collection_cost(spark, sf_dir):
     return A.collection_cost(r.filter("switch_planned").select("conversation_id", "seq", F.col("tokens_forwarded").alias("rewritten_tokens")), r)
 
 
-@query(LOG + ", w AS (SELECT *, max(CASE WHEN status = 200 THEN (cache_read_tokens + cache_creation_tokens > 0)::INT END) OVER b AS u, max(CASE WHEN status = 200 THEN forwarded_at END) OVER b AS last FROM log WINDOW b AS (PARTITION BY conversation_id ORDER BY seq, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))\nSELECT request_id, u = 1 AS uses_cache, round((epoch_us(forwarded_at) - epoch_us(last)) / 1000000.0, 3) AS idle_s, CASE WHEN coalesce(u = 0 OR (epoch_us(forwarded_at) - epoch_us(last)) / 1000000.0 > lifetime_s + 5, false) THEN 'cold' ELSE 'warm' END AS cache FROM w WHERE conversation_id IS NOT NULL")
+@query(LOG + ", w AS (SELECT *, max(CASE WHEN status = 200 THEN (cache_read_tokens + cache_creation_tokens > 0)::INT END) OVER b AS u, max(CASE WHEN status = 200 THEN forwarded_at END) OVER b AS last FROM log WINDOW b AS (PARTITION BY conversation_id ORDER BY seq, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))\nSELECT request_id, u = 1 AS uses_cache, (epoch_us(forwarded_at) - epoch_us(last))::DOUBLE / 1000000.0::DOUBLE AS idle_s, CASE WHEN coalesce(u = 0 OR (epoch_us(forwarded_at) - epoch_us(last)) / 1000000.0 > lifetime_s + 5, false) THEN 'cold' ELSE 'warm' END AS cache FROM w WHERE conversation_id IS NOT NULL")
 def a9_cache_state(spark, sf_dir):
     return A.cache_state(log(spark, sf_dir).filter("conversation_id is not null")).select("request_id", "uses_cache", "idle_s", "cache")
 

@@ -46,7 +46,7 @@ def blocks_of(content: Column) -> Column:
 def block_text(blocks: Column) -> Column:
     """Blocks as text, joined by lines; thinking has none."""
     inner = lambda b: F.coalesce(F.array_join(F.transform(F.from_json(b.content, "array<struct<type:string,text:string>>"), lambda x: F.coalesce(x.text, F.concat(F.lit("["), x.type, F.lit("]")))), "\n"), b.content, F.lit(""))
-    text = lambda b: F.when(b.type == "text", b.text).when(b.type.isin("tool_use", "server_tool_use"), F.concat(F.lit("[tool call: "), b.name, F.lit("] "), F.coalesce(b.input, F.lit("{}")))).when((b.type == "tool_result") & F.coalesce(b.is_error, F.lit(False)), F.concat(F.lit("[tool result, error] "), inner(b))).when(b.type == "tool_result", F.concat(F.lit("[tool result] "), inner(b))).when(b.type.isin("image", "document"), F.concat(F.lit("["), b.type, F.lit("]")))
+    text = lambda b: F.when(b.type == "text", b.text).when(b.type.isin("tool_use", "server_tool_use"), F.concat(F.lit("[tool call: "), b["name"], F.lit("] "), F.coalesce(b.input, F.lit("{}")))).when((b.type == "tool_result") & F.coalesce(b.is_error, F.lit(False)), F.concat(F.lit("[tool result, error] "), inner(b))).when(b.type == "tool_result", F.concat(F.lit("[tool result] "), inner(b))).when(b.type.isin("image", "document"), F.concat(F.lit("["), b.type, F.lit("]")))
     return F.array_join(F.filter(F.transform(blocks, text), lambda t: t.isNotNull()), "\n")
 
 
@@ -64,7 +64,7 @@ def lift_instructions(content: Column) -> tuple[Column, Column]:
 
 def _marked(r: str) -> Column:
     """One row a tool and system block in order: struct<tokens, ttl, marked>."""
-    tools = F.transform(F.col(f"{r}.tools"), lambda t: F.struct(count_tokens(F.concat(F.coalesce(t.name, F.lit("")), F.coalesce(t.input_schema, F.lit("")))).alias("tokens"), t.cache_control.ttl.alias("ttl"), t.cache_control.isNotNull().alias("marked")))
+    tools = F.transform(F.col(f"{r}.tools"), lambda t: F.struct(count_tokens(F.concat(F.coalesce(t["name"], F.lit("")), F.coalesce(t.input_schema, F.lit("")))).alias("tokens"), t.cache_control.ttl.alias("ttl"), t.cache_control.isNotNull().alias("marked")))
     system = F.transform(F.col(f"{r}.system"), lambda b: F.struct(F.coalesce(count_tokens(b.text), F.lit(0)).alias("tokens"), b.cache_control.ttl.alias("ttl"), b.cache_control.isNotNull().alias("marked")))
     none = F.array().cast("array<struct<tokens:bigint,ttl:string,marked:boolean>>")
     return F.concat(F.coalesce(tools, none), F.coalesce(system, none))
@@ -95,7 +95,7 @@ def plain_name(name: Column) -> Column:
 def reply_outlines(log: DataFrame) -> DataFrame:
     """Log (request_id, status, body) with finished, stop_reason, usage, tool_calls, thinking_key, error_type, refusal."""
     out = log.withColumn("r", F.from_json("body", REPLY))
-    calls = F.transform(F.filter("r.content", lambda b: b.type.isin("tool_use", "server_tool_use")), lambda b: F.struct(plain_name(b.name).alias("name"), plain_name(b.id).alias("call_id")))
+    calls = F.transform(F.filter("r.content", lambda b: b.type.isin("tool_use", "server_tool_use")), lambda b: F.struct(plain_name(b["name"]).alias("name"), plain_name(b.id).alias("call_id")))
     thinking = F.try_element_at(F.filter("r.content", lambda b: b.type.isin("thinking", "redacted_thinking")), F.lit(1))
     key = F.sha2(F.substring(F.coalesce(thinking.signature, thinking.data), 1, KEY_CHARS), 256)
     usage = {n: F.coalesce(F.col(f"r.usage.{n}"), F.lit(0)) for n in ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens")}
