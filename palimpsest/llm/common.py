@@ -51,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows an Arrow batch than Spark's default, where the session hasn't set its own: texts are long, and a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def row_key(*columns: str | Column) -> Column:
     """Two 64-bit hashes that stand for a row's content where an id may be null or repeated."""
     return F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))

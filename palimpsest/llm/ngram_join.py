@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, small_batches
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import mixed, shingle_set
 
@@ -45,6 +45,8 @@ BUCKETS, SEGMENTS = 1 << 22, 64
 SEEDS = 3
 PER_LIST = 20_000
 BLOCK = 64
+#: Lists of so many entries are read together.
+SHORT = 8
 #: Up to so many ids (8 bytes each) are broadcast; beyond it Spark shuffles.
 FEW = 400_000
 
@@ -141,11 +143,23 @@ def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataF
     return two.withColumn("shared", shared_shingles("set_a", "set_b")).drop("set_a", "set_b")
 
 
+def linkable(n, pos, prev, cluster, doc, side, a, b, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of entries (a, b) of one list, a before b, those that may link and that no earlier list of both names.
+
+    side: 0 in both chunks, 1 in the first only, 2 in the second only.
+    """
+    ok = (cluster[a] != cluster[b]) & ((side[a] == 0) & (side[b] == 0) | (side[a] != side[b]))
+    ok &= (pos[a] == 0) | (pos[b] == 0) | (prev[a] != prev[b])
+    ok &= n[a] * 100 >= n[b] * percent
+    ok &= 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= least_overlap(n[a], n[b], percent)
+    return doc[a[ok]], doc[b[ok]]
+
+
 def _read_lists(percent: int):
     """Candidate pairs of rows sorted by (token, i, j, n, pos); a list's rows follow each other."""
 
     def pairs_of(n, pos, prev, cluster, doc, side):
-        """Pairs in one list. side: 0 in both chunks, 1 in the first only, 2 in the second only."""
+        """Pairs in one long list, block by block."""
         for first in range(0, len(n), BLOCK):
             here = slice(first, first + BLOCK)
             rest = slice(first, int(np.searchsorted(n, n[here][-1] * 100 // percent, "right")))
@@ -160,45 +174,44 @@ def _read_lists(percent: int):
                 there = slice(int(s), min(int(s) + BLOCK, rest.stop))
                 a, b = np.meshgrid(np.arange(here.start, min(here.stop, len(n))), np.arange(there.start, there.stop), indexing="ij")
                 a, b = a.ravel(), b.ravel()
-                ok = (a < b) & (cluster[a] != cluster[b]) & ((side[a] == 0) & (side[b] == 0) | (side[a] != side[b]))
-                ok &= (pos[a] == 0) | (pos[b] == 0) | (prev[a] != prev[b])
-                ok &= n[a] * 100 >= n[b] * percent
-                ok &= 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= least_overlap(n[a], n[b], percent)
-                if ok.any():
-                    yield doc[a[ok]], doc[b[ok]]
+                yield linkable(n, pos, prev, cluster, doc, side, a[a < b], b[a < b], percent)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("token", "i", "j", "n", "pos", "prev", "cluster", "id", "side")
         held = [np.zeros(0, np.int64)] * len(names)
 
-        def lists(columns, last: bool):
+        def lists(columns, bounds):
+            sizes = np.diff(bounds)
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            # Short lists all at once: each entry against the next, the one after it, and so on.
+            place = np.repeat(np.arange(len(sizes)), sizes)
+            short = sizes[place] <= SHORT
+            for step in range(1, SHORT):
+                a = np.flatnonzero(short[:-step] & (place[:-step] == place[step:]))
+                if not len(a):
+                    break
+                seen.append(linkable(*columns[3:], a, a + step, percent))
+            for k in np.flatnonzero(sizes > SHORT):
+                seen += pairs_of(*(c[bounds[k] : bounds[k + 1]] for c in columns[3:]))
+            a, b = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64),) * 2
+            if not len(a):
+                return None
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        def read_on(columns, last: bool):
             token, i, j = columns[:3]
             new = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            bounds = np.concatenate([[0], new, [len(token)]])
-            if not last:
-                bounds = bounds[:-1]
-            seen: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in np.flatnonzero(np.diff(bounds) > 1):
-                part = slice(int(bounds[k]), int(bounds[k + 1]))
-                n, pos, prev, cluster, doc, side = (c[part] for c in columns[3:])
-                if len(n) == 2 and cluster[0] == cluster[1]:
-                    continue
-                seen += pairs_of(n, pos, prev, cluster, doc, side)
-            found = None
-            if seen:
-                a, b = (np.concatenate(x) for x in zip(*seen, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                found = pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            return found, int(bounds[-1]) if not last else len(token)
+            bounds = np.concatenate([[0], new, [len(token)] if last else []]).astype(np.int64)
+            return (lists([c[: bounds[-1]] for c in columns], bounds) if len(bounds) > 1 else None), [c[bounds[-1] :] for c in columns]
 
         for batch in batches:
-            columns = [np.concatenate([h, batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, name in zip(held, names, strict=True)]
-            found, done = lists(columns, False) if len(columns[0]) else (None, 0)
-            held = [c[done:] for c in columns]
-            if found:
-                yield found
+            if batch.num_rows:
+                found, held = read_on([np.concatenate([h, batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, name in zip(held, names, strict=True)], False)
+                if found:
+                    yield found
         if len(held[0]):
-            found, _ = lists(held, True)
+            found, _ = read_on(held, True)
             if found:
                 yield found
 
@@ -227,6 +240,7 @@ def candidates(sets: DataFrame, percent: int = PERCENT, per_list: int = PER_LIST
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, per_list: int = PER_LIST) -> DataFrame:
     """One row a document: id_col, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     known = cut(features(docs, id_col, text, percent))
     full = known.filter("n > 0 and id is not null")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
