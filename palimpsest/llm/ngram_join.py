@@ -5,12 +5,12 @@ A document's set is its distinct 5-word shingles; documents link at 100 * inters
 1. Alike sets become one class, whose least id stands for it.
 2. A fixed-size count of shingle buckets orders the shingles, rare first; any order that all sets share keeps the join exact.
    A set's prefix is its first n - ceil(0.8 n) + 1 shingles: linked sets share a shingle of their prefixes.
-3. Sets that share a minimum hash are compared with one center; true links form clusters, each with known differences to it.
+3. Sets that share a minimum hash are compared with one center; true links form clusters, each with a known number of shingles beyond it.
 4. Inverted lists of prefix shingles are read sorted by size and position, in blocks: a block is skipped whole if no size or
    position in it can reach the overlap that a link needs. Pairs of one cluster are skipped, for they are connected already,
    and so are pairs whose lists of one shingle earlier name both.
-5. The pairs left are decided from the overlap of their centers, give or take the differences to them; only those that this
-   can't decide are compared in full.
+5. Of the pairs left, those go whose centers' overlap, and what the sets hold beyond their centers, can't reach a link. Bounds
+   above overlaps come from a few bits of each shingle; pairs that they leave open are compared in full.
 6. Links form components.
 
 No pair is dropped: a pair is skipped only if it can't link or is connected. Lists of over `per_list` entries are cut into
@@ -45,10 +45,14 @@ BUCKETS, SEGMENTS = 1 << 22, 64
 SEEDS = 3
 PER_LIST = 20_000
 BLOCK = 64
+#: An entry's size and position are one number, size * PLACE + position.
+PLACE = 1 << 31
 #: Lists of so many entries are read together.
 SHORT = 8
 #: Up to so many ids (8 bytes each) are broadcast; beyond it Spark shuffles.
 FEW = 400_000
+#: Sets of up to so many shingles are first compared by 16 bits of each.
+WIDE = 4000
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -62,11 +66,19 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(BUCKETS, np.uint16)
-    for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+    sets: list[np.ndarray] = []
+
+    def add() -> None:
         if sets:
-            new = np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            counts = np.minimum(counts + new, 65535).astype(np.uint16)
+            at, new = np.unique((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.uint32), return_counts=True)
+            counts[at] = np.minimum(counts[at] + new, 65535)
+            sets.clear()
+
+    for batch in batches:
+        sets += [shingle_set(t) for t in batch.column(0).to_pylist()]
+        if sum(map(len, sets)) > BUCKETS // 4:
+            add()
+    add()
     parts = counts.reshape(SEGMENTS, -1)
     full = [i for i in range(SEGMENTS) if parts[i].any()]
     yield pa.RecordBatch.from_pydict({"segment": pa.array(full, pa.int32()), "counts": pa.array([parts[i].tobytes() for i in full], pa.binary())})
@@ -91,7 +103,8 @@ def bucket_sizes(docs: DataFrame, text: str) -> np.ndarray:
     sizes = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint8)
     for r in rows:
         sizes[r["segment"]] = np.frombuffer(r["sizes"], np.uint8)
-    usual = 3 + int(np.ceil(np.log2(1 + sum(r["n"] for r in rows) / BUCKETS)))
+    usual = sum(r["n"] for r in rows) / BUCKETS  # what chance puts into a bucket
+    usual = int(np.ceil(np.log2(1 + usual + 4 * np.sqrt(usual))))
     return np.maximum(sizes.reshape(-1).astype(np.int16) - usual, 0).astype(np.uint8)
 
 
@@ -128,19 +141,57 @@ def shared_shingles(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(BinaryType())
-def _packed(texts: pa.Array) -> pa.Array:
+def packed(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_set(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """pairs (a, b, ...) with `shared`, the exact size of the intersection. Only the texts of ids in pairs are shingled and sent."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    few = ids.count() <= FEW
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = wanted.select("id", _packed("text").alias("set"))
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return two.withColumn("shared", shared_shingles("set_a", "set_b")).drop("set_a", "set_b")
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A set's low bits, sorted: 16 of each hash, or 32 where 16 would let too many fall together."""
+    return np.sort(s.astype(np.uint16 if len(s) <= WIDE else np.uint32))
+
+
+@F.arrow_udf(BinaryType())
+def sketched(texts: pa.Array) -> pa.Array:
+    """A byte that tells the width, and the set's low bits."""
+    return pa.array([bytes([x.itemsize]) + x.tobytes() for x in (_sketch(shingle_set(t)) for t in texts.to_pylist())], pa.binary())
+
+
+def _numbered(data: pa.Scalar, width: int) -> np.ndarray:
+    """Low bits of one width, each with its number among its equals, so that all differ."""
+    raw = data.as_buffer()
+    x = np.frombuffer(raw, np.dtype(f"u{raw[0]}"), offset=1)
+    if raw[0] > width:
+        x = np.sort(x.astype(f"u{width}"))
+    first = np.concatenate([[True], x[1:] != x[:-1]])
+    place = np.arange(len(x))
+    return (x.astype(np.uint64) << np.uint64(24)) + (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+
+
+@F.arrow_udf(LongType())
+def most_shared(a: pa.Array, b: pa.Array) -> pa.Array:
+    """At least as many as the shingles that two sets have in common: equal shingles have equal low bits."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        width = min(x.as_buffer()[0], y.as_buffer()[0])
+        both = np.concatenate([_numbered(x, width), _numbered(y, width)])
+        both.sort(kind="stable")
+        out.append(int((both[1:] == both[:-1]).sum()))
+    return pa.array(out, pa.int64())
+
+
+def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, exact: bool) -> DataFrame:
+    """pairs (a, b, ...) with `shared`: the size of the intersection, or, from a quarter of the data or less, a bound above it.
+
+    Only the texts of ids in pairs are shingled and sent.
+    """
+    pairs = cut(pairs)
+    few = pairs.count() <= FEW
+    small = F.broadcast if few else lambda df: df
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    pack, count = (packed, shared_shingles) if exact else (sketched, most_shared)
+    sets = lambda end: known.join(small(pairs.select(F.col(end).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(end), pack("text").alias(f"set_{end}"))
+    one = sets("a").join(small(pairs), "a")
+    return one.join(sets("b"), "b").withColumn("shared", count("set_a", "set_b")).drop("set_a", "set_b")
 
 
 def linkable(n, pos, prev, cluster, doc, side, a, b, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +231,11 @@ def _read_lists(percent: int):
         names = ("token", "i", "j", "n", "pos", "prev", "cluster", "id", "side")
         held = [np.zeros(0, np.int64)] * len(names)
 
+        def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+            own = {name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in batch.schema.names}
+            own["n"], own["pos"] = own["place"] // PLACE, own["place"] % PLACE
+            return [own.get(name, np.zeros(batch.num_rows, np.int64)) for name in names]
+
         def lists(columns, bounds):
             sizes = np.diff(bounds)
             seen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -207,7 +263,7 @@ def _read_lists(percent: int):
 
         for batch in batches:
             if batch.num_rows:
-                found, held = read_on([np.concatenate([h, batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, name in zip(held, names, strict=True)], False)
+                found, held = read_on([np.concatenate(x) for x in zip(held, columns_of(batch), strict=True)], False)
                 if found:
                     yield found
         if len(held[0]):
@@ -220,12 +276,12 @@ def _read_lists(percent: int):
 
 def candidates(sets: DataFrame, percent: int = PERCENT, per_list: int = PER_LIST) -> DataFrame:
     """Distinct pairs (a < b) of different clusters that may link. sets: id, n, cluster, prefix."""
-    entries = sets.select("id", "n", "cluster", F.expr("inline(transform(prefix, (t, k) -> struct(t as token, cast(k as long) as pos, if(k > 0, prefix[k - 1], 0L) as prev)))"))
+    entries = sets.select("id", "cluster", F.expr(f"inline(transform(prefix, (t, k) -> struct(t as token, n * {PLACE} + k as place, if(k > 0, prefix[k - 1], 0L) as prev)))"))
     sizes = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > per_list)
     long_lists = cut(sizes.select("token", F.ceil(F.col("rows") / per_list).alias("chunks")))
-    if long_lists.isEmpty():
-        entries = entries.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
-    else:
+    chunks = []
+    if not long_lists.isEmpty():
+        chunks = ["i", "j"]
         # An entry of chunk c meets chunk j >= c as the first, and chunk i < c as the second.
         some = long_lists.count() <= FEW
         entries = entries.join(F.broadcast(long_lists) if some else long_lists, "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -234,7 +290,7 @@ def candidates(sets: DataFrame, percent: int = PERCENT, per_list: int = PER_LIST
         entries = entries.withColumn("c", c).select("*", others)
         side = F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
         entries = entries.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o"), "side": side}).drop("chunks", "c", "o")
-    dealt = entries.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos", "id")
+    dealt = entries.repartition("token", *chunks).sortWithinPartitions("token", *chunks, "place", "id")
     return dealt.mapInArrow(_read_lists(percent), "a long, b long").distinct()
 
 
@@ -254,31 +310,30 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     stars = keyed.join(centers, ["seed", "key"]).filter("id <> c").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("b")).distinct()
     stars = stars.join(alone.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").filter(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}")
     linked = f"100 * shared >= {percent} * (n_a + n_b - shared)"
-    near = cut(overlaps(cut(stars), docs, id_col, text).filter(linked).select("a", "b", "n_a", "n_b", "shared"))
+    near = cut(compared(stars, docs, id_col, text, True).filter(linked).select("a", "b", "n_a", "n_b", "shared"))
     clusters = components(near)
     # A document's center is the one that it shares most with; other documents are their own.
-    own = near.groupBy("a").agg(F.max(F.struct("shared", "b", "n_a", "n_b")).alias("x")).select(F.col("a").alias("id"), F.col("x.b").alias("center"), (F.col("x.n_a") - F.col("x.shared")).alias("more"), (F.col("x.n_b") - F.col("x.shared")).alias("less"))
+    own = near.groupBy("a").agg(F.max(F.struct("shared", "b", "n_a")).alias("x")).select(F.col("a").alias("id"), F.col("x.b").alias("center"), (F.col("x.n_a") - F.col("x.shared")).alias("more"))
 
     # 4. Pairs of different clusters.
     placed = alone.select("id").distinct().join(clusters.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     pairs = cut(candidates(full.select("id", "n", "prefix").join(placed, "id"), percent, per_list))
 
     # 5. The centers' overlap, and from it bounds for the pair's.
-    facts = cut(alone.join(own, "id", "left").select("id", "n", F.coalesce("center", "id").alias("center"), F.coalesce("more", F.lit(0)).alias("more"), F.coalesce("less", F.lit(0)).alias("less")))
-    ends = [facts.select(F.col("id").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in ("n", "center", "more", "less"))) for x in "ab"]
+    facts = cut(alone.join(own, "id", "left").select("id", "n", F.coalesce("center", "id").alias("center"), F.coalesce("more", F.lit(0)).alias("more")))
+    ends = [facts.select(F.col("id").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in ("n", "center", "more"))) for x in "ab"]
     told = cut(pairs.join(ends[0], "a").join(ends[1], "b"))
     of_centers = told.filter("center_a <> center_b").select(F.least("center_a", "center_b").alias("a"), F.greatest("center_a", "center_b").alias("b")).distinct()
-    first = overlaps(cut(of_centers), docs, id_col, text).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "shared")
+    first = compared(of_centers, docs, id_col, text, False).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "shared")
     bounded = told.join(first, (F.least("center_a", "center_b") == F.col("ca")) & (F.greatest("center_a", "center_b") == F.col("cb")), "left")
     high = F.least("n_a", "n_b", F.col("shared") + F.col("more_a") + F.col("more_b"))
-    low = F.col("shared") - F.col("less_a") - F.col("less_b")
-    links_at = lambda x: 100 * x >= percent * (F.col("n_a") + F.col("n_b") - x)
-    verdict = F.when(F.coalesce(links_at(low), F.lit(False)), True).when(~F.coalesce(links_at(high), F.lit(True)), False)
-    judged = cut(bounded.select("a", "b", "n_a", "n_b", verdict.alias("linked")))
-    rest = overlaps(judged.filter("linked is null").select("a", "b", "n_a", "n_b"), docs, id_col, text).filter(linked)
+    may_link = F.coalesce(100 * high >= percent * (F.col("n_a") + F.col("n_b") - high), F.lit(True))
+    open_pairs = cut(bounded.filter(may_link).select("a", "b", "n_a", "n_b", ((F.col("center_a") == F.col("a")) & (F.col("center_b") == F.col("b"))).alias("centers")))
+    nearer = compared(open_pairs.filter("not centers").drop("centers"), docs, id_col, text, False).filter(linked).drop("shared")
+    rest = compared(open_pairs.filter("centers").drop("centers").unionByName(nearer), docs, id_col, text, True).filter(linked)
 
     # 6. All links: alike sets, clusters, and the pairs.
     same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = same.union(near.select("a", "b")).union(judged.filter("linked").select("a", "b")).union(rest.select("a", "b"))
+    links = same.union(near.select("a", "b")).union(rest.select("a", "b"))
     found = components(links)
     return known.select("id", "n").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
