@@ -61,7 +61,7 @@ def train(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str =
     langs = sorted({x for r in found for x in r["by"]}, key=str.encode)
 
     def table(entries: list, key: str, groups) -> tuple[dict[str, int], np.ndarray]:
-        counts = np.array([[r["by"].get(x, 0) for x in langs] for r in entries], np.float64).reshape(-1, len(langs)) + SMOOTH
+        counts = np.array([[r["by"].get(x, 0) for x in langs] for r in entries], np.float64).reshape(len(entries), len(langs)) + SMOOTH
         group = np.array([groups(r[key]) for r in entries], np.int64)
         for g in set(group.tolist()):
             counts[group == g] /= counts[group == g].sum(axis=0)
