@@ -127,7 +127,7 @@ def compactable_and_stale(plan: DataFrame) -> DataFrame:
 
 def why_level(plan: DataFrame) -> DataFrame:
     """A sentence for each span's level."""
-    score = F.format_string("%.2f", F.col("score"))
+    score = F.format_string("%.2f", F.round("score", 2))
     why = F.when(F.col("folded"), "Folded to stay within the budget.").when(F.col("lowered"), F.concat(F.lit("Scored "), score, F.lit("; lowered to fit the budget.")))
     why = why.when(F.col("earned") > F.col("band"), F.concat(F.lit("Scored "), score, F.lit("; no cheaper level."))).when(F.col("current").isNotNull() & (F.col("current") == F.col("band")), F.concat(F.lit("Scored "), score, F.lit("; within the margin of its level.")))
     return plan.withColumn("why", why.otherwise(F.concat(F.lit("Scored "), score, F.lit("."))))

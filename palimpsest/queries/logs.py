@@ -234,9 +234,9 @@ def i3_tool_ids(spark, sf_dir):
     return _blocks(spark, sf_dir).select("request_id", "turn_index", calls.alias("calls"), results.alias("results"))
 
 
-@query("SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS left_text, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS lifted FROM conversations WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'")
+@query("SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS left_text, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS lifted FROM conversations")
 def i4_lift_instructions(spark, sf_dir):
-    c = B.read(spark, sf_dir, "conversations").filter(~F.contains("text", F.lit("\n\n")))
+    c = B.read(spark, sf_dir, "conversations")
     tagged = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("<system-reminder>\nBe kind.\n</system-reminder>\n"), "text")).otherwise(F.col("text"))
     left, lifted = I.lift_instructions(tagged)
     return c.select("conv_id", "turn", left.alias("left_text"), F.size(lifted).alias("lifted"))

@@ -77,11 +77,9 @@ def p10_compactable_and_stale(spark, sf_dir):
     return levels.compactable_and_stale(_staged(spark, sf_dir))
 
 
-@query(with_("plan") + "SELECT conv_id, span_no, CASE WHEN folded THEN 'Folded to stay within the budget.' WHEN lowered THEN printf('Scored %.2f; lowered to fit the budget.', score) WHEN earned > band THEN printf('Scored %.2f; no cheaper level.', score) WHEN current = band THEN printf('Scored %.2f; within the margin of its level.', score) ELSE printf('Scored %.2f.', score) END AS why FROM plan WHERE abs(score * 100 - floor(score * 100) - 0.5) > 0.001")
+@query(with_("plan") + "SELECT conv_id, span_no, CASE WHEN folded THEN 'Folded to stay within the budget.' WHEN lowered THEN printf('Scored %.2f; lowered to fit the budget.', round(score, 2)) WHEN earned > band THEN printf('Scored %.2f; no cheaper level.', round(score, 2)) WHEN current = band THEN printf('Scored %.2f; within the margin of its level.', round(score, 2)) ELSE printf('Scored %.2f.', round(score, 2)) END AS why FROM plan")
 def p11_why_level(spark, sf_dir):
-    """Scores halfway between two percents are left out here: printers round them either way."""
-    far = F.abs(F.col("score") * 100 - F.floor(F.col("score") * 100) - 0.5) > 0.001
-    return levels.why_level(B.plan(spark, sf_dir)).filter(far).select(*KEY, "why")
+    return levels.why_level(B.plan(spark, sf_dir)).select(*KEY, "why")
 
 
 _turn_list = lambda ok: f"coalesce(list_sort(flatten(list(turn_indices) FILTER (WHERE {ok}))), [])"
