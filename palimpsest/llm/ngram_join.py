@@ -10,7 +10,8 @@ A document's set is its distinct 5-word shingles; documents link at 100 * inters
    position in it can reach the overlap that a link needs. Pairs of one cluster are skipped, for they are connected already,
    and so are pairs whose lists of one shingle earlier name both.
 5. Of the pairs left, those go whose centers' overlap, and what the sets hold beyond their centers, can't reach a link. Bounds
-   above overlaps come from a few bits of each shingle; pairs that they leave open are compared in full.
+   above overlaps come from a few bits of each shingle; pairs that they leave open are compared in full, one of each two
+   clusters first, since a link between clusters settles all pairs of theirs.
 6. Links form components.
 
 No pair is dropped: a pair is skipped only if it can't link or is connected. Lists of over `per_list` entries are cut into
@@ -53,6 +54,8 @@ SHORT = 8
 FEW = 400_000
 #: Sets of up to so many shingles are first compared by 16 bits of each.
 WIDE = 4000
+#: Times that one pair of each two clusters is compared before all the rest.
+ROUNDS = 2
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -76,7 +79,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         sets += [shingle_set(t) for t in batch.column(0).to_pylist()]
-        if sum(map(len, sets)) > BUCKETS // 4:
+        if sum(map(len, sets)) > BUCKETS // 16:
             add()
     add()
     parts = counts.reshape(SEGMENTS, -1)
@@ -320,20 +323,34 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     pairs = cut(candidates(full.select("id", "n", "prefix").join(placed, "id"), percent, per_list))
 
     # 5. The centers' overlap, and from it bounds for the pair's.
-    facts = cut(alone.join(own, "id", "left").select("id", "n", F.coalesce("center", "id").alias("center"), F.coalesce("more", F.lit(0)).alias("more")))
-    ends = [facts.select(F.col("id").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in ("n", "center", "more"))) for x in "ab"]
+    facts = cut(alone.join(own, "id", "left").join(placed, "id").select("id", "n", "cluster", F.coalesce("center", "id").alias("center"), F.coalesce("more", F.lit(0)).alias("more")))
+    ends = [facts.select(F.col("id").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in ("n", "cluster", "center", "more"))) for x in "ab"]
     told = cut(pairs.join(ends[0], "a").join(ends[1], "b"))
     of_centers = told.filter("center_a <> center_b").select(F.least("center_a", "center_b").alias("a"), F.greatest("center_a", "center_b").alias("b")).distinct()
     first = compared(of_centers, docs, id_col, text, False).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "shared")
     bounded = told.join(first, (F.least("center_a", "center_b") == F.col("ca")) & (F.greatest("center_a", "center_b") == F.col("cb")), "left")
     high = F.least("n_a", "n_b", F.col("shared") + F.col("more_a") + F.col("more_b"))
     may_link = F.coalesce(100 * high >= percent * (F.col("n_a") + F.col("n_b") - high), F.lit(True))
-    open_pairs = cut(bounded.filter(may_link).select("a", "b", "n_a", "n_b", ((F.col("center_a") == F.col("a")) & (F.col("center_b") == F.col("b"))).alias("centers")))
-    nearer = compared(open_pairs.filter("not centers").drop("centers"), docs, id_col, text, False).filter(linked).drop("shared")
-    rest = compared(open_pairs.filter("centers").drop("centers").unionByName(nearer), docs, id_col, text, True).filter(linked)
+    open_pairs = cut(bounded.filter(may_link).select("a", "b", "n_a", "n_b", "cluster_a", "cluster_b"))
+    links = near.select("a", "b")
+    # One pair of each two clusters first; what it joins needs no other pair.
+    for _ in range(ROUNDS):
+        ends = [F.least("cluster_a", "cluster_b").alias("x"), F.greatest("cluster_a", "cluster_b").alias("y")]
+        one = F.min_by(F.struct("a", "b", "n_a", "n_b", "cluster_a", "cluster_b"), F.xxhash64("a", "b"))
+        tried = cut(open_pairs.groupBy(*ends).agg(one.alias("p")).select("p.*"))
+        if tried.isEmpty():
+            break
+        joined = cut(compared(tried, docs, id_col, text, True).filter(linked).select("a", "b", "cluster_a", "cluster_b"))
+        links = links.union(joined.select("a", "b"))
+        merged = components(joined, "cluster_a", "cluster_b")
+        for end in ("cluster_a", "cluster_b"):
+            open_pairs = open_pairs.join(merged.select(F.col("node").alias(end), F.col("component").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        open_pairs = cut(open_pairs.filter("cluster_a <> cluster_b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    left = open_pairs.select("a", "b", "n_a", "n_b")
+    nearer = compared(left, docs, id_col, text, False).filter(linked).drop("shared")
+    rest = compared(nearer, docs, id_col, text, True).filter(linked)
 
     # 6. All links: alike sets, clusters, and the pairs.
     same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = same.union(near.select("a", "b")).union(rest.select("a", "b"))
-    found = components(links)
+    found = components(same.union(links).union(rest.select("a", "b")))
     return known.select("id", "n").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
