@@ -39,7 +39,7 @@ class Codec:
         self.added = spec["added"]
         marks = sorted(self.added, key=len, reverse=True)
         self.mark = regex.compile(f"({'|'.join(map(regex.escape, marks))})") if marks else None
-        self.pieces = Memo(self.of_piece)
+        self.pieces = Memo(self.of_piece, 50_000)  # in a worker that goes on to other stages too
 
     def of_piece(self, piece: str) -> tuple[int, ...]:
         symbols = [self.first[b] for b in piece.encode()]
