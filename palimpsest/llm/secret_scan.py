@@ -131,21 +131,13 @@ def written(spans: str) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by the mark."""
-
-    @F.arrow_udf("string")
-    def clean(texts: pa.Array, rows: pa.Array) -> pa.Array:
-        out = []
-        for t, found in zip(texts.to_pylist(), rows.to_pylist(), strict=True):
-            if t is None or not found:
-                out.append(t)
-                continue
-            pieces, at = [], 0
-            for s in found:
-                if s["start"] >= at:
-                    pieces += [t[at : s["start"]], mark]
-                at = max(at, s["end"])
-            out.append("".join(pieces) + t[at:])
-        return pa.array(out, pa.string())
-
-    return clean(text, spans)
+    """The text with each span, or run of overlapping spans, replaced by the mark; spans by start, as secret_spans gives them."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(done: Column, s: Column) -> Column:
+        fresh = s.start >= done.at
+        out = F.when(fresh, F.concat(done.out, F.substring(text, done.at + 1, s.start - done.at), F.lit(mark))).otherwise(done.out)
+        return F.struct(out.alias("out"), F.greatest(done.at, s.end).alias("at"))
+
+    clean = F.aggregate(spans, start, step, lambda done: F.concat(done.out, F.substring(text, done.at + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, clean).otherwise(text)
