@@ -14,6 +14,7 @@ output is replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -60,55 +61,70 @@ def train(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str =
     words.unpersist()
     langs = sorted({x for r in found for x in r["by"]}, key=str.encode)
 
-    def table(entries: list, key: str, groups) -> tuple[dict[str, int], np.ndarray]:
+    def table(entries: list, key: str, groups) -> dict[str, tuple[float, ...]]:
         counts = np.array([[r["by"].get(x, 0) for x in langs] for r in entries], np.float64).reshape(len(entries), len(langs)) + SMOOTH
         group = np.array([groups(r[key]) for r in entries], np.int64)
         for g in set(group.tolist()):
             counts[group == g] /= counts[group == g].sum(axis=0)
-        return {r[key]: i for i, r in enumerate(entries)}, np.log(counts).astype(np.float32)
+        return {r[key]: tuple(row) for r, row in zip(entries, np.log(counts).tolist(), strict=True)}
 
-    return {"langs": langs, "words": table(found, "word", lambda w: 0), "grams": table(pieces, "gram", len)}
+    return {"id": uuid.uuid4().hex, "langs": langs, "words": table(found, "word", lambda w: 0), "grams": table(pieces, "gram", len)}
 
 
 class Scorer:
+    """Scores texts by a model; runs without white space are scored once and remembered."""
+
     def __init__(self, model: dict):
-        self.langs, (self.words, self.word_logs), (self.grams, self.gram_logs) = model["langs"], model["words"], model["grams"]
-        self.chunks = Memo(self.of_chunk, 100_000)
+        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
+        self.none = (0.0,) * len(self.langs)
+        self.chunks = Memo(self.of_chunk, 150_000)
 
-    def of_word(self, word: str) -> np.ndarray:
-        if (i := self.words.get(word)) is not None:
-            return self.word_logs[i]
+    def of_word(self, word: str) -> tuple[float, ...]:
+        if known := self.words.get(word):
+            return known
         marked = f" {word} "
         for n in range(LONGEST, 0, -1):
-            known = [i for k in range(len(marked) - n + 1) if (i := self.grams.get(marked[k : k + n])) is not None]
+            known = [x for k in range(len(marked) - n + 1) if (x := self.grams.get(marked[k : k + n]))]
             if known:
-                return self.gram_logs[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return tuple(sum(c) / len(known) for c in zip(*known, strict=True))
+        return self.none
 
-    def of_chunk(self, chunk: str) -> tuple:
-        """Scores of a run without white space, as one number a language; empty if it has no letter."""
+    def of_chunk(self, chunk: str) -> tuple[float, ...]:
+        """Scores of a run without white space, one a language; empty if it has no letter."""
         words = LETTERS.findall(chunk.lower())
-        return tuple(sum(map(self.of_word, words)).tolist()) if words else ()
+        if len(words) == 1:
+            return self.of_word(words[0])
+        return tuple(map(sum, zip(*map(self.of_word, words), strict=True)))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        scored = [x for x in map(self.chunks.__getitem__, text.split()) if x] if text and self.langs else []
+        scored = list(filter(None, map(self.chunks.__getitem__, text.split()))) if text and self.langs else []
         if not scored:
             return "und", 0.0
-        sums = np.array(scored).sum(axis=0).tolist()
+        sums = list(map(sum, zip(*scored, strict=True)))
         best = max(range(len(sums)), key=lambda i: (sums[i], -i))
         return self.langs[best], 1 / sum(math.exp(max(-700.0, s - sums[best])) for s in sums)
 
 
+#: The scorer that a worker used last, so that its tasks share what it remembers.
+_last: dict[str, Scorer] = {}
+
+
+def scorer(name: str, model) -> Scorer:
+    if name not in _last:
+        _last.clear()
+        _last[name] = Scorer(model())
+    return _last[name]
+
+
 def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
-    held: list[Scorer] = []
+    name = model["id"]
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def judge(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Scorer(sent.value))
-        pairs = [held[0](t) for t in texts.to_pylist()]
+        score = scorer(name, lambda: sent.value)
+        pairs = [score(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], ["lang", "score"])
 
     return df.withColumn("__lang", judge(F.col(text))).withColumn("lang_pred", F.col("__lang.lang")).withColumn("score", F.col("__lang.score")).drop("__lang")

@@ -95,7 +95,7 @@ def test_language_edges(spark):
 
 
 def test_unseen_words_back_off():
-    model = {"langs": ["de", "en"], "words": ({"haus": 0}, np.log([[0.9, 0.1]]).astype(np.float32)), "grams": ({" hau": 0, "q": 1}, np.log([[0.8, 0.2], [0.1, 0.9]]).astype(np.float32))}
+    model = {"langs": ["de", "en"], "words": {"haus": (-0.1, -2.0)}, "grams": {" hau": (-0.2, -1.6), "q": (-2.0, -0.1)}}
     s = language_id.Scorer(model)
     assert s("haus")[0] == "de" and s("haut")[0] == "de" and s("qu")[0] == "en" and s("?") == ("und", 0.0)
 
