@@ -24,6 +24,8 @@ from palimpsest.llm.shingles import WIDTH, windows, word_hashes
 BANDS = ((0, 0.0, 9.0), (64, 0.35, 1.5), (128, 0.40, 1.15), (256, 0.42, 0.95), (512, 0.42, 0.85), (1024, 0.42, 0.78), (2048, 0.40, 0.73), (4096, 0.385, 0.70), (8192, 0.375, 0.68), (16384, 0.365, 0.66), (32768, 0.355, 0.64))
 CHUNK = 4096
 MAX_BAD_CHUNKS = 0.25
+#: A last chunk below so many bytes is mostly zstandard's frame (10 bytes for 1); it counts as a chunk, but never as a bad one.
+LEAST_TAIL = 64
 LEVEL = 3
 
 SYMBOLS = "#*$%&|<>"
@@ -57,7 +59,7 @@ def compression(data: bytes, compress, bands=BANDS, chunk: int = CHUNK, most: fl
     """Ratio of the whole, number of chunks, those out of band, and whether the text is in its bands."""
     ratio = len(compress(data)) / max(1, len(data))
     parts = [data[i : i + chunk] for i in range(0, len(data), chunk)] if len(data) > chunk else []
-    bad = sum(out_of_band(len(p), len(compress(p)) / len(p), bands) for p in parts)
+    bad = sum(len(p) >= min(LEAST_TAIL, chunk) and out_of_band(len(p), len(compress(p)) / len(p), bands) for p in parts)
     return ratio, len(parts), bad, not out_of_band(len(data), ratio, bands) and bad <= most * len(parts)
 
 

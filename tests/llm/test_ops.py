@@ -168,6 +168,21 @@ def test_clean_documents_stay(spark):
     assert np.mean([r.kept for r in rows]) > 0.995
 
 
+def test_short_tails_of_clean_texts(spark):
+    """Clean texts one byte, or a few, over a number of whole chunks stay; texts bad in their whole chunks still go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
+    pool = " ".join(r.text for r in sorted(docs, key=lambda r: r.doc_id) if r.doc_id in good and r.lang == "en").encode("ascii", "ignore")
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for k in (1, 2, 3):
+        for over in (0, 1, 2, 9, 63, 64):
+            ratio, n, bad, fits = quality_rules.compression(pool[: 4096 * k + over], compress)
+            assert fits and bad == 0 and n == (0 if k == 1 and over == 0 else k + (over > 0)), (k, over, ratio)
+    noise = random.Random(4).randbytes(4096)
+    assert quality_rules.compression(pool[:4096] + noise + b"x", compress)[2:] == (1, False)
+    assert quality_rules.compression(noise[:40] * 3, compress, chunk=40, bands=((0, 0.0, 0.5),))[2] == 3
+
+
 def test_urls_equal_sql(same):
     assert same(queries.op6_url_filters, queries.oracle_sql()["op6_url_filters"]) > 0
 
