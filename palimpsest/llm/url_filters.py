@@ -3,7 +3,8 @@
 A rule names a host and the start of a path; it fits the host and all its subdomains, and the longest that fits decides.
 Else the reputation of the page's host does: labelled page outcomes (good or not) are counted by host, registered domain and
 suffix; each level's beta-binomial concentration is estimated from how much its groups differ; counts are shrunk from suffix
-to registered domain to host. A host is blocked if even the upper bound of its share of good pages is below `least_good`.
+to registered domain to host. A host without a labelled page has n = k = 0 and so its domain's mean, or its suffix's, or the
+world's. A host is blocked if even the upper bound of its share of good pages is below `least_good`.
 
 Null or malformed urls (no `://`) have empty host and path; they share the reputation of the empty host. A page labelled more
 than once counts once, as good only if all its labels are. Without labels everything that no rule blocks is allowed. Rows may
@@ -67,7 +68,8 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _level(counts: DataFrame, group: str, parent: str) -> DataFrame:
-    """One row (world, weight): the concentration of a level's groups about their parents' shares, by moments."""
+    """One row (world, weight): the concentration of a level's labelled groups about their parents' shares, by moments."""
+    counts = counts.filter("n > 0")
     above = counts.groupBy(parent).agg(F.sum("n").alias("pn"), F.sum("k").alias("pk"))
     pairs = counts.select(group, parent, "n", "k").join(above, parent)
     p = F.col("pk") / F.col("pn")
@@ -80,14 +82,14 @@ def _level(counts: DataFrame, group: str, parent: str) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, mean, bound (the upper one) from one row a labelled page: host, good (0 or 1)."""
-    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k"))
+    """host, mean, bound (the upper one) from one row a page: host, good (0 or 1, null if not labelled). No rows without labels."""
+    hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))).withColumn("world", F.lit(""))
     domains = hosts.groupBy("domain", "suffix", "world").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix", "world").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     shrunk = lambda prior: (F.col("weight") * prior + F.col("k")) / (F.col("weight") + F.col("n"))
     # The weights and the world's mean are one row each.
-    world = F.broadcast(suffixes.groupBy("world").agg((F.sum("k") / F.sum("n")).alias("mean0")))
+    world = F.broadcast(suffixes.groupBy("world").agg(F.try_divide(F.sum("k"), F.sum("n")).alias("mean0")))
     s = suffixes.join(_level(suffixes, "suffix", "world"), "world").join(world, "world").select("suffix", shrunk(F.col("mean0")).alias("mean_s"))
     d = domains.join(_level(domains, "domain", "suffix"), "world").join(s, "suffix").select("domain", shrunk(F.col("mean_s")).alias("mean_d"))
     h = hosts.join(_level(hosts, "host", "domain"), "world").join(d, "domain")
@@ -99,12 +101,12 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 def url_filters(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, least_good: float = LEAST_GOOD) -> DataFrame:
     """pages with host, path, rule and verdict. labels: doc_id (a page's id), quality, toxic.
 
-    A host without a labelled page has no evidence of its own against it and is allowed.
+    The bound holds for every host of pages, by its domain's, suffix's or the world's outcomes where it has none of its own.
     """
     split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     outcome = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
-    outcomes = split.select(F.col(page_id).alias("doc_id"), "host").distinct().join(outcome, "doc_id").select("host", "good")
+    outcomes = split.select(F.col(page_id).alias("doc_id"), "host").distinct().join(outcome, "doc_id", "left").select("host", "good")
     known = reputation(outcomes).select(F.col("host").alias("__host"), "bound")
     judged = split.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(known, F.col("host") == F.col("__host"), "left")
     method = F.when(F.col("bound") < least_good, "block").otherwise("allow")

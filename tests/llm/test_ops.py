@@ -205,6 +205,21 @@ def test_bad_hosts_are_blocked(spark):
     assert {r.verdict for r in rows if r.host.startswith("bad")} == {"block"} and {r.verdict for r in rows if r.host.startswith("h")} == {"allow"}
 
 
+def test_hosts_without_labels_follow_domain_suffix_and_world(spark):
+    """Hosts without labels: new subdomains of a domain, new domains of a suffix, a new suffix."""
+    site = lambda i: ["bad.org", "good.org", "other.com", "more.com"][i % 4]
+    known = [(i, f"http://h{i % 7}.{site(i)}/{i}") for i in range(800)]
+    new = [(1001, "http://new.bad.org/"), (1002, "http://new.good.org/"), (1003, "http://new.more.com/"), (1004, "http://a.fresh.vile/"), (1005, "http://a.fresh.com/"), (1006, "http://a.fresh.zz/"), (None, "http://b.bad.org/")]
+    vile = [(2000 + i, f"http://h{i % 9}.s{i % 5}.vile/{i}") for i in range(200)]
+    pages = spark.createDataFrame(known + vile + new, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(800)] + [(2000 + i, 0, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    rows = {r.host: r.verdict for r in url_filters.url_filters(pages, labels).collect()}
+    assert [rows[h] for h in ("new.bad.org", "b.bad.org", "a.fresh.vile")] == ["block"] * 3
+    assert [rows[h] for h in ("new.good.org", "new.more.com", "a.fresh.com", "a.fresh.zz")] == ["allow"] * 4
+    worse = spark.createDataFrame([(i, 0, 0) for i in range(800)], "doc_id long, quality int, toxic int")
+    assert {r.verdict for r in url_filters.url_filters(pages, worse).collect()} == {"block"}
+
+
 def test_mixing_equals_sql(same):
     assert same(queries.op7_source_mixing, queries.oracle_sql()["op7_source_mixing"]) > 0
 
