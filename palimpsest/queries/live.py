@@ -235,8 +235,8 @@ def e8_question_message(spark, sf_dir):
     return E.question_message(probes(spark, sf_dir))
 
 
-def event_stream(spark, sf_dir):
-    return streams.open_stream(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("client_session", F.concat(F.lit("s"), "user_id"))
+def event_stream(spark, sf_dir, files=1):
+    return streams.open_stream(spark, f"{sf_dir}/events.parquet", files).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("client_session", F.concat(F.lit("s"), "user_id"))
 
 
 @query(with_("plan") + "SELECT conv_id, span_no, level, tokens FROM plan")
@@ -274,12 +274,12 @@ def q2_stream_cache_state(spark, sf_dir):
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 24 HOUR THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g), t AS (SELECT 's' || user_id AS client_session, min(ts) AS opened_at, max(ts) + INTERVAL 24 HOUR AS closed_at, count(*) AS requests FROM k GROUP BY user_id, n)\nSELECT * FROM t WHERE closed_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def q3_stream_idle_close(spark, sf_dir):
-    return streams.run(streams.stream_idle_close(event_stream(spark, sf_dir))).drop("batch")
+    return streams.run(streams.stream_idle_close(event_stream(spark, sf_dir, None))).drop("batch")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, 's' || user_id AS client_session, count(*) AS requests, (sum(floor(value)::BIGINT))::BIGINT AS tokens_in, (sum(floor(value / 2)::BIGINT))::BIGINT AS tokens_out FROM events GROUP BY ALL")
 def q4_stream_traffic(spark, sf_dir):
-    e = event_stream(spark, sf_dir).select("ts", "client_session", F.floor("value").alias("tokens_from_client"), F.floor(F.col("value") / 2).alias("tokens_forwarded"))
+    e = event_stream(spark, sf_dir, None).select("ts", "client_session", F.floor("value").alias("tokens_from_client"), F.floor(F.col("value") / 2).alias("tokens_forwarded"))
     rows = streams.run(streams.stream_traffic(e), "update")
     last = F.max(F.struct("batch", "requests", "tokens_in", "tokens_out")).alias("r")
     return rows.groupBy("start", "client_session").agg(last).select("start", "client_session", "r.requests", "r.tokens_in", "r.tokens_out")
@@ -287,7 +287,7 @@ def q4_stream_traffic(spark, sf_dir):
 
 @query("SELECT a.event_id AS request_id, min(b.ts) AS settled_at FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 DAY GROUP BY a.event_id")
 def q5_stream_settle(spark, sf_dir):
-    e = lambda kind: event_stream(spark, sf_dir).filter(F.col("event_type") == kind)
+    e = lambda kind: event_stream(spark, sf_dir, None).filter(F.col("event_type") == kind)
     conv = F.concat(F.lit("c"), "user_id").alias("conversation_id")
     asked = e("view").select(F.col("event_id").alias("request_id"), conv, "ts", F.lit(1).alias("position"), F.md5(F.col("user_id").cast("string")).alias("newest_hash"))
     later = e("click").select(conv, "ts", F.array(F.md5(F.col("user_id").cast("string"))).alias("hashes"))
@@ -296,7 +296,7 @@ def q5_stream_settle(spark, sf_dir):
 
 @query("SELECT 's' || a.user_id % 10 AS client_session, a.event_id AS call_id, b.event_id AS opening_id FROM events a JOIN events b ON a.user_id % 10 = b.user_id % 10 AND a.event_type = 'click' AND b.event_type = 'view' AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE AND contains(floor(b.value)::BIGINT::VARCHAR, (floor(a.value)::BIGINT::VARCHAR)[1])")
 def q6_stream_spawn_links(spark, sf_dir):
-    e = lambda kind: event_stream(spark, sf_dir).filter(F.col("event_type") == kind).withColumn("client_session", F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")))
+    e = lambda kind: event_stream(spark, sf_dir, None).filter(F.col("event_type") == kind).withColumn("client_session", F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")))
     digits = F.floor("value").cast("string")
     calls = e("click").select("client_session", F.col("event_id").alias("call_id"), F.substring(digits, 1, 1).alias("prompt"), F.col("ts").alias("called_at"))
     openings = e("view").select("client_session", F.col("event_id").alias("opening_id"), digits.alias("opening"), F.col("ts").alias("opened_at"))
@@ -314,7 +314,7 @@ def q7_stream_health(spark, sf_dir):
 @query("SELECT event_id AS request_id, event_id % 2 AS attempt FROM events")
 def q8_dedupe_requests(spark, sf_dir):
     """Every event twice: one record is left of each."""
-    e = event_stream(spark, sf_dir).select(F.col("event_id").alias("request_id"), (F.col("event_id") % 2).alias("attempt"), "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    e = event_stream(spark, sf_dir, None).select(F.col("event_id").alias("request_id"), (F.col("event_id") % 2).alias("attempt"), "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     return streams.run(streams.dedupe_requests(e)).select("request_id", "attempt")
 
 

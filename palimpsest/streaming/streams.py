@@ -16,9 +16,14 @@ from palimpsest.sources.state import state_folder
 MARGIN_S = 5
 
 
-def open_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A Parquet folder or file as a stream, its schema read from the files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+def open_stream(spark: SparkSession, path: str, files: int | None = 1) -> DataFrame:
+    """A Parquet folder or file as a stream, its schema read from the files; `files` a trigger, None for all at once.
+
+    Files are in no order of time, so what stands behind a watermark reads all at once: else a file's newest row makes rows of
+    later files late.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(f"{path}*")
 
 
 def run(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
