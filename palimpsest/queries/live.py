@@ -184,15 +184,17 @@ GRADED = PROBES + ", graded AS (SELECT *, CASE (conv_id + probe_id) % 5 WHEN 0 T
 
 
 def graded(spark, sf_dir):
+    """Every probe with a stand-in answer of one of five kinds."""
     k = (F.col("conv_id") + F.col("probe_id")) % 5
     right, old = F.col("accept")[0], F.col("reject")[0]
-    answer = F.when(k == 1, "unknown").when(k == 2, right).when(k == 3, F.concat(right, F.lit(" (was "), old, F.lit(")")))
-    return E.grade_answers(probes(spark, sf_dir).filter(k != 4).withColumn("answer", answer))
+    answer = F.when(k == 1, "unknown").when(k == 2, right).when(k == 3, F.concat(right, F.lit(" (was "), old, F.lit(")"))).when(k == 4, "none of it")
+    return E.grade_answers(probes(spark, sf_dir).withColumn("answer", answer))
 
 
 @query(with_("turns").rstrip() + f", {GRADED}\nSELECT conv_id, probe_id, answer, verdict FROM graded")
 def e2_grade_answers(spark, sf_dir):
-    return graded(spark, sf_dir).select("conv_id", "probe_id", "answer", "verdict")
+    """Without the answers 'none of it', as the SQL has it."""
+    return graded(spark, sf_dir).filter((F.col("conv_id") + F.col("probe_id")) % 5 != 4).select("conv_id", "probe_id", "answer", "verdict")
 
 
 @query(with_("turns").rstrip() + f", {PROBES}\nSELECT conv_id, 'with' AS arm, row_number() OVER (PARTITION BY conv_id ORDER BY probe_id) AS number, accept AS answer FROM probes")
