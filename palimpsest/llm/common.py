@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows an Arrow batch than Spark's default, where the session hasn't set its own: texts are long, and a worker holds a batch several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+def each(values: pa.Array, rows: int = 256) -> Iterator:
+    """The values of an Arrow array as Python values, few at a time, so that a worker never holds a whole batch twice."""
+    for k in range(0, len(values), rows):
+        yield from values.slice(k, rows).to_pylist()
 
 
 def row_key(*columns: str | Column) -> Column:

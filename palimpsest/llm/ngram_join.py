@@ -4,22 +4,26 @@ A document's set is its distinct 5-word shingles; documents link at 100 * inters
 
 1. Alike sets become one class, whose least id stands for it.
 2. A fixed-size count of shingle buckets orders the shingles, rare first; any order that all sets share keeps the join exact.
-   A set's prefix is its first n - ceil(0.8 n) + 1 shingles: linked sets share a shingle of their prefixes.
-3. Sets that share a minimum hash are compared with one center; true links form clusters, each with a known number of shingles beyond it.
-4. Inverted lists of prefix shingles are read sorted by size and position, in blocks: a block is skipped whole if no size or
-   position in it can reach the overlap that a link needs. Pairs of one cluster are skipped, for they are connected already,
-   and so are pairs whose lists of one shingle earlier name both.
-5. Of the pairs left, those go whose centers' overlap, and what the sets hold beyond their centers, can't reach a link. Bounds
-   above overlaps come from a few bits of each shingle; pairs that they leave open are compared in full, one of each two
-   clusters first, since a link between clusters settles all pairs of theirs.
-6. Links form components.
+   A set's prefix is its first n - ceil(0.8 n) + 1 shingles: linked sets share a shingle of their prefixes. Each prefix shingle
+   that two classes share at least has an inverted list. An entry of a list carries its set's sketch: the parity of the number
+   of shingles in each of 512 bins. Two sets differ in at least as many shingles as their sketches differ in bits.
+3. Settling: a list's entries, the most central sets first, are compared with the list's leaders only. A set that a leader's
+   sketch allows takes over the leader's answers and is not compared further; one that no leader takes becomes a leader. So a
+   list proposes at most one pair for each entry, however large a group of near copies is. The pairs are compared in full;
+   links form clusters.
+4. The rest: lists are read again, sorted by size and position, in blocks. A block is skipped whole if no size or position in
+   it can reach the overlap that a link needs, if all its sets are of one cluster with the block that it would meet, or if its
+   distances to the list's leader rule it out: what the leader's answers are known to be, a set's own distance to the leader
+   bounds. Single pairs then go by position, cluster, earlier common shingles and sketch. What is left is compared in full.
+5. Links form components.
 
 No pair is dropped: a pair is skipped only if it can't link or is connected. Lists of over `per_list` entries are cut into
 chunks, and each pair of chunks is read by itself.
 
 Null or empty text, and text without words, has an empty set and links with nothing. Rows alike in id are one document, and
-link what any of them links. A null id links with nothing and has a null component. A column named like an output is
-replaced. An empty table gives an empty result.
+link what any of them links. A null id links with nothing and has a null component. A text of any length is read whole; memory
+for it grows with its number of words. Ties, such as equally central sets, go to the least id and change no result. A column
+named like an output is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,27 +39,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from palimpsest.llm.common import cut, small_batches
+from palimpsest.llm.common import cut, each
 from palimpsest.llm.components import components
-from palimpsest.llm.shingles import mixed, shingle_set
+from palimpsest.llm.shingles import shingle_set
 
 PERCENT = 80
 #: Shingle buckets that are counted, and rows they are sent in.
 BUCKETS, SEGMENTS = 1 << 22, 64
-#: Minimum hashes that look for centers.
-SEEDS = 3
 PER_LIST = 20_000
 BLOCK = 64
 #: An entry's size and position are one number, size * PLACE + position.
 PLACE = 1 << 31
 #: Lists of so many entries are read together.
 SHORT = 8
+#: Bits of the sketch that list entries carry. A document's own sketch has as many bits as its size asks for.
+BITS = 512
+#: Leaders that a list keeps while it settles; what none of them takes is left to step 4.
+LEADERS = 64
+#: Times that lists settle before the rest of their pairs is listed.
+SETTLINGS = 2
 #: Up to so many ids (8 bytes each) are broadcast; beyond it Spark shuffles.
-FEW = 400_000
-#: Sets of up to so many shingles are first compared by 16 bits of each.
-WIDE = 4000
-#: Times that one pair of each two clusters is compared before all the rest.
-ROUNDS = 2
+FEW = 100_000
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -77,10 +81,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[at] = np.minimum(counts[at] + new, 65535)
             sets.clear()
 
+    held = 0
     for batch in batches:
-        sets += [shingle_set(t) for t in batch.column(0).to_pylist()]
-        if sum(map(len, sets)) > BUCKETS // 16:
-            add()
+        for t in each(batch.column(0)):
+            sets.append(shingle_set(t))
+            held += len(sets[-1])
+            if held > BUCKETS // 16:
+                add()
+                held = 0
     add()
     parts = counts.reshape(SEGMENTS, -1)
     full = [i for i in range(SEGMENTS) if parts[i].any()]
@@ -90,7 +98,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, data in zip(each(batch.column(0)), each(batch.column(1)), strict=True):
             total[i] = total.get(i, 0) + np.frombuffer(data, np.uint16).astype(np.int64)
     sizes = [np.ceil(np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in total.values()]
     yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "sizes": pa.array(sizes, pa.binary()), "n": pa.array([int(x.sum()) for x in total.values()], pa.int64())})
@@ -101,8 +109,8 @@ def bucket_sizes(docs: DataFrame, text: str) -> np.ndarray:
 
     Counts cover all documents; what comes to the driver is SEGMENTS rows, 4 MB, whatever the input's size.
     """
-    each = docs.select(text).mapInArrow(_counted, "segment int, counts binary")
-    rows = each.repartition(SEGMENTS, "segment").mapInArrow(_summed, "segment int, sizes binary, n long").collect()
+    found = docs.select(text).mapInArrow(_counted, "segment int, counts binary")
+    rows = found.repartition(SEGMENTS, "segment").mapInArrow(_summed, "segment int, sizes binary, n long").collect()
     sizes = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint8)
     for r in rows:
         sizes[r["segment"]] = np.frombuffer(r["sizes"], np.uint8)
@@ -111,25 +119,42 @@ def bucket_sizes(docs: DataFrame, text: str) -> np.ndarray:
     return np.maximum(sizes.reshape(-1).astype(np.int16) - usual, 0).astype(np.uint8)
 
 
+def parity(s: np.ndarray, bits: int) -> bytes:
+    """For each of `bits` bins, by the low bits of the hash, whether an odd number of shingles falls into it."""
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def bits_for(n: int, percent: int = PERCENT) -> int:
+    """A power of two, four times the most shingles in which a set of n and a linked one can differ, or more."""
+    return 1 << max(6, int(np.ceil(np.log2(max(1, 8 * n * (100 - percent) / (100 + percent))))))
+
+
+def apart(x: bytes | np.ndarray, y: bytes | np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter; sets differ in as many shingles at least."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
 def features(docs: DataFrame, id_col: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """id, n, digest of the set (d1, d2), minimum hashes (keys) and prefix, one row a document."""
+    """id, n, digest of the set (d1, d2), prefix, and the sketches own (as long as n asks for) and fixed (BITS), one row a document."""
     sizes = docs.sparkSession.sparkContext.broadcast(bucket_sizes(docs, text))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = sizes.value
         for batch in batches:
             out = []
-            for t in batch.column(1).to_pylist():
+            for t in each(batch.column(1)):
                 s = shingle_set(t)
                 order = np.lexsort((s, rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                keys = [int(mixed(s + np.uint64(k + 1)).min().astype(np.int64)) for k in range(SEEDS)] if len(s) else []
-                out.append((len(s), *digest, keys, s[order][: prefix_length(len(s), percent)].astype(np.int64)))
-            n, d1, d2, keys, prefix = zip(*out, strict=True) if out else ((),) * 5
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, longs), pa.array(prefix, longs)], ["id", "n", "d1", "d2", "keys", "prefix"])
+                out.append((len(s), *digest, s[order][: prefix_length(len(s), percent)].astype(np.int64), parity(s, bits_for(len(s), percent)), parity(s, BITS)))
+            n, d1, d2, prefix, own, fixed = zip(*out, strict=True) if out else ((),) * 6
+            columns = [batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(own, pa.binary()), pa.array(fixed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "prefix", "own", "fixed"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, d1 long, d2 long, keys array<long>, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, d1 long, d2 long, prefix array<long>, own binary, fixed binary")
 
 
 @F.arrow_udf(LongType())
@@ -145,212 +170,189 @@ def shared_shingles(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(BinaryType())
 def packed(texts: pa.Array) -> pa.Array:
-    return pa.array([shingle_set(t).tobytes() for t in texts.to_pylist()], pa.binary())
-
-
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """A set's low bits, sorted: 16 of each hash, or 32 where 16 would let too many fall together."""
-    return np.sort(s.astype(np.uint16 if len(s) <= WIDE else np.uint32))
-
-
-@F.arrow_udf(BinaryType())
-def sketched(texts: pa.Array) -> pa.Array:
-    """A byte that tells the width, and the set's low bits."""
-    return pa.array([bytes([x.itemsize]) + x.tobytes() for x in (_sketch(shingle_set(t)) for t in texts.to_pylist())], pa.binary())
-
-
-def _numbered(data: pa.Scalar, width: int) -> np.ndarray:
-    """Low bits of one width, each with its number among its equals, so that all differ."""
-    raw = data.as_buffer()
-    x = np.frombuffer(raw, np.dtype(f"u{raw[0]}"), offset=1)
-    if raw[0] > width:
-        x = np.sort(x.astype(f"u{width}"))
-    first = np.concatenate([[True], x[1:] != x[:-1]])
-    place = np.arange(len(x))
-    return (x.astype(np.uint64) << np.uint64(24)) + (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+    return pa.array([shingle_set(t).tobytes() for t in each(texts)], pa.binary())
 
 
 @F.arrow_udf(LongType())
-def most_shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    """At least as many as the shingles that two sets have in common: equal shingles have equal low bits."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        width = min(x.as_buffer()[0], y.as_buffer()[0])
-        both = np.concatenate([_numbered(x, width), _numbered(y, width)])
-        both.sort(kind="stable")
-        out.append(int((both[1:] == both[:-1]).sum()))
-    return pa.array(out, pa.int64())
-
-
-def compared(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, exact: bool) -> DataFrame:
-    """pairs (a, b, ...) with `shared`: the size of the intersection, or, from a quarter of the data or less, a bound above it.
-
-    Only the texts of ids in pairs are shingled and sent.
-    """
-    pairs = cut(pairs)
-    few = pairs.count() <= FEW
-    small = F.broadcast if few else lambda df: df
-    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    pack, count = (packed, shared_shingles) if exact else (sketched, most_shared)
-    sets = lambda end: known.join(small(pairs.select(F.col(end).alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias(end), pack("text").alias(f"set_{end}"))
-    one = sets("a").join(small(pairs), "a")
-    return one.join(sets("b"), "b").withColumn("shared", count("set_a", "set_b")).drop("set_a", "set_b")
-
-
-def linkable(n, pos, prev, cluster, doc, side, a, b, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of entries (a, b) of one list, a before b, those that may link and that no earlier list of both names.
-
-    side: 0 in both chunks, 1 in the first only, 2 in the second only.
-    """
-    ok = (cluster[a] != cluster[b]) & ((side[a] == 0) & (side[b] == 0) | (side[a] != side[b]))
-    ok &= (pos[a] == 0) | (pos[b] == 0) | (prev[a] != prev[b])
-    ok &= n[a] * 100 >= n[b] * percent
-    ok &= 1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= least_overlap(n[a], n[b], percent)
-    return doc[a[ok]], doc[b[ok]]
-
-
-def _read_lists(percent: int):
-    """Candidate pairs of rows sorted by (token, i, j, n, pos); a list's rows follow each other."""
-
-    def pairs_of(n, pos, prev, cluster, doc, side):
-        """Pairs in one long list, block by block."""
-        for first in range(0, len(n), BLOCK):
-            here = slice(first, first + BLOCK)
-            rest = slice(first, int(np.searchsorted(n, n[here][-1] * 100 // percent, "right")))
-            # Blocks of the rest by their least size and position: what can't reach the overlap is skipped whole.
-            starts = np.arange(rest.start, rest.stop, BLOCK)
-            if not len(starts):
+def bits_apart(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([apart(x.as_buffer(), y.as_buffer()) for x, y in zip(a, b, strict=True)], pa.int64())
+
+
+def links_among(pairs: DataFrame, alone: DataFrame, docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that link. Whole sets are made and sent only for pairs that their own sketches leave open."""
+    ends = [alone.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab"]
+    met = pairs.select("a", "b").join(ends[0], "a").join(ends[1], "b")
+    most = (F.col("n_a") + F.col("n_b") - bits_apart("own_a", "own_b")) / 2  # shingles that the two can share
+    able = cut(met.filter(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b").distinct())
+    wanted = able.select(F.col("a").alias("id")).union(able.select("b")).distinct()
+    if able.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    sets = cut(known.select("id", packed("text").alias("set")))
+    one = able.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").withColumn("shared", shared_shingles("set_a", "set_b"))
+    size = (F.octet_length("set_a") + F.octet_length("set_b")) / 8
+    return cut(both.filter(100 * F.col("shared") >= percent * (size - F.col("shared"))).select("a", "b").distinct())
+
+
+NAMES = ("token", "i", "j", "n", "pos", "prev", "cluster", "id", "side")
+
+
+class Lists:
+    """Inverted lists of rows that follow each other by (token, i, j), read one list, or many short ones, at a time."""
+
+    def __init__(self, percent: int, settle: bool):
+        self.percent, self.settle = percent, settle
+
+    def able(self, c, bits, a, b) -> np.ndarray:
+        """Whether the entries a and b of a list may link by size, chunk, cluster and sketch."""
+        n, cluster, doc, side = c["n"], c["cluster"], c["id"], c["side"]
+        ok = (doc[a] != doc[b]) & (cluster[a] != cluster[b]) & ((side[a] == 0) & (side[b] == 0) | (side[a] != side[b]))
+        ok &= np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * self.percent
+        # Sets that differ in d shingles share (n + m - d) / 2.
+        room = n[a] + n[b] - 2 * least_overlap(n[a], n[b], self.percent)
+        ok[ok] &= np.bitwise_count(bits[a[ok]] ^ bits[b[ok]]).sum(1, dtype=np.int64) <= room[ok]
+        return ok
+
+    def placed(self, c, a, b) -> np.ndarray:
+        """Of pairs in which a is not the larger: whether positions leave room for a link, and no earlier list names both."""
+        n, pos, prev = c["n"], c["pos"], c["prev"]
+        ok = (pos[a] == 0) | (pos[b] == 0) | (prev[a] != prev[b])
+        return ok & (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= least_overlap(n[a], n[b], self.percent))
+
+    def short(self, c, bits, place):
+        """Pairs of many short lists at once: each entry against the next, the one after it, and so on."""
+        taken = np.zeros(len(place), bool)
+        for step in range(1, SHORT):
+            a = np.flatnonzero(place[:-step] == place[step:])
+            if self.settle:
+                a = a[~taken[a + step]]
+            if not len(a):
                 continue
-            low_n, low_pos = n[starts], np.minimum.reduceat(pos[rest.start : rest.stop], starts - rest.start)
-            high_n = n[np.minimum(starts + BLOCK, rest.stop) - 1]
-            reach = 1 + np.minimum(n[here].max() - pos[here].min() - 1, high_n - low_pos - 1)
-            for s in starts[reach >= least_overlap(n[here].min(), low_n, percent)]:
-                there = slice(int(s), min(int(s) + BLOCK, rest.stop))
-                a, b = np.meshgrid(np.arange(here.start, min(here.stop, len(n))), np.arange(there.start, there.stop), indexing="ij")
-                a, b = a.ravel(), b.ravel()
-                yield linkable(n, pos, prev, cluster, doc, side, a[a < b], b[a < b], percent)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("token", "i", "j", "n", "pos", "prev", "cluster", "id", "side")
-        held = [np.zeros(0, np.int64)] * len(names)
-
-        def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
-            own = {name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in batch.schema.names}
+            if not self.settle:
+                a = a[self.placed(c, a, a + step)]
+            a = a[self.able(c, bits, a, a + step)]
+            taken[a + step] = True
+            yield a, a + step
+
+    def leaders(self, c, bits, here):
+        """One pair at most for each entry of a list: with the first leader that may take it."""
+        heads = np.zeros(0, np.int64)
+        for first in range(here.start, here.stop, BLOCK * 16):
+            left = np.arange(first, min(first + BLOCK * 16, here.stop))
+            for h in heads:
+                left = yield from self.taken(c, bits, h, left)
+            while len(left) and len(heads) < LEADERS:
+                heads = np.append(heads, left[0])
+                left = yield from self.taken(c, bits, left[0], left[1:])
+
+    def taken(self, c, bits, head, left):
+        ok = self.able(c, bits, np.full(len(left), head), left)
+        yield np.full(int(ok.sum()), head), left[ok]
+        return left[~ok & (c["id"][left] != c["id"][head])]
+
+    def blocks(self, c, bits, here):
+        """Pairs of one long list, sorted by size and position, block by block."""
+        n, pos, cluster = c["n"][here], c["pos"][here], c["cluster"][here]
+        starts = np.arange(0, len(n), BLOCK)
+        ends = np.minimum(starts + BLOCK, len(n))
+        low_n, high_n, low_pos = n[starts], n[ends - 1], np.minimum.reduceat(pos, starts)
+        least_c, most_c = np.minimum.reduceat(cluster, starts), np.maximum.reduceat(cluster, starts)
+        far = np.bitwise_count(bits[here] ^ bits[here.start + len(n) // 2]).sum(1, dtype=np.int64)  # distance to a leader
+        near_f, far_f = np.minimum.reduceat(far, starts), np.maximum.reduceat(far, starts)
+        for k in range(len(starts)):
+            m = np.arange(k, len(starts))
+            ok = (low_n[m] * self.percent <= high_n[k] * 100) & ~((least_c[m] == most_c[m]) & (least_c[k] == most_c[k]) & (least_c[m] == least_c[k]))
+            ok &= 1 + np.minimum(high_n[k] - low_pos[k] - 1, high_n[m] - low_pos[m] - 1) >= least_overlap(low_n[k], low_n[m], self.percent)
+            ok &= np.maximum(near_f[m] - far_f[k], near_f[k] - far_f[m]) <= high_n[k] + high_n[m] - 2 * least_overlap(high_n[k], high_n[m], self.percent) + 2
+            for s in m[ok]:
+                a, b = np.meshgrid(np.arange(starts[k], ends[k]), np.arange(starts[s], ends[s]), indexing="ij")
+                a, b = a.ravel() + here.start, b.ravel() + here.start
+                a, b = a[a < b], b[a < b]
+                ok_placed = self.placed(c, a, b)
+                a, b = a[ok_placed], b[ok_placed]
+                ok_able = self.able(c, bits, a, b)
+                yield a[ok_able], b[ok_able]
+
+    def pairs(self, c, bits, bounds):
+        sizes = np.diff(bounds)
+        place = np.repeat(np.arange(len(sizes)), sizes)
+        few = np.flatnonzero(sizes[place] <= SHORT)
+        found = [(few[a], few[b]) for a, b in self.short({k: v[few] for k, v in c.items()}, bits[few], place[few])] if len(few) else []
+        for k in np.flatnonzero(sizes > SHORT):
+            found += (self.leaders if self.settle else self.blocks)(c, bits, slice(int(bounds[k]), int(bounds[k + 1])))
+        a, b = (c["id"][np.concatenate(x)] for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = {name: np.zeros(0, np.int64) for name in NAMES}, np.zeros((0, BITS // 64), np.uint64)
+
+        def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            own = {name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in batch.schema.names if name != "fixed"}
             own["n"], own["pos"] = own["place"] // PLACE, own["place"] % PLACE
-            return [own.get(name, np.zeros(batch.num_rows, np.int64)) for name in names]
-
-        def lists(columns, bounds):
-            sizes = np.diff(bounds)
-            seen: list[tuple[np.ndarray, np.ndarray]] = []
-            # Short lists all at once: each entry against the next, the one after it, and so on.
-            place = np.repeat(np.arange(len(sizes)), sizes)
-            short = sizes[place] <= SHORT
-            for step in range(1, SHORT):
-                a = np.flatnonzero(short[:-step] & (place[:-step] == place[step:]))
-                if not len(a):
-                    break
-                seen.append(linkable(*columns[3:], a, a + step, percent))
-            for k in np.flatnonzero(sizes > SHORT):
-                seen += pairs_of(*(c[bounds[k] : bounds[k + 1]] for c in columns[3:]))
-            a, b = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int64),) * 2
-            if not len(a):
-                return None
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            return {name: own.get(name, np.zeros(batch.num_rows, np.int64)) for name in NAMES}
 
-        def read_on(columns, last: bool):
-            token, i, j = columns[:3]
-            new = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            bounds = np.concatenate([[0], new, [len(token)] if last else []]).astype(np.int64)
-            return (lists([c[: bounds[-1]] for c in columns], bounds) if len(bounds) > 1 else None), [c[bounds[-1] :] for c in columns]
+        def read_on(last: bool):
+            new = np.flatnonzero(np.any([held[x][1:] != held[x][:-1] for x in ("token", "i", "j")], axis=0)) + 1
+            bounds = np.concatenate([[0], new, [len(bits)] if last else []]).astype(np.int64)
+            ends = bounds[-1]
+            pairs = self.pairs({k: v[:ends] for k, v in held.items()}, bits[:ends], bounds) if ends else np.zeros((2, 0), np.int64)
+            batch = pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            return batch, {k: v[ends:] for k, v in held.items()}, bits[ends:]
 
         for batch in batches:
             if batch.num_rows:
-                found, held = read_on([np.concatenate(x) for x in zip(held, columns_of(batch), strict=True)], False)
-                if found:
-                    yield found
-        if len(held[0]):
-            found, _ = read_on(held, True)
-            if found:
+                new = columns_of(batch)
+                held = {k: np.concatenate([v, new[k]]) for k, v in held.items()}
+                fixed = b"".join(each(batch.column("fixed")))
+                bits = np.concatenate([bits, np.frombuffer(fixed, np.uint64).reshape(batch.num_rows, -1)])
+                found, held, bits = read_on(False)
                 yield found
+        if len(bits):
+            yield read_on(True)[0]
+
+
+def live_entries(alone: DataFrame) -> DataFrame:
+    """token, id, place, prev, rows: the prefix shingles that `rows` classes, two at least, have in their prefixes."""
+    entries = alone.select("id", F.expr(f"inline(transform(prefix, (t, k) -> struct(t as token, n * {PLACE} + k as place, if(k > 0, prefix[k - 1], 0L) as prev)))"))
+    rows = alone.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return entries.join(rows, "token")
+
 
-    return read
-
-
-def candidates(sets: DataFrame, percent: int = PERCENT, per_list: int = PER_LIST) -> DataFrame:
-    """Distinct pairs (a < b) of different clusters that may link. sets: id, n, cluster, prefix."""
-    entries = sets.select("id", "cluster", F.expr(f"inline(transform(prefix, (t, k) -> struct(t as token, n * {PLACE} + k as place, if(k > 0, prefix[k - 1], 0L) as prev)))"))
-    sizes = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > per_list)
-    long_lists = cut(sizes.select("token", F.ceil(F.col("rows") / per_list).alias("chunks")))
-    chunks = []
-    if not long_lists.isEmpty():
-        chunks = ["i", "j"]
-        # An entry of chunk c meets chunk j >= c as the first, and chunk i < c as the second.
-        some = long_lists.count() <= FEW
-        entries = entries.join(F.broadcast(long_lists) if some else long_lists, "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        c = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-        others = F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("o")
-        entries = entries.withColumn("c", c).select("*", others)
-        side = F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
-        entries = entries.withColumns({"i": F.least("c", "o"), "j": F.greatest("c", "o"), "side": side}).drop("chunks", "c", "o")
-    dealt = entries.repartition("token", *chunks).sortWithinPartitions("token", *chunks, "place", "id")
-    return dealt.mapInArrow(_read_lists(percent), "a long, b long").distinct()
+def proposed(live: DataFrame, sets: DataFrame, percent: int, per_list: int, settle: bool) -> DataFrame:
+    """Distinct pairs (a < b) of different clusters: to settle, at most one an entry; else all that may link. sets: id, cluster, central, fixed."""
+    entries = live.join(sets, "id")
+    # An entry of chunk c meets chunk j >= c as the first, and chunk i < c as the second.
+    n = F.ceil(F.col("rows") / per_list).cast("int")
+    c = F.pmod(F.xxhash64("id"), n).cast("int")
+    entries = entries.select("*", c.alias("c"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
+    side = F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
+    entries = entries.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), side.alias("side"), "place", "prev", "id", "cluster", "fixed", "central")
+    order = [F.desc("central"), "id"] if settle else ["place", "id"]
+    dealt = entries.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", *order)
+    return dealt.mapInArrow(Lists(percent, settle), "a long, b long").distinct()
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT, per_list: int = PER_LIST) -> DataFrame:
     """One row a document: id_col, n_shingles, component_id."""
-    small_batches(docs.sparkSession)
     known = cut(features(docs, id_col, text, percent))
     full = known.filter("n > 0 and id is not null")
-    classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    members = cut(full.select("id", "n", "d1", "d2", "keys").join(classes, ["n", "d1", "d2"]).select("id", "rep", "n", "keys"))
-    alone = members.filter("id = rep").select("id", "n", "keys").dropDuplicates(["id", "n"])
-
-    # 3. One center for each minimum hash, another one by each seed.
-    keyed = alone.select("id", "n", F.posexplode("keys").alias("seed", "key"))
-    center = F.min_by("id", F.xxhash64("seed", "id")).alias("c")
-    centers = keyed.groupBy("seed", "key").agg(center, F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    stars = keyed.join(centers, ["seed", "key"]).filter("id <> c").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("b")).distinct()
-    stars = stars.join(alone.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").filter(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}")
-    linked = f"100 * shared >= {percent} * (n_a + n_b - shared)"
-    near = cut(compared(stars, docs, id_col, text, True).filter(linked).select("a", "b", "n_a", "n_b", "shared"))
-    clusters = components(near)
-    # A document's center is the one that it shares most with; other documents are their own.
-    own = near.groupBy("a").agg(F.max(F.struct("shared", "b", "n_a")).alias("x")).select(F.col("a").alias("id"), F.col("x.b").alias("center"), (F.col("x.n_a") - F.col("x.shared")).alias("more"))
-
-    # 4. Pairs of different clusters.
-    placed = alone.select("id").distinct().join(clusters.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    pairs = cut(candidates(full.select("id", "n", "prefix").join(placed, "id"), percent, per_list))
-
-    # 5. The centers' overlap, and from it bounds for the pair's.
-    facts = cut(alone.join(own, "id", "left").join(placed, "id").select("id", "n", "cluster", F.coalesce("center", "id").alias("center"), F.coalesce("more", F.lit(0)).alias("more")))
-    ends = [facts.select(F.col("id").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in ("n", "cluster", "center", "more"))) for x in "ab"]
-    told = cut(pairs.join(ends[0], "a").join(ends[1], "b"))
-    of_centers = told.filter("center_a <> center_b").select(F.least("center_a", "center_b").alias("a"), F.greatest("center_a", "center_b").alias("b")).distinct()
-    first = compared(of_centers, docs, id_col, text, False).select(F.col("a").alias("ca"), F.col("b").alias("cb"), "shared")
-    bounded = told.join(first, (F.least("center_a", "center_b") == F.col("ca")) & (F.greatest("center_a", "center_b") == F.col("cb")), "left")
-    high = F.least("n_a", "n_b", F.col("shared") + F.col("more_a") + F.col("more_b"))
-    may_link = F.coalesce(100 * high >= percent * (F.col("n_a") + F.col("n_b") - high), F.lit(True))
-    open_pairs = cut(bounded.filter(may_link).select("a", "b", "n_a", "n_b", "cluster_a", "cluster_b"))
-    links = near.select("a", "b")
-    # One pair of each two clusters first; what it joins needs no other pair.
-    for _ in range(ROUNDS):
-        ends = [F.least("cluster_a", "cluster_b").alias("x"), F.greatest("cluster_a", "cluster_b").alias("y")]
-        one = F.min_by(F.struct("a", "b", "n_a", "n_b", "cluster_a", "cluster_b"), F.xxhash64("a", "b"))
-        tried = cut(open_pairs.groupBy(*ends).agg(one.alias("p")).select("p.*"))
-        if tried.isEmpty():
-            break
-        joined = cut(compared(tried, docs, id_col, text, True).filter(linked).select("a", "b", "cluster_a", "cluster_b"))
-        links = links.union(joined.select("a", "b"))
-        merged = components(joined, "cluster_a", "cluster_b")
-        for end in ("cluster_a", "cluster_b"):
-            open_pairs = open_pairs.join(merged.select(F.col("node").alias(end), F.col("component").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        open_pairs = cut(open_pairs.filter("cluster_a <> cluster_b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    left = open_pairs.select("a", "b", "n_a", "n_b")
-    nearer = compared(left, docs, id_col, text, False).filter(linked).drop("shared")
-    rest = compared(nearer, docs, id_col, text, True).filter(linked)
-
-    # 6. All links: alike sets, clusters, and the pairs.
-    same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = components(same.union(links).union(rest.select("a", "b")))
+    alone = cut(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"), F.first("own").alias("own"), F.first("fixed").alias("fixed")))
+    same = full.select("id", "n", "d1", "d2").join(alone.select("n", "d1", "d2", F.col("id").alias("rep")), ["n", "d1", "d2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
+    live = cut(live_entries(alone))
+    # Sets whose prefix others have too, and have often, stand in the middle of their group; so do those with many copies.
+    weight = live.groupBy("id").agg(F.sum(F.log2("rows")).alias("w"))
+    central = F.round(F.col("w") / F.size("prefix") * 1000).cast("long") * 1000 + F.least(F.col("copies"), F.lit(999))
+    sets = cut(alone.join(weight, "id").select("id", "fixed", central.alias("central")))
+    links, clusters = None, sets.select("id", F.col("id").alias("cluster"))
+    for settle in [True] * SETTLINGS + [False]:
+        pairs = cut(proposed(live, sets.join(clusters, "id"), percent, per_list, settle))
+        more = links_among(pairs, alone, docs, id_col, text, percent)
+        links = more if links is None else links.union(more)
+        if settle:
+            nodes = components(links).select(F.col("node").alias("id"), "component")
+            clusters = sets.select("id").join(nodes, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+    found = components(same.union(links))
     return known.select("id", "n").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

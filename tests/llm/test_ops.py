@@ -347,20 +347,52 @@ def test_join_edges(spark):
     assert ngram_join.ngram_join(documents(spark, EDGES).limit(0)).count() == 0
 
 
-def test_bounds_are_never_below_overlaps():
-    import pyarrow as pa
-
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
     rng = np.random.default_rng(1)
-    for n, m in ((10, 12), (3000, 3900), (3990, 4300), (6000, 7000)):
+    for n, m in ((1, 1), (10, 12), (3000, 3900), (3990, 4300), (6000, 7000)):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, m - n // 2, dtype=np.uint64)]))
-        pack = lambda s: pa.scalar(bytes([ngram_join._sketch(s).itemsize]) + ngram_join._sketch(s).tobytes(), pa.binary())
-        x, y = pack(a), pack(b)
-        width = min(x.as_buffer()[0], y.as_buffer()[0])
-        both = np.concatenate([ngram_join._numbered(x, width), ngram_join._numbered(y, width)])
-        bound = len(both) - len(np.unique(both))
-        true = len(np.intersect1d(a, b))
-        assert true <= bound <= true + (n * m) // 65536 + 60
+        apart = len(np.setxor1d(a, b))
+        for x, y in ((ngram_join.bits_for(n), ngram_join.bits_for(m)), (512, 512), (64, 4096)):
+            assert ngram_join.apart(ngram_join.parity(a, x), ngram_join.parity(b, y)) <= apart
+        few = np.concatenate([a, rng.integers(0, 2**63, 3, dtype=np.uint64)])
+        assert ngram_join.apart(ngram_join.parity(a, ngram_join.bits_for(n)), ngram_join.parity(few, ngram_join.bits_for(n))) in (1, 3)
+
+
+def group_of_near_copies(n, longest=60):
+    """Copies of one text that isn't among them, each with one to three other words, so that most pairs don't link."""
+    rnd = random.Random(n)
+    base = [f"w{rnd.randint(0, 99999)}" for _ in range(longest)]
+    docs = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            w[rnd.randrange(longest)] = f"z{rnd.randint(0, 10**6)}"
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("options", [{}, {"per_list": 40}])
+def test_join_of_a_large_group_equals_brute_force(spark, options):
+    docs = group_of_near_copies(500) + [(i + 500, t) for i, t in group_of_near_copies(100, 200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(documents(spark, docs), **options).collect()}
+    assert got == plain_join(docs)
+
+
+def test_candidates_grow_with_the_group_not_its_square(spark, monkeypatch):
+    listed = []
+    given = ngram_join.proposed
+
+    def counted(*args):
+        out = given(*args)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "proposed", counted)
+    for n in (300, 1200):
+        ngram_join.ngram_join(spark.createDataFrame(group_of_near_copies(n), "doc_id long, text string"))
+    half = len(listed) // 2
+    assert sum(listed[:half]) < 300 and sum(listed[half:]) < 1200
 
 
 def test_components_of_a_path(spark):
