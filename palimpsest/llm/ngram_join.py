@@ -6,7 +6,7 @@ A document's set is its distinct 5-word shingles; documents link at 100 * inters
 2. A fixed-size count of shingle buckets orders the shingles, rare first; any order that all sets share keeps the join exact.
    A set's prefix is its first n - ceil(0.8 n) + 1 shingles: linked sets share a shingle of their prefixes. Each prefix shingle
    that two classes share at least has an inverted list. An entry of a list carries its set's sketch: the parity of the number
-   of shingles in each of 512 bins. Two sets differ in at least as many shingles as their sketches differ in bits.
+   of shingles in each of 256 bins. Two sets differ in at least as many shingles as their sketches differ in bits.
 3. Settling: a list's entries, the most central sets first, are compared with the list's leaders only. A set that a leader's
    sketch allows takes over the leader's answers and is not compared further; one that no leader takes becomes a leader. So a
    list proposes at most one pair for each entry, however large a group of near copies is. The pairs are compared in full;
@@ -14,7 +14,7 @@ A document's set is its distinct 5-word shingles; documents link at 100 * inters
 4. The rest: lists are read again, sorted by size and position, in blocks. A block is skipped whole if no size or position in
    it can reach the overlap that a link needs, if all its sets are of one cluster with the block that it would meet, or if its
    distances to the list's leader rule it out: what the leader's answers are known to be, a set's own distance to the leader
-   bounds. Single pairs then go by position, cluster, earlier common shingles and sketch. What is left is compared in full.
+   bounds. Single pairs then go by position, cluster and sketch. What is left is compared in full.
 5. Links form components.
 
 No pair is dropped: a pair is skipped only if it can't link or is connected. Lists of over `per_list` entries are cut into
@@ -35,7 +35,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
@@ -45,15 +45,13 @@ from palimpsest.llm.shingles import shingle_set
 
 PERCENT = 80
 #: Shingle buckets that are counted, and rows they are sent in.
-BUCKETS, SEGMENTS = 1 << 22, 64
+BUCKETS, SEGMENTS = 1 << 21, 64
 PER_LIST = 20_000
 BLOCK = 64
-#: An entry's size and position are one number, size * PLACE + position.
-PLACE = 1 << 31
 #: Lists of so many entries are read together.
 SHORT = 8
 #: Bits of the sketch that list entries carry. A document's own sketch has as many bits as its size asks for.
-BITS = 512
+BITS = 256
 #: Leaders that a list keeps while it settles; what none of them takes is left to step 4.
 LEADERS = 64
 #: Times that lists settle before the rest of their pairs is listed.
@@ -107,7 +105,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bucket_sizes(docs: DataFrame, text: str) -> np.ndarray:
     """For each of BUCKETS buckets of shingles a rank by the number of sets that hold one, 0 for all that are not frequent.
 
-    Counts cover all documents; what comes to the driver is SEGMENTS rows, 4 MB, whatever the input's size.
+    Counts cover all documents; what comes to the driver is SEGMENTS rows, 2 MB, whatever the input's size.
     """
     found = docs.select(text).mapInArrow(_counted, "segment int, counts binary")
     rows = found.repartition(SEGMENTS, "segment").mapInArrow(_summed, "segment int, sizes binary, n long").collect()
@@ -138,7 +136,10 @@ def apart(x: bytes | np.ndarray, y: bytes | np.ndarray) -> int:
 
 
 def features(docs: DataFrame, id_col: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """id, n, digest of the set (d1, d2), prefix, and the sketches own (as long as n asks for) and fixed (BITS), one row a document."""
+    """One row a document: id, n, digest of the set (d1, d2), prefix, how many shingles of it are `rare`, and sketches.
+
+    The sketch `own` is as long as n asks for, `fixed` has BITS.
+    """
     sizes = docs.sparkSession.sparkContext.broadcast(bucket_sizes(docs, text))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +148,15 @@ def features(docs: DataFrame, id_col: str, text: str, percent: int = PERCENT) ->
             out = []
             for t in each(batch.column(1)):
                 s = shingle_set(t)
-                order = np.lexsort((s, rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+                ranks = rank[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                order = np.lexsort((s, ranks))[: prefix_length(len(s), percent)]
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
-                out.append((len(s), *digest, s[order][: prefix_length(len(s), percent)].astype(np.int64), parity(s, bits_for(len(s), percent)), parity(s, BITS)))
-            n, d1, d2, prefix, own, fixed = zip(*out, strict=True) if out else ((),) * 6
-            columns = [batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), pa.array(prefix, pa.list_(pa.int64())), pa.array(own, pa.binary()), pa.array(fixed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "prefix", "own", "fixed"])
+                out.append((len(s), *digest, int((ranks[order] == 0).sum()), s[order].astype(np.int64), parity(s, bits_for(len(s), percent)), parity(s, BITS)))
+            n, d1, d2, rare, prefix, own, fixed = zip(*out, strict=True) if out else ((),) * 7
+            columns = [batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2, rare)), pa.array(prefix, pa.list_(pa.int64())), pa.array(own, pa.binary()), pa.array(fixed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "rare", "prefix", "own", "fixed"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, d1 long, d2 long, prefix array<long>, own binary, fixed binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, d1 long, d2 long, rare long, prefix array<long>, own binary, fixed binary")
 
 
 @F.arrow_udf(LongType())
@@ -195,7 +197,7 @@ def links_among(pairs: DataFrame, alone: DataFrame, docs: DataFrame, id_col: str
     return cut(both.filter(100 * F.col("shared") >= percent * (size - F.col("shared"))).select("a", "b").distinct())
 
 
-NAMES = ("token", "i", "j", "n", "pos", "prev", "cluster", "id", "side")
+NAMES = ("token", "i", "j", "n", "pos", "cluster", "id", "side")
 
 
 class Lists:
@@ -215,10 +217,9 @@ class Lists:
         return ok
 
     def placed(self, c, a, b) -> np.ndarray:
-        """Of pairs in which a is not the larger: whether positions leave room for a link, and no earlier list names both."""
-        n, pos, prev = c["n"], c["pos"], c["prev"]
-        ok = (pos[a] == 0) | (pos[b] == 0) | (prev[a] != prev[b])
-        return ok & (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= least_overlap(n[a], n[b], self.percent))
+        """Whether positions leave room for a link of a and b, if this list's shingle is the first that they share."""
+        n, pos = c["n"], c["pos"]
+        return np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least_overlap(n[a], n[b], self.percent)
 
     def short(self, c, bits, place):
         """Pairs of many short lists at once: each entry against the next, the one after it, and so on."""
@@ -289,7 +290,6 @@ class Lists:
 
         def columns_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
             own = {name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in batch.schema.names if name != "fixed"}
-            own["n"], own["pos"] = own["place"] // PLACE, own["place"] % PLACE
             return {name: own.get(name, np.zeros(batch.num_rows, np.int64)) for name in NAMES}
 
         def read_on(last: bool):
@@ -313,22 +313,33 @@ class Lists:
 
 
 def live_entries(alone: DataFrame) -> DataFrame:
-    """token, id, place, prev, rows: the prefix shingles that `rows` classes, two at least, have in their prefixes."""
-    entries = alone.select("id", F.expr(f"inline(transform(prefix, (t, k) -> struct(t as token, n * {PLACE} + k as place, if(k > 0, prefix[k - 1], 0L) as prev)))"))
-    rows = alone.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    return entries.join(rows, "token")
+    """token, id, pos, rows: the prefix shingles that `rows` classes, two at least, have in their prefixes.
+
+    Rare shingles are counted where they meet; there are at most a bucket's usual number of each. Others are summed beforehand.
+    """
+    entries = alone.select("id", "rare", F.posexplode("prefix").alias("pos", "token"))
+    rare = entries.filter("pos < rare").select("token", "id", "pos").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    frequent = entries.filter("pos >= rare").select("token", "id", "pos")
+    rows = frequent.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    return rare.union(frequent.join(rows, "token").select("token", "id", "pos", "rows")).filter("rows > 1")
+
+
+def open_lists(live: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Of live's lists those whose sets are not all of one cluster. clusters: id, cluster."""
+    ends = live.select("token", "id").join(clusters, "id").groupBy("token").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"))
+    return live.join(ends.filter("x < y").select("token"), "token", "left_semi")
 
 
 def proposed(live: DataFrame, sets: DataFrame, percent: int, per_list: int, settle: bool) -> DataFrame:
-    """Distinct pairs (a < b) of different clusters: to settle, at most one an entry; else all that may link. sets: id, cluster, central, fixed."""
+    """Distinct pairs (a < b) of different clusters: to settle, at most one an entry; else all that may link. sets: id, n, cluster, central, fixed."""
     entries = live.join(sets, "id")
     # An entry of chunk c meets chunk j >= c as the first, and chunk i < c as the second.
-    n = F.ceil(F.col("rows") / per_list).cast("int")
-    c = F.pmod(F.xxhash64("id"), n).cast("int")
-    entries = entries.select("*", c.alias("c"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
+    chunks = F.ceil(F.col("rows") / per_list).cast("int")
+    c = F.pmod(F.xxhash64("id"), chunks).cast("int")
+    entries = entries.select("*", c.alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
     side = F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), 1).otherwise(2)
-    entries = entries.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), side.alias("side"), "place", "prev", "id", "cluster", "fixed", "central")
-    order = [F.desc("central"), "id"] if settle else ["place", "id"]
+    entries = entries.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), side.alias("side"), "n", "pos", "id", "cluster", "fixed", *(["central"] if settle else []))
+    order = [F.desc("central"), "id"] if settle else ["n", "pos", "id"]
     dealt = entries.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", *order)
     return dealt.mapInArrow(Lists(percent, settle), "a long, b long").distinct()
 
@@ -337,14 +348,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     """One row a document: id_col, n_shingles, component_id."""
     known = cut(features(docs, id_col, text, percent))
     full = known.filter("n > 0 and id is not null")
-    alone = cut(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"), F.first("own").alias("own"), F.first("fixed").alias("fixed")))
+    alone = cut(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("own").alias("own"), F.first("fixed").alias("fixed")))
     same = full.select("id", "n", "d1", "d2").join(alone.select("n", "d1", "d2", F.col("id").alias("rep")), ["n", "d1", "d2"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     live = cut(live_entries(alone))
     # Sets whose prefix others have too, and have often, stand in the middle of their group; so do those with many copies.
     weight = live.groupBy("id").agg(F.sum(F.log2("rows")).alias("w"))
     central = F.round(F.col("w") / F.size("prefix") * 1000).cast("long") * 1000 + F.least(F.col("copies"), F.lit(999))
-    sets = cut(alone.join(weight, "id").select("id", "fixed", central.alias("central")))
+    sets = cut(alone.join(weight, "id").select("id", "n", "fixed", central.alias("central")))
     links, clusters = None, sets.select("id", F.col("id").alias("cluster"))
     for settle in [True] * SETTLINGS + [False]:
         pairs = cut(proposed(live, sets.join(clusters, "id"), percent, per_list, settle))
@@ -353,6 +364,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
         if settle:
             nodes = components(links).select(F.col("node").alias("id"), "component")
             clusters = sets.select("id").join(nodes, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+            live = cut(open_lists(live, clusters))
 
     found = components(same.union(links))
     return known.select("id", "n").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
