@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import SPACE, byte_letters, heap_merges, load, scan_merges
-from palimpsest.llm.common import Memo
+from palimpsest.llm.common import Memo, each, give_back
 
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + "]+(?![^" + SPACE + "])|[" + SPACE + "]+")
 SHORT = 256
@@ -65,9 +65,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def encode(text: Column, path: str) -> Column:
@@ -75,7 +75,7 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        return _lists([codec(path).encode(t) for t in texts.to_pylist()])
+        return _lists([np.array(codec(path).encode(t), np.int32) for t in each(texts)])
 
     return ids(text)
 
@@ -85,7 +85,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(rows: pa.Array) -> pa.Array:
-        return pa.array(map(codec(path).decode, rows.to_pylist()), pa.string())
+        return pa.array(map(codec(path).decode, each(rows)), pa.string())
 
     return texts(ids)
 
@@ -96,7 +96,14 @@ def encode_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def both(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        rows = [c.encode(t) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([_lists(rows), pa.array(map(c.decode, rows), pa.string())], ["ids", "decoded"])
+        rows, back = [], []
+        for t in each(texts):
+            ids = c.encode(t)
+            rows.append(np.array(ids, np.int32))
+            back.append(c.decode(ids))
+        out = pa.StructArray.from_arrays([_lists(rows), pa.array(back, pa.string())], ["ids", "decoded"])
+        del rows, back
+        give_back()
+        return out
 
     return df.withColumn("__bpe", both(F.col(text))).withColumn("ids", F.col("__bpe.ids")).withColumn("decoded", F.col("__bpe.decoded")).drop("__bpe")

@@ -7,7 +7,7 @@ is that of the greatest sum over its words; its score is the softmax of the sums
 
 Bounds, all parameters: `per_lang` rows a language (those of the least hash of their id), `max_langs` languages (the most
 frequent), `max_words` and `max_grams` entries. Null or empty text, and text without a letter, is `und` with score 0; so is
-everything where nothing was learned. Ties go to the language first by code point. Rows may repeat. A column named like an
+everything where nothing was learned. A text of any length is scored whole. Ties go to the language first by code point. Rows may repeat. A column named like an
 output is replaced. An empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo
+from palimpsest.llm.common import Memo, each
 
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 5
@@ -124,7 +124,7 @@ def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<lang:string,score:double>")
     def judge(texts: pa.Array) -> pa.Array:
         score = scorer(name, lambda: sent.value)
-        pairs = [score(t) for t in texts.to_pylist()]
+        pairs = [score(t) for t in each(texts)]
         return pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())], ["lang", "score"])
 
     return df.withColumn("__lang", judge(F.col(text))).withColumn("lang_pred", F.col("__lang.lang")).withColumn("score", F.col("__lang.score")).drop("__lang")

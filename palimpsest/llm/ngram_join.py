@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
 
-from palimpsest.llm.common import cut, each
+from palimpsest.llm.common import cut, each, give_back
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import shingle_set
 
@@ -154,6 +154,8 @@ def features(docs: DataFrame, id_col: str, text: str, percent: int = PERCENT) ->
                 out.append((len(s), *digest, int((ranks[order] == 0).sum()), s[order].astype(np.int64), parity(s, bits_for(len(s), percent)), parity(s, BITS)))
             n, d1, d2, rare, prefix, own, fixed = zip(*out, strict=True) if out else ((),) * 7
             columns = [batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2, rare)), pa.array(prefix, pa.list_(pa.int64())), pa.array(own, pa.binary()), pa.array(fixed, pa.binary())]
+            del out, prefix, own, fixed
+            give_back()
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "rare", "prefix", "own", "fixed"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(of, "id long, n long, d1 long, d2 long, rare long, prefix array<long>, own binary, fixed binary")
@@ -310,6 +312,7 @@ class Lists:
                 yield found
         if len(bits):
             yield read_on(True)[0]
+        give_back()
 
 
 def live_entries(alone: DataFrame) -> DataFrame:

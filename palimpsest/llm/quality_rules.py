@@ -4,7 +4,7 @@ The zstandard ratio (compressed bytes / bytes) of the whole text, and of each fi
 length: text below it is repetitive, text above it incompressible. A document is rejected if the whole is out of its band, or
 more than `max_bad_chunks` of its chunks are. Beside the verdict stand the plain counts of the base rules.
 
-Null text counts as empty: no words, so base_failed. Rows may repeat; each is judged on its own. A column named like an
+A text of any length is judged whole, in memory that grows with its length. Null text counts as empty: no words, so base_failed. Rows may repeat; each is judged on its own. A column named like an
 output is replaced. An empty table gives an empty result.
 """
 
@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import each, give_back
 from palimpsest.llm.shingles import WIDTH, windows, word_hashes
 
 #: Fixed values: (least bytes, lowest ratio, highest ratio). Short texts hold little to compress and much frame.
@@ -70,12 +71,13 @@ def quality_rules(df: DataFrame, text: str = "text", bands=BANDS, chunk: int = C
     def judge(texts: pa.Array) -> pa.Array:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         rows = []
-        for t in texts.to_pylist():
+        for t in each(texts):
             t = t or ""
             rows.append((*base_counts(t), *compression(t.encode(), compress, bands, chunk, max_bad_chunks)))
         names = [x.partition(":")[0] for x in FIELDS.split(",")]
         kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     names = [x.partition(":")[0] for x in FIELDS.split(",")]

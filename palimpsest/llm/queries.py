@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe_codec, embedding_dedup, html_extract, language_id, ngram_join, quality_rules, secret_scan, source_mixing, token_counts, url_filters
-from palimpsest.llm.common import table
+from palimpsest.llm.common import cut, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", source_mixing.n_words("text").alias("size"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", source_mixing.n_words("text").alias("size")))
     return source_mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -6,7 +6,7 @@ Base spans stand alone: assignments to secret-like names, AKIA access identifier
 interval join: parts fall into bins as wide as the scope; a bin keeps the least and the greatest start of each role, so
 a part meets at most three rows a role, however many parts a document has.
 
-Null text counts as empty: no spans. Rows may repeat, and ids may be null: parts meet by a hash of the text, so that alike
+A text of any length is scanned whole, in time that grows with its length. Null text counts as empty: no spans. Rows may repeat, and ids may be null: parts meet by a hash of the text, so that alike
 texts have alike spans. A column named like an output is replaced. An empty table gives an empty result.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, row_key
+from palimpsest.llm.common import cut, each, row_key
 
 #: The base patterns. [A-Za-z] classes are spelled out so that no other letter folds to them.
 NAMES = ("password", "passwd", "secret", "token", "api_?key")
@@ -31,7 +31,7 @@ KINDS = ("assign", "access", "hex", "linked_id", "linked_secret")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 #: Long runs of key characters, and endpoints.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b")
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?\b")
 IDENTIFIER, SECRET, SITE = 0, 1, 2
 SCOPE = 300
 #: Up to so many linked documents (rows of a few hundred bytes) are broadcast; beyond it Spark shuffles.
@@ -87,8 +87,10 @@ def scan(text: Column) -> Column:
 
     @F.arrow_udf(f"struct<base:array<{SPAN}>,parts:array<{PART}>>")
     def both(texts: pa.Array) -> pa.Array:
-        base = [base_spans(t or "") for t in texts.to_pylist()]
-        parts = [parts_of(t or "", b) for t, b in zip(texts.to_pylist(), base, strict=True)]
+        base, parts = [], []
+        for t in each(texts):
+            base.append(base_spans(t or ""))
+            parts.append(parts_of(t or "", base[-1]))
         span = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "start", "end")]))
         part = pa.list_(pa.struct([("role", pa.int32()), ("weak", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
         named = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b in base]
@@ -100,7 +102,7 @@ def scan(text: Column) -> Column:
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """key, linked (spans of the weak candidates whose complement stands within the scope) from key, role, weak, start, end."""
-    parts = parts.distinct().withColumn("bin", F.floor(F.col("start") / scope))
+    parts = parts.withColumn("bin", F.floor(F.col("start") / scope))
     bins = parts.groupBy("key", "bin", "role").agg(F.min("start").alias("least"), F.max("start").alias("most"))
     near = bins.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("role").alias("other"), "least", "most")
     within = (F.col("least") <= F.col("start") + scope) & (F.col("most") >= F.col("start") - scope)
@@ -113,7 +115,8 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 def secret_spans(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """df with base_spans and spans, arrays of struct<kind,start,end> by start, then kind (numbers into KINDS)."""
     keyed = df.withColumn("__key", row_key(F.col(text))).withColumn("__scan", scan(F.col(text)))
-    parts = keyed.select(F.col("__key").alias("key"), F.explode("__scan.parts").alias("p")).select("key", "p.*")
+    # Parts are few beside texts: written once, so that texts are scanned for them once.
+    parts = cut(keyed.select(F.col("__key").alias("key"), F.explode("__scan.parts").alias("p")).select("key", "p.*").distinct())
     linked = cut(link(parts, scope)).withColumnRenamed("key", "__key")
     if linked.count() <= FEW:
         linked = F.broadcast(linked)

@@ -19,18 +19,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * PLACES[1])
 BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-#: An odd number and its inverse modulo 2**64, and their powers as far as texts have needed them.
+#: Bytes hashed at a time, cut between words; a longer word is hashed by itself.
+PIECE = 1 << 18
+#: An odd number and its inverse modulo 2**64, and their powers as far as texts of up to PIECE bytes have needed them.
 BASE = 0xD6E8FEB86659FD93
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            steps = np.full(max(n, 2 * len(_powers[name])), base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+    if len(_powers["up"]) >= n:
+        return _powers["up"], _powers["down"]
+    made = {}
+    for name, base in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
+        steps = np.full(max(n, min(PIECE, 2 * n)), base, np.uint64)
+        steps[0] = 1
+        made[name] = np.multiply.accumulate(steps)
+    if n <= PIECE:
+        _powers.update(made)
+    return made["up"], made["down"]
 
 
 def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
@@ -41,6 +47,22 @@ def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     text = np.frombuffer(data, np.uint8)
     if lower:
         text = LOWER[text]
+    if len(text) > PIECE:
+        blanks = np.flatnonzero(BLANK[text])
+        cuts = [0]
+        while len(text) - cuts[-1] > PIECE:
+            k = int(np.searchsorted(blanks, cuts[-1] + PIECE, "right"))
+            if k and blanks[k - 1] > cuts[-1]:
+                cuts.append(int(blanks[k - 1]))  # the last blank that keeps the piece short
+            elif k < len(blanks):
+                cuts.append(int(blanks[k]))
+            else:
+                break
+        return np.concatenate([_hashed(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)])
+    return _hashed(text)
+
+
+def _hashed(text: np.ndarray) -> np.ndarray:
     edges = np.diff(np.concatenate([[True], BLANK[text], [True]])).nonzero()[0]
     starts, ends = edges[::2], edges[1::2]
     up, down = powers(len(text))

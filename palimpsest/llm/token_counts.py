@@ -3,7 +3,7 @@
 A word's count is its number of initial symbols less its merges. Words between white space are counted once per worker and
 remembered; Spark deals the rows out, and nothing is shuffled.
 
-Null text counts as empty: 0 bytes, 0 tokens. Rows may repeat; each gets its own count. A column named like an output is
+A text of any length is read whole; words over 64 characters are counted anew each time. Null text counts as empty: 0 bytes, 0 tokens. Rows may repeat; each gets its own count. A column named like an output is
 replaced. An empty table gives an empty result.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import SPACE, byte_letters, heap_merges, load
-from palimpsest.llm.common import Memo
+from palimpsest.llm.common import Memo, each
 
 #: Control characters at which Python's str.split() cuts, though they are not white space to the tokenizer.
 ODD = regex.compile("[\x1c-\x1f]")
@@ -72,7 +72,7 @@ def n_tokens(text: Column, path: str) -> Column:
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(map(counter(path), texts.to_pylist()), pa.int64())
+        return pa.array(map(counter(path), each(texts)), pa.int64())
 
     return count(text)
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe_codec, embedding_dedup, html_extract, language_id, ngram_join, quality_rules, queries, secret_scan, source_mixing, token_counts, url_filters
+from palimpsest.llm import bpe_codec, embedding_dedup, html_extract, language_id, ngram_join, quality_rules, queries, secret_scan, shingles, source_mixing, token_counts, url_filters
 from palimpsest.llm.components import components
 from tests.conftest import SF
 
@@ -395,6 +395,39 @@ def test_candidates_grow_with_the_group_not_its_square(spark, monkeypatch):
     assert sum(listed[:half]) < 300 and sum(listed[half:]) < 1200
 
 
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("ab \n") * rnd.choice([1, 1, 1, 40]) for _ in range(300)) for _ in range(40)] + ["x" * 500, " " * 500, "a " + "y" * 300 + " b"]
+    whole = [shingles.word_hashes(t.encode()).tolist() for t in texts]
+    monkeypatch.setattr(shingles, "PIECE", 50)
+    assert [shingles.word_hashes(t.encode()).tolist() for t in texts] == whole
+
+
+def test_secret_scan_of_long_runs_is_linear():
+    import time
+
+    start = time.perf_counter()
+    for t in ("aB3" * 100_000, "1.-+" * 100_000, "AKIA" * 100_000, "password " * 50_000, "http" * 100_000):
+        secret_scan.parts_of(t, secret_scan.base_spans(t))
+    assert time.perf_counter() - start < 20
+
+
+def plain_links(parts, scope=secret_scan.SCOPE):
+    """Every weak part against every other one."""
+    wants = {secret_scan.IDENTIFIER: (secret_scan.SECRET,), secret_scan.SECRET: (secret_scan.IDENTIFIER, secret_scan.SITE)}
+    return sorted({(s, e, 3 if r == secret_scan.IDENTIFIER else 4) for r, weak, s, e in parts if weak for q, _, t, _ in parts if q in wants[r] and abs(s - t) <= scope})
+
+
+def test_linking_equals_brute_force(spark):
+    rnd = random.Random(12)
+    texts = {k: [(rnd.randrange(3), rnd.random() < 0.6, s, s + rnd.randint(16, 40)) for s in (rnd.randrange(6000) for _ in range(rnd.randint(1, 25)))] for k in range(150)}
+    texts = {k: [(r, w and r != secret_scan.SITE, s, e) for r, w, s, e in v] for k, v in texts.items()}
+    rows = [(k, *p) for k, v in texts.items() for p in v]
+    df = spark.createDataFrame(rows, "key long, role int, weak boolean, start int, end int").distinct()
+    got = {r.key: [(x.start, x.end, x.kind) for x in r.linked] for r in secret_scan.link(df).collect()}
+    assert got == {k: found for k, v in texts.items() if (found := plain_links(v))}
+
+
 def test_components_of_a_path(spark):
     rnd = random.Random(3)
     order = list(range(200))

@@ -44,5 +44,39 @@ def test_stages(spark, tmp_path):
         assert r.ids == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids and r.round_trip
 
 
+def rows_of(spark, rows):
+    """Rows of documents with extra columns whose names clash with what the stages add."""
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return table.selectExpr("*", "'x' as kept", "'x' as key", "1 as size", "'x' as copies", "'x' as spans", "'x' as ids")
+
+
+def test_repeated_rows(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = rows_of(spark, [(1, text, "en", "a", 9)] * 40 + [(2, "w " * 7200, "en", "b", 1)])
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == [1, 2]
+    taken = P.source_mixing.mix(docs.select("doc_id", "text", "source"), whole=True).filter("doc_id = 1").collect()
+    mixed = [r.doc_id for r in P.mixing(spark, docs, "").collect()]
+    assert mixed.count(1) == sum(r.copies for r in taken) and 0 < mixed.count(1) <= 80
+    one = rows_of(spark, [(1, text, "en", "a", 9)] * 40)
+    assert P.mixing(spark, one, "").count() == 60  # 150 % of one source's words
+    nameless = rows_of(spark, [(None, text, "en", "a", 9)] * 5 + [(None, "other", "en", "a", 9), (3, text, "en", "a", 9), (3, text + " more", "en", "a", 9)])
+    assert sorted((r.doc_id or 0, r.text == text) for r in P.near_duplicates(spark, nameless, "").collect()) == [(0, False), (0, True), (3, True)]
+
+
+def test_stages_of_odd_tables(spark):
+    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n", "en", None, 3), (4, "w" * 300_000, "en", "a", 1), (5, "password=abcdef123 " + "z1 " * 90_000, "de", "b", 2), (None, "lost", "en", "a", 4), (6, "one two", "en", "a", 7), (6, "one two", "en", "a", 7)]
+    docs = rows_of(spark, odd)
+    assert P.quality(spark, docs, "").count() == 0
+    assert sorted(r.doc_id or 0 for r in P.near_duplicates(spark, docs, "").collect()) == [0, 1, 2, 3, 4, 5, 6]
+    clean = {r.doc_id: r for r in P.secrets(spark, docs, "").collect()}
+    assert clean[5].text.startswith("[secret] z1") and clean[5].n_chars == len(clean[5].text) and clean[1].text is None
+    mixed = P.mixing(spark, docs, "").collect()
+    assert {1, 2, 3} <= {r.doc_id for r in mixed} and all(tuple(r.__fields__) == P.COLUMNS for r in mixed)
+    coded = P.encoding(spark, docs, "").collect()
+    assert len(coded) == len(odd) and all(r.round_trip for r in coded) and coded[0].n_tokens == 0
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 0 and P.ORACLE_SQL is None
