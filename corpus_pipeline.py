@@ -12,25 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe_codec, ngram_join, quality_rules, secret_scan, source_mixing
-from palimpsest.llm.common import row_key, shared
+from palimpsest.llm.common import bounded, cut, row_key, shared
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts have no words, so they go. Long texts are judged whole. Repeated rows are judged alike. Columns other
+    than those of documents are left out, whatever their names. An empty table stays empty.
+    """
     return quality_rules.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram join links: the one whose id names it. Documents without id stay."""
-    found = ngram_join.ngram_join(docs.select("doc_id", "text"))
+    """One document of each group that the n-gram join links: the one whose id names it.
+
+    Of rows alike in id, which are one document, the first by all columns stays. Rows without id link with nothing; of those
+    with the same text the first stays. Null and empty texts with an id of their own stay. Long texts are compared whole.
+    Columns other than those of documents are left out. An empty table stays empty.
+    """
+    docs = docs.select(*COLUMNS)
+    found = cut(ngram_join.ngram_join(docs.select("doc_id", "text")))
     others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = docs.filter("doc_id is not null").join(bounded(others.union(again).distinct()), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.join(bounded(again.join(others, "doc_id", "left_anti")), "doc_id", "left_semi")
+    first = F.min(F.struct(*COLUMNS)).alias("row")  # summed where the rows are, before any shuffle
+    nameless = docs.filter("doc_id is null").groupBy(row_key("text").alias("key"))
+    for rows in (repeated.groupBy("doc_id"), nameless):
+        kept = kept.union(rows.agg(first).select("row.*"))
+    return kept
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in them replaced by a mark and n_chars counted again."""
+    """All documents, secrets in them replaced by a mark and n_chars counted again.
+
+    Null and empty texts hold no secret and stay as they are. Long texts are scanned whole. Repeated rows change alike. Columns
+    other than those of documents are left out. An empty table stays empty.
+    """
     found = secret_scan.secret_spans(docs.select(*COLUMNS)).withColumn("text", secret_scan.redact(F.col("text"), F.col("spans")))
     n_chars = F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars).select(*COLUMNS)
@@ -39,17 +60,30 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole; those that it doesn't take go.
 
-    The mix is made over ids and sizes alone; texts are shuffled once, to meet their number of copies.
+    The mix is made over keys and sizes alone; texts are shuffled once, to meet their number of copies. Rows alike in all
+    columns share their copies out evenly; what doesn't divide, at one key a source at most, is added by itself. Null and empty
+    texts have size 0 and stay once. Long texts count by their words. A null source is a source of its own. Columns other than
+    those of documents are left out. An empty table stays empty.
     """
-    key = row_key("doc_id", "text", "source")
-    sized = docs.select(key.alias("key"), "doc_id", "source", source_mixing.n_words("text").alias("size"))
-    mixed = source_mixing.mix(sized, size="size", whole=True).groupBy("key").agg(F.max("copies").alias("copies"))
-    rows = docs.select(*COLUMNS).withColumn("key", key).join(mixed, "key")
-    return rows.filter("copies > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, row_key(*COLUMNS).alias("key"))
+    sized = cut(keyed.select("key", "doc_id", "source", source_mixing.n_words("text").alias("size")))
+    mixed = source_mixing.mix(sized, size="size", whole=True).groupBy("key").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    mixed = cut(mixed.select("key", F.expr("all div rows").alias("copies"), F.expr("all % rows").alias("more")))
+    copied = lambda df, n: df.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy")).select(*COLUMNS)
+    out = copied(keyed.join(mixed.filter("copies > 0").select("key", "copies"), "key"), "copies")
+    uneven = mixed.filter("more > 0").select("key", "more")
+    if not uneven.isEmpty():
+        row = F.min(F.struct(*COLUMNS)).alias("row")
+        out = out.union(copied(keyed.join(F.broadcast(uneven), "key").groupBy("key", "more").agg(row).select("more", "row.*"), "more"))
+    return out
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, with their number and whether they decode to the text."""
+    """Ids of every text, with their number and whether they decode to the text.
+
+    Null and empty texts have no ids and count as decoded. Long texts are encoded whole. Repeated rows are encoded alike. Columns
+    other than those of documents are left out. An empty table stays empty.
+    """
     coded = bpe_codec.encode_decode(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"))
 
