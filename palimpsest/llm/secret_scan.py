@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, each, row_key
+from palimpsest.llm.common import cut, each, give_back, row_key
 
 #: The base patterns. [A-Za-z] classes are spelled out so that no other letter folds to them.
 NAMES = ("password", "passwd", "secret", "token", "api_?key")
@@ -95,9 +95,11 @@ def scan(text: Column) -> Column:
         part = pa.list_(pa.struct([("role", pa.int32()), ("weak", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
         named = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b in base]
         roles = [[dict(zip(("role", "weak", "start", "end"), p, strict=True)) for p in ps] for ps in parts]
+        give_back()
         return pa.StructArray.from_arrays([pa.array(named, span), pa.array(roles, part)], ["base", "parts"])
 
-    return both(text)
+    # Else Spark would copy the scan into a filter on its result, with workers of its own.
+    return both.asNondeterministic()(text)
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
