@@ -2,12 +2,18 @@
 
 Each page's containers (article, main, section, div, td, body) are scored by the text of the blocks in them, less what stands
 in links. A container's path is its tags with classes and ids, digits generalised. In Spark the pages of a host vote: every
-page gives the score of its best containers to their paths, summed by (host, path), and the host's best path wins. Every page
+page gives the scores of all its containers to their paths, summed by (host, path), and the host's best path wins. Every page
 is then read again and the text of the containers at its host's winning path is taken; a page that has none gives its own
-best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments never count as text.
+best container. Menus, headers, footers, forms, scripts and styles, as their tags name them, never count as text.
 
-Null or empty html gives empty text, 0 characters. A null url is a host of its own. Tags left open end with their parent or
-the page; a tag cut off by the page's end is dropped. Rows may repeat; each votes. A column named like an output is replaced.
+Classes and ids that sound like sidebars, notices, adverts or comments only make an element suspect, for wrappers of whole
+articles have such names too (`with-sidebar`). A suspect goes if what stands outside all suspects is at least a fifth of its
+text, or if it is mostly links and anything stands outside; else it is cleared, the largest first, mere parts of names before
+whole names, and counts as outside for the rest.
+
+Null or empty html gives empty text, 0 characters. A page of any length is read whole, in time that grows with its length. A
+null url is a host of its own. Of host paths with equal scores the shorter wins, then the later by name; of a page's own
+containers the first by name. Tags left open end with their parent or the page; a tag cut off by the page's end is dropped. Rows may repeat; each votes. A column named like an output is replaced.
 An empty table gives an empty result.
 """
 
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, each
 from palimpsest.llm.url_filters import host_of
 
 #: Elements by their part in a page.
@@ -30,23 +36,27 @@ BLOCKS = frozenset("article main section div td th tr table tbody thead body p h
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav header footer aside form button select option textarea input label dialog menu iframe object svg canvas noscript template title".split())
 RAW = ("script", "style", "textarea", "noscript", "template", "xmp")
-#: Words in a class or id that mark what is not the article.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notices|newsletter|subscribe|sidebar|side|nav\w*|menu|breadcrumb\w*|header|masthead|footer|comment|comments|disqus|reply|replies|respond|related|share|social|popup|modal|login|signup|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
+#: Words in a class or id that make an element suspect; a header only as a whole name, for articles have headers too.
+BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:(?<!\S)(?:header|masthead)(?!\S)|ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notices|newsletter|subscribe|sidebar|side|nav\w*|menu|breadcrumb\w*|footer|comment|comments|disqus|reply|replies|respond|related|share|social|popup|modal|login|signup|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
 #: What a start tag closes when it is open in the same container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")} | {b: ("p",) for b in BLOCKS if b not in ("li", "dt", "dd", "tr", "td", "th")}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/A-Za-z][^>]*\Z", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
 #: White space inside a block.
-BLANKS = re.compile(r"[ \t\n\r\f\x0b\xa0]+")
-#: Containers for which a page votes.
-VOTES = 3
+BLANKS = re.compile(r"\s+")
+#: A container counts for its blocks up to so many containers deeper; a path has so many steps at most.
+DEEP = 32
+#: A suspect goes if the text outside suspects is at least this share of its own.
+OUTSIDE = 0.2
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of the containers around it, text, characters of it in links) of each block with text, in page order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, container path or "", whether it is dropped
+    within: list[tuple[int, ...]] = []  # of each block, the suspects around it
+    suspects: list[bool] = []  # whether the whole name is a word for it
+    stack: list[tuple[str, str, bool, int]] = []  # name, container path or "", whether it is dropped, number of the suspect or -1
     steps: dict[tuple[str, str], str] = {}
     text: list[str] = []
     links = dropped = 0
@@ -54,16 +64,18 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     def flush() -> None:
         nonlocal links
         if text:
+            inner = stack[-4 * DEEP :]
             if joined := BLANKS.sub(" ", unescape("".join(text))).strip(" "):
-                out.append((tuple(path for _, path, _ in stack if path), joined, links))
+                out.append((tuple([path for _, path, _, _ in inner if path][-DEEP:]), joined, links))
+                within.append(tuple([k for _, _, _, k in inner if k >= 0][-DEEP:]))
             text.clear()
         links = 0
 
     def pop(k: int) -> None:
         nonlocal dropped
         while len(stack) > k:
-            name, _, off = stack[-1]
-            if name in BLOCKS:
+            name, _, off, suspect = stack[-1]
+            if name in BLOCKS or suspect >= 0:
                 flush()
             stack.pop()
             dropped -= off
@@ -105,21 +117,59 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 flush()
         attrs = m[4]
         named = " ".join(f"{a or b or c}" for _, a, b, c in NAMED.findall(attrs)) if attrs and name not in ("body", "html") else ""
-        off = name in DROPPED or bool(named and BOILERPLATE.search(named))
+        off = name in DROPPED
+        suspect = -1
+        if named and not off and not dropped and (word := BOILERPLATE.search(named)):
+            flush()
+            suspect = len(suspects)
+            suspects.append(word[0].strip().lower() in named.lower().split())
         path = ""
         if name in CONTAINERS:
-            above = next((p for _, p, _ in reversed(stack) if p), "")
+            above = next((p for _, p, _, _ in reversed(stack) if p), "")
             key = (name, named)
             if key not in steps:
                 steps[key] = ".".join([name, *DIGITS.sub("0", named.lower()).split()])
-            path = f"{above}>{steps[key]}" if above else steps[key]
-        stack.append((name, path, off))
+            path = ">".join([*above.split(">")[1 - DEEP :], steps[key]]) if above else steps[key]
+        stack.append((name, path, off, suspect))
         dropped += off
     if not dropped and at < len(page):
         text.append(page[at:])
     pop(0)
     flush()
-    return out
+    return [b for b, gone in zip(out, judged(out, within, suspects), strict=True) if not gone] if suspects else out
+
+
+def judged(blocks: list, within: list[tuple[int, ...]], suspects: list[bool]) -> list[bool]:
+    """Of each block, whether a suspect around it goes."""
+    size, linked = [0] * len(suspects), [0] * len(suspects)
+    outside = 0
+    by_first: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # blocks by their outermost suspect not cleared
+    for (_, text, links), around in zip(blocks, within, strict=True):
+        plain = max(0, len(text) - links)
+        for k in around:
+            size[k] += len(text)
+            linked[k] += links
+        if around:
+            by_first[around[0]].append((plain, around[1:]))
+        else:
+            outside += plain
+    gone: set[int] = set()
+    for k in sorted(range(len(suspects)), key=lambda k: (suspects[k], -size[k], k)):
+        if outside >= OUTSIDE * size[k] or 2 * linked[k] > size[k] and outside > 0:
+            gone.add(k)
+            continue
+        # Cleared: what no other suspect holds stands outside now, what others hold waits for them.
+        for first in list(by_first):
+            kept = []
+            for plain, rest in by_first.pop(first):
+                left = tuple(x for x in ((first, *rest)) if x != k)
+                if left:
+                    kept.append((plain, left))
+                else:
+                    outside += plain
+            for plain, left in kept:
+                by_first[left[0]].append((plain, left[1:]))
+    return [any(k in gone for k in around) for around in within]
 
 
 def scores(blocks: list) -> dict[str, float]:
@@ -141,14 +191,18 @@ def _best(total: dict[str, float], n: int) -> list[tuple[str, float]]:
 
 
 def votes(html: Column) -> Column:
-    """array<struct<path,score>>: a page's best containers."""
+    """array<struct<path,score>>: a page's containers; its best one has 1000, others the square of their share of that.
+
+    So pages have equal weight, however long. Whole numbers add up alike in any order.
+    """
 
     @F.arrow_udf("array<struct<path:string,score:double>>")
     def vote(pages: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("path", pa.string()), ("score", pa.float64())]))
-        return pa.array([[{"path": p, "score": float(round(s))} for p, s in _best(scores(blocks_of(x)), VOTES)] if x else [] for x in pages.to_pylist()], kind)
+        totals = [scores(blocks_of(x)) if x else {} for x in each(pages)]
+        return pa.array([[{"path": p, "score": float(round(1000 * (s / top) ** 2))} for p, s in t.items()] if (top := max(t.values(), default=0)) else [] for t in totals], kind)
 
-    return vote(html)
+    return vote.asNondeterministic()(html)
 
 
 def main_text(page: str | None, path: str | None) -> str:
@@ -164,7 +218,7 @@ def main_text(page: str | None, path: str | None) -> str:
 def extract(html: Column, path: Column) -> Column:
     @F.arrow_udf("string")
     def texts(pages: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array(map(main_text, pages.to_pylist(), paths.to_pylist()), pa.string())
+        return pa.array(map(main_text, each(pages), each(paths)), pa.string())
 
     return texts(html, path)
 

@@ -297,6 +297,41 @@ def test_pages_of_a_host_vote(spark):
     assert html_extract.html_extract(df.limit(0)).count() == 0
 
 
+def test_wrappers_keep_their_articles():
+    article = "<h1>Title here</h1><p>" + "word " * 58 + "end</p>"
+    text = "Title here " + "word " * 58 + "end"
+    for name in ("page with-sidebar", "post has-comments", "article-header", "content-share", "l-side right", "reply", "news related-1", "story ad-free"):
+        for more in ("", f"<div class=sidebar><a href=x>links links</a></div><div class=comments><p>{'talk ' * 90}</p></div>"):
+            page = f"<html><body><nav>menu</nav><div class='{name}'>{article}{more}</div><footer>f</footer></body></html>"
+            assert html_extract.main_text(page, None) == text, (name, more)
+    assert html_extract.main_text("<p>a\u2003b\u3000\u2028c\x85d", None) == "a b c d"
+
+
+def test_every_container_votes(spark):
+    """A host's path is the one with the greatest sum over all containers of all pages, counted plainly."""
+    rnd = random.Random(5)
+    pages = []
+    for i in range(40):
+        body = "".join(f"<section class=s{rnd.choice('abc')}>" + f"<div class=d{rnd.choice('xyz')}><p>{'word ' * rnd.randint(1, 60)}</p></div>" * rnd.randint(1, 3) + "</section>" for _ in range(rnd.randint(1, 5)))
+        pages.append((f"h{i % 3}.example", f"<body>{body}</body>"))
+    sums = {}
+    for host, page in pages:
+        total = html_extract.scores(html_extract.blocks_of(page))
+        for path, s in total.items():
+            sums[host, path] = sums.get((host, path), 0) + round(1000 * (s / max(total.values())) ** 2)
+    best = {h: max((s, -len(p), p) for (g, p), s in sums.items() if g == h)[2] for h in {h for h, _ in pages}}
+    assert {r.host: r.path for r in html_extract.host_paths(spark.createDataFrame(pages, "host string, html string")).collect()} == best
+
+
+def test_long_and_deep_pages():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div class='a b'><p>x y z" * 5000, "<div class=sidebar><p>x y</div>" * 20_000, "<div class=sidebar>x" * 3000, "<p>" + "long " * 400_000):
+        assert html_extract.main_text(page, None)
+    assert time.perf_counter() - start < 60
+
+
 def plain_join(docs):
     sets = {}
     for i, t in docs:
