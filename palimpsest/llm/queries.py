@@ -93,29 +93,30 @@ def _op6_sql() -> str:
     rules = sorted(url_filters.RULES, key=lambda r: -len(r[1]))
     fits = lambda rule: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*rule.split("/", 1))
     case = lambda i: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[i]}'" for r in rules) + " END"
-    longer = ", ".join(f"'{s}'" for s in url_filters.LONG_SUFFIXES)
+    longer = f"regexp_matches(host, '{url_filters.LONG_SUFFIX}')"
     tail = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
     low, high = url_filters.BETWEEN
 
     def weight(table: str, group: str, parent: str) -> str:
         return f"""SELECT 1 / greatest({low}, least({high}, coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p) * (1 - n / pn)) / nullif(sum(n * (1 - n / pn) * p * (1 - p)), 0), {low}))) - 1 AS w
-  FROM (SELECT n, k, sum(n) OVER (PARTITION BY {parent}) AS pn, sum(k) OVER (PARTITION BY {parent}) / sum(n) OVER (PARTITION BY {parent}) AS p FROM {table})"""
+  FROM (SELECT n, k, sum(n) OVER (PARTITION BY {parent}) AS pn, sum(k) OVER (PARTITION BY {parent}) / sum(n) OVER (PARTITION BY {parent}) AS p FROM {table} WHERE n > 0)"""
 
     return f"""
 WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 o AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k, CASE WHEN {tail(2)} IN ({longer}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
-  CASE WHEN {tail(2)} IN ({longer}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM (SELECT DISTINCT page_id, host FROM p) JOIN o ON page_id = doc_id GROUP BY host),
+g AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM p),
+h AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS k, CASE WHEN {longer} THEN {tail(3)} ELSE {tail(2)} END AS domain,
+  CASE WHEN {longer} THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM (SELECT DISTINCT page_id, site AS host FROM g) LEFT JOIN o ON page_id = doc_id GROUP BY host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL), s AS (SELECT suffix, '' AS world, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
 wh AS ({weight("h", "host", "domain")}), wd AS ({weight("d", "domain", "suffix")}), ws AS ({weight("s", "suffix", "world")}),
-ms AS (SELECT suffix, (w * (SELECT sum(k) / sum(n) FROM s) + k) / (w + n) AS m FROM s, ws),
+ms AS (SELECT suffix, (w * (SELECT sum(k) / nullif(sum(n), 0) FROM s) + k) / (w + n) AS m FROM s, ws),
 md AS (SELECT domain, (w * m + k) / (w + n) AS m FROM d JOIN ms USING (suffix), wd),
 mh AS (SELECT host, (w * m + k) / (w + n) AS m, w + n AS t FROM h JOIN md USING (domain), wh),
-b AS (SELECT host, m + {url_filters.DEVIATIONS} * sqrt(m * (1 - m) / (t + 1)) AS bound FROM mh)
+b AS (SELECT host AS site, m + {url_filters.DEVIATIONS} * sqrt(m * (1 - m) / (t + 1)) AS bound FROM mh)
 SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN bound < {url_filters.LEAST_GOOD} THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN b USING (host)"""
+FROM g LEFT JOIN b USING (site)"""
 
 
 def _op7_sql() -> str:

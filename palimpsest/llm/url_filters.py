@@ -6,7 +6,7 @@ suffix; each level's beta-binomial concentration is estimated from how much its
 to registered domain to host. A host without a labelled page has n = k = 0 and so its domain's mean, or its suffix's, or the
 world's. A host is blocked if even the upper bound of its share of good pages is below `least_good`.
 
-Null or malformed urls (no `://`) have empty host and path; they share the reputation of the empty host. A page labelled more
+Hosts are grouped without user part and port; the column `host` keeps both. Null or malformed urls (no `://`) have empty host and path; they share the reputation of the empty host. A page labelled more
 than once counts once, as good only if all its labels are. Without labels everything that no rule blocks is allowed. Rows may
 repeat. A column named like an output is replaced. An empty table gives an empty result.
 """
@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import cut
+
 #: (verdict, rule): a host, and from its first slash on the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Suffixes of more than one label, below which domains are registered.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: A suffix is a host's last label; two labels where the last is a country's (two letters) and the one before is one of these.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+LONG_SUFFIX = rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
 LEAST_GOOD = 0.5
 #: Standard deviations from the posterior mean to its bound.
 DEVIATIONS = 1.645
@@ -39,16 +42,21 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(F.substring(url, at + 3, F.length(url)), "^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
+def site_of(host: Column) -> Column:
+    """The host by which pages are grouped: without user part and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def last_labels(host: Column, n: Column | int) -> Column:
     return F.substring_index(host, ".", -n)
 
 
 def domain_of(host: Column) -> Column:
-    return F.when(last_labels(host, 2).isin(*LONG_SUFFIXES), last_labels(host, 3)).otherwise(last_labels(host, 2))
+    return F.when(F.regexp_like(host, F.lit(LONG_SUFFIX)), last_labels(host, 3)).otherwise(last_labels(host, 2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.when(last_labels(host, 2).isin(*LONG_SUFFIXES), last_labels(host, 2)).otherwise(last_labels(host, 1))
+    return F.when(F.regexp_like(host, F.lit(LONG_SUFFIX)), last_labels(host, 2)).otherwise(last_labels(host, 1))
 
 
 def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -83,7 +91,8 @@ def _level(counts: DataFrame, group: str, parent: str) -> DataFrame:
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """host, mean, bound (the upper one) from one row a page: host, good (0 or 1, null if not labelled). No rows without labels."""
-    hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
+    # Pages are read once; all levels come from one row a host.
+    hosts = cut(outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k")))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))).withColumn("world", F.lit(""))
     domains = hosts.groupBy("domain", "suffix", "world").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix", "world").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -106,8 +115,8 @@ def url_filters(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     split = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     outcome = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
-    outcomes = split.select(F.col(page_id).alias("doc_id"), "host").distinct().join(outcome, "doc_id", "left").select("host", "good")
+    outcomes = split.select(F.col(page_id).alias("doc_id"), site_of(F.col("host")).alias("host")).distinct().join(outcome, "doc_id", "left").select("host", "good")
     known = reputation(outcomes).select(F.col("host").alias("__host"), "bound")
-    judged = split.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(known, F.col("host") == F.col("__host"), "left")
+    judged = split.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(known, site_of(F.col("host")) == F.col("__host"), "left")
     method = F.when(F.col("bound") < least_good, "block").otherwise("allow")
     return judged.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.coalesce(F.col("__rule.verdict"), method)).drop("__host", "bound", "__rule")

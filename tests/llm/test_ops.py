@@ -220,6 +220,17 @@ def test_hosts_without_labels_follow_domain_suffix_and_world(spark):
     assert {r.verdict for r in url_filters.url_filters(pages, worse).collect()} == {"block"}
 
 
+def test_ports_and_users_are_no_hosts_of_their_own(spark):
+    known = [(i, f"http://h{i % 50}.bad.xyz/{i}") for i in range(500)] + [(1000 + i, f"http://h{i % 9}.fine.co.uk/{i}") for i in range(2000)]
+    new = [(5000, "http://new.bad.xyz/"), (5001, "http://h1.bad.xyz:8080/a"), (5002, "ftp://me:pw@h2.bad.xyz:21/a"), (5003, "http://x.other.co.uk/")]
+    labels = spark.createDataFrame([(i, int(i >= 1000), 0) for i, _ in known], "doc_id long, quality int, toxic int")
+    rows = {r.page_id: (r.host, r.verdict) for r in url_filters.url_filters(spark.createDataFrame(known + new, "page_id long, url string"), labels).collect()}
+    assert rows[5000] == ("new.bad.xyz", "block") and rows[5001] == ("h1.bad.xyz:8080", "block") and rows[5002] == ("me:pw@h2.bad.xyz:21", "block")
+    assert rows[5003] == ("x.other.co.uk", "allow")
+    parts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("b.com",), ("x.com.zz",), ("com.example",), ("",)], "h string").select(url_filters.domain_of(F.col("h")), url_filters.suffix_of(F.col("h")))
+    assert [tuple(r) for r in parts.collect()] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("b.com", "com"), ("x.com.zz", "com.zz"), ("com.example", "example"), ("", "")]
+
+
 def test_mixing_equals_sql(same):
     assert same(queries.op7_source_mixing, queries.oracle_sql()["op7_source_mixing"]) > 0
 
