@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,50 +18,45 @@ INTERRUPTED = r"\[Request interrupted by user(?: for tool use)?\]\s*"
 SPEAKERS = {"relayed": "subagent report", "client": "client", "tool": "tool results"}
 RANGES = "array<struct<s:int,e:int>>"
 
-_ELEMENT = re.compile("|".join(rf"^<{n}>(?:(?!<{n}>).)*?</{n}>[ \t]*$" for n in (*COMMANDS, *OTHERS)), re.DOTALL | re.MULTILINE)
+OPENING = re.compile(rf"^<({'|'.join((*COMMANDS, *OTHERS))})>", re.MULTILINE)
+BORDERS = {name: re.compile(rf"<{name}>|</{name}>[ \t]*$", re.MULTILINE) for name in (*COMMANDS, *OTHERS)}
 
 
-def _blank(text: str) -> bool:
-    return not text.strip()
+def elements(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the client's elements: opened at a line's beginning, closed at a line's end, not opened again inside."""
+    found, at = [], 0
+    while opened := OPENING.search(text, at):
+        border = BORDERS[opened[1]].search(text, opened.end())
+        closed = border is not None and border[0].startswith("</")
+        at = border.end() if closed else opened.end()
+        if closed:
+            found.append((opened.start(), at, opened[1]))
+    return found
 
 
 def written_by_client(text: str) -> list[tuple[int, int]]:
-    """Ranges of a user's turn that the client wrote: its elements, and what a command expanded to.
+    """Ranges of a user's turn that the client wrote: its elements but for commands, which are the person's, and expansions.
 
-    A command counts as the person's. What follows it up to the next element is its expansion, unless a caveat or words of
-    the person came before the command.
+    Elements other than commands cut the turn into sections. A section's text is what its commands expanded to if the section
+    begins with a command, and no caveat stands before it; else it is the person's. Ranges that only blanks part are one.
     """
-    ranges: list[list[int]] = []
-
-    def add(s: int, e: int) -> None:
-        if ranges and _blank(text[ranges[-1][1] : s]):
-            ranges[-1][1] = e
-        else:
-            ranges.append([s, e])
-
-    state, at = "start", 0  # start, client, caveat, person, command (that expands), silent (one that doesn't)
-    for m in [*_ELEMENT.finditer(text), None]:
-        s, e = (m.start(), m.end()) if m else (len(text), len(text))
-        if not _blank(text[at:s]):
-            if state == "command":
-                add(at, s)
-                state = "client"
-            else:
-                state = "person"
-        if m is None:
-            break
-        name = m[0][1 : m[0].index(">")]
-        if name in COMMANDS:
-            state = "silent" if state in ("caveat", "person", "silent") else "command"
-        else:
-            add(s, e)
-            state = "caveat" if name == CAVEAT else "client"
-        at = e
-    return [(s, e) for s, e in ranges]
+    found = elements(text)
+    borders = [(0, 0, ""), *(x for x in found if x[2] not in COMMANDS), (len(text), len(text), "")]
+    owned = [(s, e) for s, e, _ in borders[1:-1]]
+    for (_, opens, name), (closes, _, _) in pairwise(borders):
+        inside = [(s, e) for s, e, n in found if opens <= s < closes and n in COMMANDS]
+        if inside and name != CAVEAT and not text[opens : inside[0][0]].strip():
+            ends = [s for s, _ in inside[1:]] + [closes]
+            owned += [(e, until) for (_, e), until in zip(inside, ends, strict=True) if text[e:until].strip()]
+    joined: list[tuple[int, int]] = []
+    for s, e in sorted(owned):
+        first = joined.pop()[0] if joined and not text[joined[-1][1] : s].strip() else s
+        joined.append((first, e))
+    return joined
 
 
 def client_written_ranges(text: Column) -> Column:
-    """W1, an Arrow function: the scan carries state from element to element."""
+    """W1, an Arrow function: elements are found by position, which no built-in function gives."""
 
     @F.arrow_udf(RANGES)
     def ranges(texts: pa.Array) -> pa.Array:
