@@ -23,11 +23,11 @@ BACK_REFERENCES = "mention mentioned earlier before previously discuss discussed
 TOPIC_STOPWORDS = "a an the this that these those it its they them their we our ours you your i my me he she him her his what which who whom whose where when why how there here something anything nothing everything one ones and but or so if then also both all some any".split()
 DETERMINERS = "the a an our my your their".split()
 # Phrases that settle something, and marks of dense text.
-DECISIONS = r"(?i)\b(?:keep|delete|summarize|uncertain|concluded|chose|settled on|we agreed|go with|the plan is|let's go with|let's use|we'll go with|we'll use|decided to|decision is|going to use|going with|the answer is|concluded that|final choice|in conclusion|to summarize|the solution is|I will use|we should use|stick with|switching to)\b"
+DECISIONS = r"(?iU)\b(?:keep|delete|summarize|uncertain|concluded|chose|settled on|we agreed|go with|the plan is|let's go with|let's use|we'll go with|we'll use|decided to|decision is|going to use|going with|the answer is|concluded that|final choice|in conclusion|to summarize|the solution is|I will use|we should use|stick with|switching to)\b"
 DENSE = r"\b[A-Z][a-zA-Z]+\b|\b\d+\.?\d*\b|`[^`]+`|https?://\S+"
 # What a person puts before a statement.
-OPENERS = r"(?i)^(?:(?:ok(?:ay)?|so|alright|right|well|actually|also|and|but|now|yes|yeah|sure|fine|great|good|cool|perfect|thanks|thank you|got it|understood|noted|sounds good)\b[\s,]*)+"
-LABEL = r"^\w+(?:[\s-]+\w+){0,3}:\s+"
+OPENERS = r"(?iU)^(?:(?:ok(?:ay)?|so|alright|right|well|actually|also|and|but|now|yes|yeah|sure|fine|great|good|cool|perfect|thanks|thank you|got it|understood|noted|sounds good)\b[\s,]*)+"
+LABEL = r"(?U)^\w+(?:[\s-]+\w+){0,3}:\s+"
 ENDINGS = r"[.!;:,]+$"
 GENERAL = "general"
 ELLIPSIS = "…"
@@ -55,16 +55,21 @@ def asked_words(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that differ from others of the same sound only by case or place written as these."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ſς", "sσ")
 
 
 def normalise_value(text: Column) -> Column:
-    return F.lower(F.regexp_replace(squeezed(text), r"[.!;,]+$", ""))
+    return folded(F.regexp_replace(squeezed(text), r"[.!;,]+$", ""))
 
 
 def normalise_topic(raw: Column) -> Column:
     """A topic's label: lower case, no determiner before it; null if only stopwords; `general` for null."""
-    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(raw), r"\s+", " ")), " "), lambda w: w != "")
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(raw), r"(?U)\s+", " ")), " "), lambda w: w != "")
     fixed = F.size(F.filter(words, lambda w: ~w.isin(DETERMINERS)))
     # Words are dropped from the front while they are determiners and not the last.
     first = F.array_min(F.filter(F.transform(words, lambda w, i: F.when(~w.isin(DETERMINERS), i)), lambda i: i.isNotNull()))
@@ -75,7 +80,7 @@ def normalise_topic(raw: Column) -> Column:
 
 
 def split_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def strip_statement(sentence: Column) -> Column:

@@ -10,16 +10,16 @@ from palimpsest.functions.text import GENERAL, normalise_topic, normalise_value,
 # Fixed values: (kind, pattern, group of the topic, group of the content), in order; the first of a kind that fits counts.
 TOPIC = r"(\w+(?:[\s-]+\w+){0,3})"
 PATTERNS = (
-    ("fact", rf"(?i)^(?:the\s+)?{TOPIC}\s+(?:is|are)\s+(.+)", 1, 2),
-    ("fact", rf"(?i)(?:we(?:'re|\s+are)\s+)?using\s+(\w+)\s+for\s+{TOPIC}", 2, 1),
-    ("fact", rf"(?i)^{TOPIC}\s+runs?\s+on\s+(.+)", 1, 2),
-    ("decision", rf"(?i)(?:we\s+)?decided\s+to\s+(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
-    ("decision", rf"(?i)let(?:'s|\s+us)\s+go\s+with\s+(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
-    ("decision", rf"(?i)(?:we\s+)?chose\s+(.+?)\s+over\s+.+?(?:\s+for\s+{TOPIC})?$", 2, 1),
-    ("preference", rf"(?i)(?:i|we)\s+prefer\s+(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
-    ("preference", rf"(?i)(?:i|we)(?:'d|\s+would)\s+rather\s+(?:use\s+)?(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
+    ("fact", rf"(?iU)^(?:the\s+)?{TOPIC}\s+(?:is|are)\s+(.+)", 1, 2),
+    ("fact", rf"(?iU)(?:we(?:'re|\s+are)\s+)?using\s+(\w+)\s+for\s+{TOPIC}", 2, 1),
+    ("fact", rf"(?iU)^{TOPIC}\s+runs?\s+on\s+(.+)", 1, 2),
+    ("decision", rf"(?iU)(?:we\s+)?decided\s+to\s+(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
+    ("decision", rf"(?iU)let(?:'s|\s+us)\s+go\s+with\s+(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
+    ("decision", rf"(?iU)(?:we\s+)?chose\s+(.+?)\s+over\s+.+?(?:\s+for\s+{TOPIC})?$", 2, 1),
+    ("preference", rf"(?iU)(?:i|we)\s+prefer\s+(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
+    ("preference", rf"(?iU)(?:i|we)(?:'d|\s+would)\s+rather\s+(?:use\s+)?(.+?)(?:\s+for\s+{TOPIC})?$", 2, 1),
 )
-COMPOUND = r"(?i),|;|\band\b|\bfor\b"
+COMPOUND = r"(?iU),|;|\band\b|\bfor\b"
 LEAST_CHARS = 3
 FACT = "struct<topic_label:string,content:string,knowledge_type:string>"
 TOPIC_WORDS, TOPIC_CHARS, VALUE_CHARS = 5, 60, 200
@@ -71,7 +71,7 @@ def validate_model_facts(answers: DataFrame, turns: DataFrame) -> DataFrame:
     shape = "struct<facts:array<struct<turn:bigint,topic:string,value:string,kind:string>>>"
     body = F.regexp_extract("text", r"(?s)\{.*\}", 0)
     read = answers.select("conv_id", F.posexplode(F.from_json(body, shape).getField("facts")).alias("place", "f")).select("conv_id", "place", "f.*")
-    topic, value = F.trim(F.regexp_replace("topic", r"\s+", " ")), F.trim("value")
+    topic, value = F.trim(F.regexp_replace("topic", r"(?U)\s+", " ")), F.trim("value")
     ok = (topic != "") & (value != "") & (F.size(F.split(topic, " ")) <= TOPIC_WORDS) & (F.char_length(topic) <= TOPIC_CHARS) & (F.char_length(value) <= VALUE_CHARS)
     kind = F.when(F.col("kind").isin("fact", "decision", "preference"), F.col("kind")).otherwise("fact")
     facts = read.filter(ok).join(turns.select("conv_id", F.col("turn_index").alias("turn"), "speaker"), ["conv_id", "turn"])

@@ -37,15 +37,16 @@ def x3_significant_words(spark, sf_dir):
     return out.select("doc_id", F.size("w").cast("long").alias("n_words"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
 
 
-@query(DOCS + rf"SELECT doc_id, md5(lower(regexp_replace({_line.format('text')}, '[.!;,]+$', ''))) AS value_md5 FROM d")
+@query(DOCS + rf"SELECT doc_id, md5(translate(replace(lower(regexp_replace({_line.format('text')}, '[.!;,]+$', '')), 'ß', 'ss'), 'ſς', 'sσ')) AS value_md5 FROM d")
 def x4_normalise_value(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalise_value(F.col("text"))).alias("value_md5"))
 
 
 @query()
 def x5_normalise_topic(spark, sf_dir):
-    opening = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return _docs(spark, sf_dir).select("doc_id", T.normalise_topic(opening).alias("topic"))
+    """The topic of every sentence's opening words."""
+    each = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_no", "s"))
+    return each.select("doc_id", "sentence_no", T.normalise_topic(F.array_join(F.slice(F.split("s", " "), 1, 3), " ")).alias("topic"))
 
 
 @query(DOCS + r"SELECT doc_id, (len(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[.!?]\s+')) + CASE WHEN regexp_matches(text, '\S') THEN 1 ELSE 0 END)::BIGINT AS n_sentences FROM d")

@@ -107,6 +107,8 @@ def test_late_fact_replaces_only_what_is_earlier(spark):
         ("OK, Decision: our cache runs on Redis", [("cache", "Redis", "fact")]),
         ("We decided to use Postgres for the database.", [("database", "use Postgres", "decision")]),
         ("Let's go with Postgres for the database, and Redis for the cache", [("general", "Postgres for the database, and Redis", "decision")]),
+        ("The Größe is five meters", [("größe", "five meters", "fact")]),
+        ("El tamaño\u00a0útil is cinco metros.", [("el tamaño útil", "cinco metros", "fact")]),
         ("It is Postgres.", []),
         ("The database is Postgres, right?", []),
     ],
@@ -143,6 +145,9 @@ def test_ranges_that_a_client_wrote():
     assert written_by_client("mine\n" + element + "pasted") == []
     assert written_by_client("<local-command-caveat>c</local-command-caveat>\n" + element + "x") == [(0, 46)]
     assert written_by_client("I name <task-notification> here") == []
+    two = "<task-notification>n</task-notification>\n" + element + "one\n" + element + "two"
+    assert written_by_client(two) == [(0, 40), (73, 78), (110, 114)]
+    assert written_by_client("<command-name>a\n<command-name>b</command-name>\nx") == []
 
 
 def test_switch_rules(spark):
@@ -164,6 +169,8 @@ def test_topics_and_values(spark):
     assert [r.x for r in df.select(T.normalise_topic(F.col("t")).alias("x")).collect()] == ["main database", None, "general", None]
     df = spark.createDataFrame([(" My  SQL.;",)], "t string")
     assert df.select(T.normalise_value(F.col("t")).alias("x")).first().x == "my sql"
+    df = spark.createDataFrame([("Straße\u00a0 ΟΔΟΣ.", "Überschrift wert: the size is five.")], "v string, s string")
+    assert tuple(df.select(T.normalise_value(F.col("v")), T.strip_statement(F.col("s"))).first()) == ("strasse οδοσ", "the size is five")
 
 
 def test_mentions_whole_words(spark):
