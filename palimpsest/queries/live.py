@@ -180,7 +180,7 @@ def e1_alternation(spark, sf_dir):
 
 PROBES = "probes AS (SELECT conv_id, turn_index AS probe_id, 'What came after ' || w[2] || '?' AS question, w[3] AS accept, w[1] AS reject FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM turns WHERE role = 'user') WHERE len(w) >= 3)"
 #: Answers that only name words of plain letters, so that whole words are the same to every regular expression.
-GRADED = PROBES + ", graded AS (SELECT *, CASE (conv_id + probe_id) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN accept WHEN 3 THEN accept || ' (was ' || reject || ')' ELSE 'none of it' END AS answer, CASE (conv_id + probe_id) % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unknown' WHEN 2 THEN CASE WHEN accept = reject THEN 'unclear' ELSE 'right' END WHEN 3 THEN CASE WHEN accept = reject THEN 'unclear' ELSE 'right' END ELSE NULL END AS verdict FROM probes WHERE (conv_id + probe_id) % 5 <> 4)"
+GRADED = PROBES + ", graded AS (SELECT *, CASE (conv_id + probe_id) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN accept WHEN 3 THEN accept || ' (was ' || reject || ')' ELSE 'none of it' END AS answer, CASE (conv_id + probe_id) % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unknown' WHEN 2 THEN CASE WHEN accept = reject THEN 'unclear' ELSE 'right' END WHEN 3 THEN CASE WHEN accept = reject THEN 'unclear' ELSE 'right' END ELSE CASE WHEN accept NOT IN ('none', 'of', 'it') THEN 'wrong' WHEN reject IN ('none', 'of', 'it') THEN 'unclear' ELSE 'right' END END AS verdict FROM probes)"
 
 
 def graded(spark, sf_dir):
@@ -193,8 +193,7 @@ def graded(spark, sf_dir):
 
 @query(with_("turns").rstrip() + f", {GRADED}\nSELECT conv_id, probe_id, answer, verdict FROM graded")
 def e2_grade_answers(spark, sf_dir):
-    """Without the answers 'none of it', as the SQL has it."""
-    return graded(spark, sf_dir).filter((F.col("conv_id") + F.col("probe_id")) % 5 != 4).select("conv_id", "probe_id", "answer", "verdict")
+    return graded(spark, sf_dir).select("conv_id", "probe_id", "answer", "verdict")
 
 
 @query(with_("turns").rstrip() + f", {PROBES}\nSELECT conv_id, 'with' AS arm, row_number() OVER (PARTITION BY conv_id ORDER BY probe_id) AS number, accept AS answer FROM probes")
