@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import seconds
+from palimpsest.sources.state import cut
 
 
 def by_seq():
@@ -21,20 +23,32 @@ def settle_requests(requests: DataFrame) -> DataFrame:
     """Requests with kept: whether a later request of the conversation carries its newest message, null if none reaches it.
 
     requests: client_session, conversation_id, seq, position, newest_hash, hashes (array, the whole history).
+
+    The next request reaches the position, or else the first one whose history grows past it again; only what histories grow
+    by is laid out, so a conversation that is appended to gives about one row a request.
     """
-    own = requests.filter("conversation_id is not null").select("client_session", "conversation_id", "seq", "position", "newest_hash")
-    later = requests.select(F.col("client_session").alias("s"), F.col("conversation_id").alias("c"), F.col("seq").alias("later"), "hashes")
-    met = own.join(later, (F.col("client_session") == F.col("s")) & (F.col("conversation_id") == F.col("c")) & (F.col("later") > F.col("seq")) & (F.size("hashes") >= F.col("position")))
-    first = F.min_by(F.element_at("hashes", F.col("position").cast("int")) == F.col("newest_hash"), "later")
-    return requests.join(met.groupBy("client_session", "seq").agg(first.alias("kept")), ["client_session", "seq"], "left")
+    key = ["client_session", "conversation_id"]
+    order = Window.partitionBy(*key).orderBy("seq")
+    at = requests.filter("conversation_id is not null").select(*key, "seq", "position", "newest_hash", "hashes", F.lead("hashes").over(order).alias("next"), F.coalesce(F.lag(F.size("hashes")).over(order), F.lit(0)).alias("before"))
+    own = at.select(*key, "seq", "position", "newest_hash", (F.size("next") >= F.col("position")).alias("reached"), F.get("next", F.col("position").cast("int") - 1).eqNullSafe(F.col("newest_hash")).alias("same"))
+    grown = at.filter(F.size("hashes") > F.col("before")).select(*key, "seq", F.posexplode(F.slice("hashes", F.col("before") + 1, F.size("hashes") - F.col("before"))).alias("n", "hash"), "before")
+    grown = grown.select(*key, "seq", (F.col("before") + F.col("n") + 1).alias("position"), F.struct("hash").alias("told"), F.lit(None).cast("boolean").alias("same"), F.lit(None).cast("string").alias("newest_hash"))
+    waiting = own.filter(~F.coalesce("reached", F.lit(False))).select(*key, "seq", F.col("position").cast("int").alias("position"), F.lit(None).cast("struct<hash:string>").alias("told"), F.lit(False).alias("same"), "newest_hash")
+    # From the end of the log, so that the frame only grows.
+    later = Window.partitionBy(*key, "position").orderBy(F.desc("seq"), F.col("told").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    again = grown.unionByName(waiting).withColumn("met", F.last("told", True).over(later)).filter("same is not null")
+    again = again.select("client_session", "seq", F.when(F.col("met").isNotNull(), F.col("met.hash").eqNullSafe(F.col("newest_hash"))).alias("kept"))
+    kept = own.filter("reached").select("client_session", "seq", F.col("same").alias("kept")).unionByName(again)
+    return requests.join(kept, ["client_session", "seq"], "left")
 
 
 def request_kinds(requests: DataFrame) -> DataFrame:
     """Requests (agent_id, conversation_id, seq, position, newest, newest_hash, kept, finished, spawned_by) with kind."""
     known = F.col("conversation_id").isNotNull()
     again = F.row_number().over(Window.partitionBy("client_session", "conversation_id", "newest_hash").orderBy("seq")) > 1
-    after = Window.partitionBy("client_session", "conversation_id", "position").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    others = F.size(F.array_remove(F.collect_set("newest_hash").over(after), F.col("newest_hash"))) > 0
+    # Later requests come first, so that the frame only grows; one differs if the least or the greatest does.
+    after = Window.partitionBy("client_session", "conversation_id", "position").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    others = F.coalesce((F.min("newest_hash").over(after) != F.col("newest_hash")) | (F.max("newest_hash").over(after) != F.col("newest_hash")), F.lit(False))
     main = F.col("agent_id").isNull()
     starts = F.when(main & known, F.min(F.when(main, F.col("seq"))).over(Window.partitionBy("client_session", "conversation_id")))
     latest = F.max("__start").over(Window.partitionBy("client_session"))
@@ -61,7 +75,9 @@ def turn_totals(requests: DataFrame) -> DataFrame:
 def link_subagents(calls: DataFrame, openings: DataFrame, minutes: int = 10) -> DataFrame:
     """T5: client_session, call_id, opening_id: one to one, the longest prompt first, then the earliest call.
 
-    Spark finds the candidate pairs by session and ten-minute bands; the greedy choice runs over one session's pairs.
+    Candidate pairs come from ten-minute bands. A pair that stands first for both its call and its opening is what the choice
+    one by one would take, whatever else happens; such pairs are taken in rounds, each written once, until none is left.
+    Null ids link with nothing; rows alike in an id count as one call or opening.
     """
     band = lambda c: F.floor(seconds(F.col(c)) / (60 * minutes))
     near = openings.withColumn("band", F.explode(F.array(band("opened_at") - 1, band("opened_at"), band("opened_at") + 1)))
@@ -69,30 +85,36 @@ def link_subagents(calls: DataFrame, openings: DataFrame, minutes: int = 10) ->
     gap = F.abs(seconds(F.col("opened_at")) - seconds(F.col("called_at")))
     pairs = pairs.filter(F.contains("opening", "prompt") & (gap <= 60 * minutes)).select("client_session", "call_id", "opening_id", F.char_length("prompt").alias("n"), "called_at", "opened_at")
 
-    def greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        calls, openings, out = set(), set(), []
-        for r in pdf.sort_values(["n", "called_at", "opened_at", "call_id", "opening_id"], ascending=[False, True, True, True, True]).itertuples():
-            if r.call_id not in calls and r.opening_id not in openings:
-                calls.add(r.call_id)
-                openings.add(r.opening_id)
-                out.append((key[0], r.call_id, r.opening_id))
-        return pd.DataFrame(out, columns=["client_session", "call_id", "opening_id"])
-
-    return pairs.groupBy("client_session").applyInPandas(greedy, "client_session string, call_id long, opening_id long")
-
-
-def subagent_turns(requests: DataFrame, depth: int = 3) -> DataFrame:
+    order = [F.desc("n"), "called_at", "opened_at", "call_id", "opening_id"]
+    by_call, by_opening = Window.partitionBy("client_session", "call_id").orderBy(*order), Window.partitionBy("client_session", "opening_id").orderBy(*order)
+    left, taken = pairs.filter("call_id is not null and opening_id is not null"), []
+    while True:
+        ranked = cut(left.withColumns({"of_call": F.row_number().over(by_call), "of_opening": F.row_number().over(by_opening)}))
+        best = ranked.filter("of_call = 1 and of_opening = 1").select("client_session", "call_id", "opening_id")
+        taken.append(best)
+        if ranked.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        left = ranked.drop("of_call", "of_opening")
+        for side in ("call_id", "opening_id"):
+            left = left.join(best.select("client_session", side), ["client_session", side], "left_anti")
+
+
+def subagent_turns(requests: DataFrame) -> DataFrame:
     """client_session, agent_id, turn_no: the turn of the request that started the subagent, through nested ones.
 
-    A subagent without a known start belongs to the turn that its first request falls in.
+    A subagent without a known start, or with none above it (a circle), belongs to the turn that its first request falls in.
+    Each round doubles the depth that it sees through, and is written once.
     """
     firsts = requests.filter("agent_id is not null").groupBy("client_session", "agent_id").agg(F.min_by("turn_no", "seq").alias("own"), F.min_by("spawned_by", F.when(F.col("spawned_by").isNotNull(), F.col("seq"))).alias("by"))
     starters = requests.select("client_session", F.col("request_id").alias("by"), F.col("agent_id").alias("parent"), F.col("turn_no").alias("up")).dropDuplicates(["client_session", "by"])
     known = firsts.join(starters, ["client_session", "by"], "left")
-    known = known.select("client_session", "agent_id", "parent", F.when(F.col("parent").isNull(), F.coalesce("up", "own")).alias("turn_no"), "own")
-    for _ in range(depth):
-        above = known.select("client_session", F.col("agent_id").alias("parent"), F.col("turn_no").alias("t"))
-        known = known.join(above, ["client_session", "parent"], "left").withColumn("turn_no", F.coalesce("turn_no", "t")).drop("t")
+    known = cut(known.select("client_session", "agent_id", "parent", F.when(F.col("parent").isNull(), F.coalesce("up", "own")).alias("turn_no"), "own"))
+    most, seen = known.count(), 1
+    while seen <= most and not known.filter("parent is not null").isEmpty():
+        above = known.select("client_session", F.col("agent_id").alias("parent"), F.col("turn_no").alias("t"), F.col("parent").alias("next"))
+        known = known.join(above, ["client_session", "parent"], "left")
+        known = cut(known.select("client_session", "agent_id", F.when(F.col("t").isNull(), F.col("next")).alias("parent"), F.coalesce("turn_no", "t").alias("turn_no"), "own"))
+        seen *= 2
     return known.select("client_session", "agent_id", F.coalesce("turn_no", "own").alias("turn_no"))
 
 

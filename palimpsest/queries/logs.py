@@ -45,12 +45,25 @@ def settled(spark, sf_dir):
 
 
 SETTLED = LOG.rstrip() + """,
-settled AS (SELECT l.*, (SELECT arg_min(CASE WHEN l.event_type = 'error' THEN (SELECT x.newest_hash FROM log x WHERE x.client_session = l.client_session AND x.conversation_id = l.conversation_id AND x.position = l.position AND x.event_type <> 'error' AND x.seq <= r.seq ORDER BY x.seq LIMIT 1) = l.newest_hash
-  ELSE true END, r.seq) FROM log r WHERE r.client_session = l.client_session AND r.conversation_id = l.conversation_id AND r.seq > l.seq AND r.position >= l.position AND (l.event_type <> 'error' OR r.event_type <> 'error' OR r.position > l.position)) AS kept FROM log l)
+h AS (SELECT *, coalesce(list(newest_hash) FILTER (event_type <> 'error') OVER (PARTITION BY client_session, conversation_id ORDER BY seq), []) AS said FROM log),
+hist AS (SELECT * EXCLUDE said, CASE WHEN event_type = 'error' THEN list_append(said, newest_hash) ELSE said END AS hashes FROM h),
+met AS (SELECT l.request_id, arg_min(r.hashes[l.position] = l.newest_hash, r.seq) AS kept FROM hist l JOIN hist r ON r.client_session = l.client_session AND r.conversation_id = l.conversation_id AND r.seq > l.seq AND len(r.hashes) >= l.position GROUP BY l.request_id),
+settled AS (SELECT log.*, kept FROM log LEFT JOIN met USING (request_id))
+"""
+KINDS = SETTLED.rstrip() + """,
+began AS (SELECT *, CASE WHEN agent_id IS NULL AND conversation_id IS NOT NULL THEN min(seq) FILTER (agent_id IS NULL) OVER c END AS start, max(seq) FILTER (agent_id IS NULL) OVER c AS last, row_number() OVER (PARTITION BY client_session, conversation_id, newest_hash ORDER BY seq) > 1 AS again,
+  EXISTS (SELECT 1 FROM log o WHERE o.client_session = s.client_session AND o.conversation_id IS NOT DISTINCT FROM s.conversation_id AND o.position = s.position AND o.seq > s.seq AND o.newest_hash <> s.newest_hash) AS others
+  FROM settled s WINDOW c AS (PARTITION BY client_session, conversation_id)),
+kinds AS (SELECT *, CASE WHEN conversation_id IS NOT NULL AND again THEN 'retry'
+  WHEN NOT kept THEN CASE WHEN newest = 'tool_results' AND NOT finished THEN 'interrupted' ELSE 'replaced' END
+  WHEN newest = 'tool_results' THEN 'tool_round' WHEN newest = 'client' THEN 'notice' WHEN newest = 'assistant' THEN 'reply'
+  WHEN agent_id IS NOT NULL AND conversation_id IS NOT NULL THEN 'task' WHEN conversation_id IS NULL THEN 'unclaimed'
+  WHEN agent_id IS NULL AND seq = last AND start < max(start) OVER (PARTITION BY client_session) AND kept IS NULL AND newest = 'typed' THEN 'closing'
+  WHEN kept IS NULL AND others THEN 'pending' ELSE 'turn' END AS kind FROM began)
 """
 
 
-@query()
+@query(SETTLED + "SELECT request_id, kept FROM settled")
 def t1_settle_requests(spark, sf_dir):
     return settled(spark, sf_dir).select("request_id", "kept")
 
@@ -59,12 +72,12 @@ def kinds(spark, sf_dir):
     return R.turn_of_request(R.request_kinds(settled(spark, sf_dir)))
 
 
-@query()
+@query(KINDS + "SELECT request_id, count(*) FILTER (kind = 'turn' AND agent_id IS NULL) OVER (PARTITION BY client_session ORDER BY seq) - 1 AS turn_no FROM kinds")
 def t2_turn_of_request(spark, sf_dir):
     return kinds(spark, sf_dir).select("request_id", "turn_no")
 
 
-@query()
+@query(KINDS + "SELECT request_id, kind FROM kinds")
 def t3_request_kind(spark, sf_dir):
     return kinds(spark, sf_dir).select("request_id", "kind")
 
@@ -79,7 +92,16 @@ def t4_turn_totals(spark, sf_dir):
     return R.turn_totals(by_day(spark, sf_dir))
 
 
-@query()
+#: One pair a step and session, in the order of the choice; what is taken is kept in lists.
+LINKS = """WITH RECURSIVE e AS (SELECT 's' || user_id % 10 AS client_session, * FROM events),
+p AS (SELECT c.client_session, c.event_id AS call_id, o.event_id AS opening_id, row_number() OVER (PARTITION BY c.client_session ORDER BY c.ts, o.ts, c.event_id, o.event_id) AS n FROM e c JOIN e o ON o.client_session = c.client_session AND c.event_type = 'click' AND o.event_type = 'view' AND abs(epoch_us(o.ts) - epoch_us(c.ts)) <= 600000000 AND contains(floor(o.value)::BIGINT::VARCHAR, left(floor(c.value)::BIGINT::VARCHAR, 1))),
+g AS (SELECT DISTINCT client_session, 0::BIGINT AS n, NULL::BIGINT AS call_id, NULL::BIGINT AS opening_id, false AS taken, []::BIGINT[] AS calls, []::BIGINT[] AS openings FROM p
+UNION ALL SELECT p.client_session, p.n, p.call_id, p.opening_id, f.ok, CASE WHEN f.ok THEN list_append(g.calls, p.call_id) ELSE g.calls END, CASE WHEN f.ok THEN list_append(g.openings, p.opening_id) ELSE g.openings END
+  FROM g JOIN p ON p.client_session = g.client_session AND p.n = g.n + 1, LATERAL (SELECT NOT list_contains(g.calls, p.call_id) AND NOT list_contains(g.openings, p.opening_id) AS ok) f)
+SELECT client_session, call_id, opening_id FROM g WHERE taken"""
+
+
+@query(LINKS)
 def t5_link_subagents(spark, sf_dir):
     """Calls are clicks, openings views of the session within ten minutes; a prompt is the amount's first digits."""
     e = B.read(spark, sf_dir, "events").withColumn("client_session", F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")))

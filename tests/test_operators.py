@@ -1,5 +1,6 @@
 """Operators against plain loops over random cases, and decision tables."""
 
+import datetime
 import random
 
 import pytest
@@ -164,6 +165,44 @@ def test_settling_requests(spark):
     assert {r.seq: r.kept for r in requests.settle_requests(df).collect()} == {1: True, 2: False, 3: True, 4: None}
 
 
+def test_settling_random_histories(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for s in ("s", "t"):
+        said, history = [], []
+        for seq in range(1, 120):
+            said = said[: rng.randint(0, len(said))] if rng.random() < 0.4 else said
+            said = said + [rng.choice("abc") for _ in range(rng.randint(1, 3))]
+            history.append(said)
+            rows.append((s, None if seq % 17 == 0 else "c", seq, len(said), said[-1], said))
+        told = [r for r in rows if r[0] == s and r[1]]
+        for r in told:
+            want[s, r[2]] = next((x[5][r[3] - 1] == r[4] for x in told if x[2] > r[2] and len(x[5]) >= r[3]), None)
+    df = spark.createDataFrame(rows, "client_session string, conversation_id string, seq long, position long, newest_hash string, hashes array<string>")
+    got = requests.settle_requests(df).collect()
+    assert {(r.client_session, r.seq): r.kept for r in got} == {(r[0], r[2]): want.get((r[0], r[2])) for r in rows}
+
+
+def test_links_one_to_one_as_one_by_one(spark):
+    rng, at = random.Random(5), datetime.datetime(2024, 1, 1)
+    calls = [("s", i, "ab"[: rng.randint(1, 2)], at + datetime.timedelta(seconds=rng.randint(0, 3000))) for i in range(40)] + [("s", None, "a", at)]
+    opened = [("s", i, rng.choice(["ab", "xa", "b"]), at + datetime.timedelta(seconds=rng.randint(0, 3000))) for i in range(100, 140)]
+    pairs = sorted((-len(p), t, u, c, o) for _, c, p, t in calls if c is not None for _, o, q, u in opened if p in q and abs((u - t).total_seconds()) <= 600)
+    used, want = set(), set()
+    for _, _, _, c, o in pairs:
+        if not {c, o} & used:
+            used |= {c, o}
+            want.add((c, o))
+    got = requests.link_subagents(spark.createDataFrame(calls, "client_session string, call_id long, prompt string, called_at timestamp"), spark.createDataFrame(opened, "client_session string, opening_id long, opening string, opened_at timestamp"))
+    assert {(r.call_id, r.opening_id) for r in got.collect()} == want and len(want) > 10
+
+
+def test_nested_subagents_of_any_depth(spark):
+    rows = [("s", 1, None, 4, 1, None)] + [("s", k, f"a{k}", 90 + k, k, k - 1) for k in range(2, 12)]
+    rows += [("s", 20, "x", 7, 20, 21), ("s", 21, "y", 8, 21, 20), ("s", 30, "alone", 9, 30, None)]
+    got = requests.subagent_turns(spark.createDataFrame(rows, "client_session string, request_id long, agent_id string, turn_no long, seq long, spawned_by long")).collect()
+    assert {r.agent_id: r.turn_no for r in got} == {f"a{k}": 4 for k in range(2, 12)} | {"x": 7, "y": 8, "alone": 9}
+
+
 def test_topics_and_values(spark):
     df = spark.createDataFrame([("The  Main Database",), ("what",), (None,), ("our",)], "t string")
     assert [r.x for r in df.select(T.normalise_topic(F.col("t")).alias("x")).collect()] == ["main database", None, "general", None]
