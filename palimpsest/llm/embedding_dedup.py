@@ -44,10 +44,19 @@ def rotation(d: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def rotated(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors, rotated; each row by itself, so that it comes out alike in every task."""
-    unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-    return np.einsum("ij,kj->ik", unit, rotation(vectors.shape[1]))
+def units(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+
+
+def rotated(unit: np.ndarray) -> np.ndarray:
+    """Unit vectors, rotated; each row by itself, so that it comes out alike in every task, whatever rows stand beside it."""
+    pairs = unit if len(unit) > 1 else np.repeat(unit, 2, axis=0)  # one row alone would be summed in another order
+    return np.einsum("ij,kj->ik", pairs, rotation(unit.shape[1]))[: len(unit)]
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Arrow lists of one length and without nulls as rows, without a Python object a number."""
+    return np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
 
 
 def blocks(d: int, dims: int = DIMS) -> list[slice]:
@@ -61,18 +70,28 @@ def budgets(d: int, cosine: float, dims: int = DIMS) -> list[float]:
 
 def cells(vectors: pa.Array, cosine: float, dims: int, axes: int) -> pa.Array:
     """For each vector array<struct<block, cell, own>>: its home cell in each block, and as not own those that it probes."""
-    out = []
-    for v in vectors.to_pylist():
-        x = rotated(np.array([v], np.float64))[0]
-        found = []
-        for k, (part, budget) in enumerate(zip(blocks(len(x), dims), budgets(len(x), cosine, dims), strict=True)):
-            radius = np.sqrt(budget)
-            home = np.floor(x[part][:axes] / radius).astype(np.int64).tolist()
-            for step in product((-1, 0, 1), repeat=len(home)):
-                if step >= (0,) * len(home):  # half of the neighbours: of two cells one probes the other
-                    found.append({"block": k, "cell": [h + s for h, s in zip(home, step, strict=True)], "own": not any(step)})
-        out.append(found)
-    return pa.array(out, pa.list_(pa.struct([("block", pa.int32()), ("cell", pa.list_(pa.int64())), ("own", pa.bool_())])))
+    lengths, parts = np.asarray(vectors.value_lengths()), []
+    for d in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == d)
+        x = rotated(units(matrix(vectors.take(pa.array(at)))))
+        for k, (part, budget) in enumerate(zip(blocks(d, dims), budgets(d, cosine, dims), strict=True)):
+            home = np.floor(x[:, part][:, :axes] / np.sqrt(budget)).astype(np.int64)
+            for step in product((-1, 0, 1), repeat=home.shape[1]):
+                if step >= (0,) * home.shape[1]:  # half of the neighbours: of two cells one probes the other
+                    parts.append((at, k, home + step, not any(step)))
+    # Laid out by vector; entries of a vector keep their order.
+    rows = np.concatenate([at for at, *_ in parts]) if parts else np.zeros(0, np.int64)
+    order = np.argsort(rows, kind="stable")
+    block = np.concatenate([np.full(len(at), k, np.int32) for at, k, *_ in parts]) if parts else np.zeros(0, np.int32)
+    own = np.concatenate([np.full(len(at), o) for at, _, _, o in parts]) if parts else np.zeros(0, bool)
+    cell = pa.concat_arrays([_lists(c) for _, _, c, _ in parts]) if parts else pa.array([], pa.list_(pa.int64()))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(vectors)))]).astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(block[order]), cell.take(pa.array(order)), pa.array(own[order])], ["block", "cell", "own"])
+    return pa.ListArray.from_arrays(pa.array(offsets), entries)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
 
 
 def _joined(cosine: float, dims: int):
@@ -81,10 +100,11 @@ def _joined(cosine: float, dims: int):
         k = table["block"][0].as_py()
         ids = np.asarray(table["id"])
         weight, role, own = np.asarray(table["n"]), np.asarray(table["role"]), table["own"].to_numpy(zero_copy_only=False).astype(bool)
-        vectors = np.array(table["vector"].to_pylist(), np.float64)
-        x = rotated(vectors)
-        unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-        parts, limits = blocks(x.shape[1], dims), budgets(x.shape[1], cosine, dims)
+        unit = units(matrix(table["vector"].combine_chunks()))
+        d = unit.shape[1]
+        parts, limits = blocks(d, dims), budgets(d, cosine, dims)
+        here = unit @ rotation(d)[parts[k]].T  # this block alone; candidates are rotated whole, once
+        x, done, fresh = np.empty_like(unit), np.zeros(len(unit), bool), np.zeros(len(unit), bool)
         homes, probes = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         count: dict[int, int] = {}
         root = {}
@@ -94,18 +114,24 @@ def _joined(cosine: float, dims: int):
                 root[i] = i = root[root[i]]
             return i
 
-        p = x[probes][:, parts[k]]
+        p = here[probes]
+        p2 = (p * p).sum(1)[None]
         for at in range(0, len(homes), 256):
             some = homes[at : at + 256]
-            h = x[some][:, parts[k]]
-            d2 = (h * h).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * h @ p.T
-            a, b = np.nonzero(d2 <= limits[k] + 1e-7)
+            h = here[some]
+            d2 = h @ (-2 * p.T)
+            d2 += p2
+            a, b = np.divmod(np.flatnonzero(d2 <= (limits[k] + 1e-7 - (h * h).sum(1))[:, None]), len(probes))
             a, b = some[a], probes[b]
             ok = ~own[b] | (ids[a] < ids[b])
             a, b = a[ok], b[ok]
             for e in range(0, len(a), 20_000):
                 i, j = a[e : e + 20_000], b[e : e + 20_000]
-                near = np.stack([((x[i][:, s] - x[j][:, s]) ** 2).sum(1) <= limit for s, limit in zip(parts[: k + 1], limits, strict=False)])
+                fresh[i] = fresh[j] = True
+                new = np.flatnonzero(fresh & ~done)
+                x[new], done[new] = rotated(unit[new]), True
+                apart = (x[i] - x[j]) ** 2
+                near = np.stack([apart[:, s].sum(1) <= limit for s, limit in zip(parts[: k + 1], limits, strict=False)])
                 ok = near[k] & ~near[:k].any(0)
                 i, j = i[ok], j[ok]
                 ok = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
