@@ -5,8 +5,8 @@ and character n-grams (word ends marked). A known word scores its log frequency
 mean log frequency of its known n-grams of the longest size that has any, from five characters down to one. A text's language
 is that of the greatest sum over its words; its score is the softmax of the sums.
 
-Bounds, all parameters: `per_lang` rows a language (those of the least hash of their id), `max_langs` languages (the most
-frequent), `max_words` and `max_grams` entries. Null or empty text, and text without a letter, is `und` with score 0; so is
+Bounds, all parameters: `per_lang` rows a language (those of the least hash of their id), `max_words` and `max_grams` entries,
+fewer if the languages are so many that the model would hold over CELLS numbers; no language is left out. Null or empty text, and text without a letter, is `und` with score 0; so is
 everything where nothing was learned. A text of any length is scored whole. Ties go to the language first by code point. Rows may repeat. A column named like an
 output is replaced. An empty table gives an empty result.
 """
@@ -22,22 +22,26 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, each
+from palimpsest.llm.common import Memo, bounded, each
 
 LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 5
-PER_LANG, MAX_LANGS, MAX_WORDS, MAX_GRAMS = 2000, 200, 60_000, 60_000
+PER_LANG, MAX_WORDS, MAX_GRAMS = 2000, 60_000, 60_000
+#: Numbers of four bytes that a model holds at most, entries by languages: it is sent to every worker.
+CELLS = 24_000_000
+#: Long words give their n-grams by pieces of so many beginnings.
+PIECE = 64
 #: Added to each count, so that a word not seen in a language only makes it unlikely.
 SMOOTH = 0.5
 
 
-def training_rows(df: DataFrame, id_col: str, lang: str, text: str, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
-    """lang, text: at most per_lang rows of each of the max_langs most frequent languages, by the hash of their id."""
+def training_rows(df: DataFrame, id_col: str, lang: str, text: str, per_lang: int = PER_LANG) -> DataFrame:
+    """lang, text: at most per_lang rows of each language, by the hash of their id."""
     known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs)
+    n = bounded(known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")))
     place = F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # A margin over the wanted share leaves enough rows for the exact bound that follows.
-    some = known.withColumn("place", place).join(F.broadcast(n), F.col(lang) == F.col("l")).filter(F.col("place") <= (1.5 * per_lang + 50) / F.col("n"))
+    some = known.withColumn("place", place).join(n, F.col(lang) == F.col("l")).filter(F.col("place") <= (1.5 * per_lang + 50) / F.col("n"))
     best = Window.partitionBy("l").orderBy("place", id_col)
     return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_lang).select(F.col("l").alias("lang"), F.col(text).alias("text"))
 
@@ -52,21 +56,24 @@ def train(df: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str =
     """The model, at most max_words + max_grams rows: languages, and log frequencies by word and by n-gram."""
     rows = training_rows(df, id_col, lang, text, **bounds)
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
-    marked = words.select("lang", "n", F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("w")).filter(F.length("w") < 100)
+    marked = words.select("lang", "n", F.concat(F.lit(" "), F.col("word"), F.lit(" ")).alias("w"))
+    at = F.explode(F.sequence(F.lit(0), F.length("w") - 1, F.lit(PIECE))).alias("at")
+    marked = marked.select("lang", "n", "w", at).select("lang", "n", F.expr(f"substring(w, at + 1, {PIECE + LONGEST - 1})").alias("w"))
     sizes = F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size")
     cuts = marked.select("lang", "n", "w", sizes).filter(F.length("w") >= F.col("size"))
-    grams = cuts.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("size") + 1), lambda i: F.substring("w", i, F.col("size")))).alias("gram"))
+    grams = cuts.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("w") - F.col("size") + 1)), lambda i: F.substring("w", i, F.col("size")))).alias("gram"))
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found, pieces = _top(words, "word", max_words), _top(grams, "gram", max_grams)
+    langs = sorted((r["lang"] for r in words.select("lang").distinct().collect()), key=str.encode)
+    room = CELLS // max(1, len(langs)) / (max_words + max_grams)
+    found, pieces = (_top(counts, key, int(most * min(1.0, room))) for counts, key, most in ((words, "word", max_words), (grams, "gram", max_grams)))
     words.unpersist()
-    langs = sorted({x for r in found for x in r["by"]}, key=str.encode)
 
-    def table(entries: list, key: str, groups) -> dict[str, tuple[float, ...]]:
+    def table(entries: list, key: str, groups) -> tuple[dict[str, int], np.ndarray]:
         counts = np.array([[r["by"].get(x, 0) for x in langs] for r in entries], np.float64).reshape(len(entries), len(langs)) + SMOOTH
         group = np.array([groups(r[key]) for r in entries], np.int64)
         for g in set(group.tolist()):
             counts[group == g] /= counts[group == g].sum(axis=0)
-        return {r[key]: tuple(row) for r, row in zip(entries, np.log(counts).tolist(), strict=True)}
+        return {r[key]: k for k, r in enumerate(entries)}, np.log(counts).astype(np.float32)
 
     return {"id": uuid.uuid4().hex, "langs": langs, "words": table(found, "word", lambda w: 0), "grams": table(pieces, "gram", len)}
 
@@ -80,13 +87,15 @@ class Scorer:
         self.chunks = Memo(self.of_chunk, 150_000)
 
     def of_word(self, word: str) -> tuple[float, ...]:
-        if known := self.words.get(word):
-            return known
+        places, rows = self.words
+        if (at := places.get(word)) is not None:
+            return tuple(rows[at].tolist())
+        places, rows = self.grams
         marked = f" {word} "
         for n in range(LONGEST, 0, -1):
-            known = [x for k in range(len(marked) - n + 1) if (x := self.grams.get(marked[k : k + n]))]
+            known = [x for k in range(len(marked) - n + 1) if (x := places.get(marked[k : k + n])) is not None]
             if known:
-                return tuple(sum(c) / len(known) for c in zip(*known, strict=True))
+                return tuple(rows[known].mean(axis=0, dtype=np.float64).tolist())
         return self.none
 
     def of_chunk(self, chunk: str) -> tuple[float, ...]:

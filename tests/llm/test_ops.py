@@ -1,6 +1,7 @@
 """The ten operators against libraries, SQL, brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -95,11 +96,56 @@ def test_language_edges(spark):
 
 
 def test_unseen_words_back_off():
-    model = {"langs": ["de", "en"], "words": {"haus": (-0.1, -2.0)}, "grams": {" hau": (-0.2, -1.6), "q": (-2.0, -0.1)}}
+    model = {"langs": ["de", "en"], "words": ({"haus": 0}, np.array([(-0.1, -2.0)])), "grams": ({" hau": 0, "q": 1}, np.array([(-0.2, -1.6), (-2.0, -0.1)]))}
     s = language_id.Scorer(model)
     assert s("haus")[0] == "de" and s("haut")[0] == "de" and s("qu")[0] == "en" and s("?") == ("und", 0.0)
 
 
+def plain_language(rows, texts):
+    """Word-first backoff by dictionaries, over (lang, text) rows that are all learned from."""
+    words, grams = {}, {}
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words.setdefault(w, Counter())[lang] += 1
+            for n in range(1, 6):
+                for k in range(len(w) + 3 - n):
+                    grams.setdefault(f" {w} "[k : k + n], Counter())[lang] += 1
+    langs = sorted({lang for lang, _ in rows})
+    kept = [{w: c for w, c in t.items() if c.total() > 1} for t in (words, grams)]
+    sums = {(t, n, x): sum(c[x] + 0.5 for w, c in kept[t].items() if not t or len(w) == n) for x in langs for t, n in [(0, 0), *((1, n) for n in range(1, 6))]}
+
+    def of(w, x):
+        if w in kept[0]:
+            return math.log((kept[0][w][x] + 0.5) / sums[0, 0, x])
+        for n in range(5, 0, -1):
+            known = [g for k in range(len(w) + 3 - n) if (g := f" {w} "[k : k + n]) in kept[1]]
+            if known:
+                return sum(math.log((kept[1][g][x] + 0.5) / sums[1, n, x]) for g in known) / len(known)
+        return 0.0
+
+    return [{x: sum(of(w, x) for w in re.findall(r"[^\W\d_]+", t.lower())) for x in langs} for t in texts]
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(lang, " ".join("".join(rng.choice(letters) for _ in range(rng.choice([1, 3, 5, 9, 67, 68, 69, 300]))) for _ in range(12)) + " gem") for lang, letters in [("aa", "abcde"), ("bb", "cdefgé"), ("cc", "日本語e")] for _ in range(15)]
+    texts = [" ".join("".join(rng.choice("abcdefgé日本語q") for _ in range(rng.choice([1, 2, 4, 100]))) for _ in range(5)) + rng.choice(["", " gem"]) for _ in range(60)]
+    model = language_id.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, sums in zip(got, plain_language(rows, texts), strict=True):
+        best = max(sums.values())
+        assert sums[r.lang_pred] > best - 1e-3
+        assert abs(r.score - 1 / sum(math.exp(s - best) for s in sums.values())) < 1e-3
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"l{i % 300}", f"w{chr(97 + i % 300 % 26)}{chr(97 + i % 300 // 26)}x " * 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language_id.train(df)
+    assert len(model["langs"]) == 300
+    assert all(r.lang_pred == r.lang for r in language_id.predict(df, model).collect())
+
+
 def test_embeddings_equal_sql(same):
     assert same(queries.op3_embedding_dedup, queries.oracle_sql()["op3_embedding_dedup"]) > 0
 
