@@ -6,8 +6,8 @@ mean log frequency of its known n-grams of the longest size that has any, from f
 is that of the greatest sum over its words; its score is the softmax of the sums.
 
 Bounds, all parameters: `per_lang` rows a language (those of the least hash of their id), `max_words` and `max_grams` entries,
-fewer if the languages are so many that the model would hold over CELLS numbers; no language is left out. Null or empty text, and text without a letter, is `und` with score 0; so is
-everything where nothing was learned. A text of any length is scored whole. Ties go to the language first by code point. Rows may repeat. A column named like an
+fewer if the languages are so many that the model would hold over CELLS numbers; no language is left out. Null or empty text,
+and text without a letter, is `und` with score 0; so is everything where nothing was learned. A text of any length is scored whole. Ties go to the language first by code point. Rows may repeat. A column named like an
 output is replaced. An empty table gives an empty result.
 """
 
@@ -29,6 +29,8 @@ LONGEST = 5
 PER_LANG, MAX_WORDS, MAX_GRAMS = 2000, 60_000, 60_000
 #: Numbers of four bytes that a model holds at most, entries by languages: it is sent to every worker.
 CELLS = 24_000_000
+#: Numbers that a worker remembers at most in each generation of a memo.
+HELD = 2_000_000
 #: Long words give their n-grams by pieces of so many beginnings.
 PIECE = 64
 #: Added to each count, so that a word not seen in a language only makes it unlikely.
@@ -84,18 +86,24 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
         self.none = (0.0,) * len(self.langs)
-        self.chunks = Memo(self.of_chunk, 150_000)
+        held = max(1000, HELD // max(1, len(self.langs)))
+        self.chunks = Memo(self.of_chunk, min(150_000, held))
+        self.rows = Memo(self.of_gram, held)  # known n-grams as Python numbers
+
+    def of_gram(self, gram: str) -> tuple[float, ...]:
+        places, rows = self.grams
+        return tuple(rows[places[gram]].tolist())
 
     def of_word(self, word: str) -> tuple[float, ...]:
         places, rows = self.words
         if (at := places.get(word)) is not None:
             return tuple(rows[at].tolist())
-        places, rows = self.grams
+        places = self.grams[0]
         marked = f" {word} "
         for n in range(LONGEST, 0, -1):
-            known = [x for k in range(len(marked) - n + 1) if (x := places.get(marked[k : k + n])) is not None]
+            known = [self.rows[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in places]
             if known:
-                return tuple(rows[known].mean(axis=0, dtype=np.float64).tolist())
+                return tuple(sum(c) / len(known) for c in zip(*known, strict=True))
         return self.none
 
     def of_chunk(self, chunk: str) -> tuple[float, ...]:
