@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe_codec, embedding_dedup, html_extract, language_id, ngram_join, quality_rules, secret_scan, source_mixing, token_counts, url_filters
-from palimpsest.llm.common import cut, table
+from palimpsest.llm import bpe_codec, centroid_clusters, embedding_dedup, html_extract, language_id, lm_score, ngram_join, periodic_runs, quality_rules, secret_scan, source_mixing, token_counts, url_filters
+from palimpsest.llm.common import WORD, cut, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,34 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text); by a hash of the id, every tenth text repeats a stretch of its words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10))).withColumn("words", F.when(F.col("g").isNotNull(), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))))
+    n, g = F.size("words"), F.col("g")
+    found = found.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", F.floor((n - F.col("a")) / (3 + g % 8)).cast("int") + 1)
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), n - F.col("a")))
+    return found.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.greatest(F.col("runs")))
+    best = [F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")]
+    milli = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, digest(periodic_runs.written(F.col("runs"))).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_embedding_dedup, op4_bpe_codec, op5_quality_rules, op6_url_filters, op7_source_mixing, op8_secret_scan, op9_html_extract, op10_ngram_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_embedding_dedup, op4_bpe_codec, op5_quality_rules, op6_url_filters, op7_source_mixing, op8_secret_scan, op9_html_extract, op10_ngram_join, op11_centroid_clusters, op12_periodic_runs, op13_lm_score, pipeline)}
 
 
 def _op3_sql() -> str:
@@ -134,5 +162,27 @@ SELECT doc_id, size::BIGINT AS size, ss AS source_size, target,
   (CASE WHEN ss > 0 THEN budget // ss ELSE 0 END * size + greatest(0, least(size, budget - CASE WHEN ss > 0 THEN budget // ss ELSE 0 END * ss - start)))::BIGINT AS taken FROM x"""
 
 
+def _op11_sql() -> str:
+    """Rounds one after another; whole numbers in doubles, exact below 2**53."""
+    far = "list_inner_product(e, e) - 2 * list_inner_product(e, c) + list_inner_product(c, c)"
+    k = centroid_clusters.K
+    out = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({centroid_clusters.SCALE} * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {centroid_clusters.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e AS c FROM (SELECT *, sha256('{centroid_clusters.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v) ORDER BY h, e LIMIT {k})"""
+    for i in range(centroid_clusters.ROUNDS + 1):
+        out += f""",
+a{i} AS (SELECT rowid_ AS r, any_value(vec_id) AS vec_id, any_value(e) AS e, min({k} * ({far}) + k)::BIGINT AS m FROM (SELECT *, row_number() OVER () AS rowid_ FROM v), c{i} GROUP BY rowid_)"""
+        if i < centroid_clusters.ROUNDS:
+            out += f""",
+s{i} AS (SELECT m % {k} AS k, j, floor(sum(e[j]) / count(*)) AS x FROM a{i}, range(1, {centroid_clusters.DIMS + 1}) AS t(j) GROUP BY 1, 2),
+c{i + 1} AS (SELECT c{i}.k, coalesce(n.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT k, list(x ORDER BY j) AS c FROM s{i} GROUP BY k) n USING (k))"""
+    last = centroid_clusters.ROUNDS
+    return f"""{out}
+SELECT vec_id, (m % {k})::INT AS cluster, m // {k} AS distance, sum(m // {k}) OVER (PARTITION BY m % {k})::BIGINT AS cluster_inertia, sum(m // {k}) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON m % {k} = k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": _op3_sql(), "op6_url_filters": _op6_sql(), "op7_source_mixing": _op7_sql()}
+    return {"op11_centroid_clusters": _op11_sql(), "op3_embedding_dedup": _op3_sql(), "op6_url_filters": _op6_sql(), "op7_source_mixing": _op7_sql()}
