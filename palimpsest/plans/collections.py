@@ -84,13 +84,3 @@ LASTING = ("authentication", "permission", "invalid_request", "quota")
 def lasting_failures(calls: DataFrame) -> DataFrame:
     """Passes in which every own call failed for a lasting reason. calls: pass_id, ok, error."""
     return calls.groupBy("pass_id").agg(F.bool_and(~F.col("ok") & F.coalesce(F.col("error").isin(*LASTING), F.lit(False))).alias("all"), F.count(F.lit(1)).alias("calls")).filter("all").drop("all")
-
-
-def backfill(turns: DataFrame, rounds: int, step, state: DataFrame, cut) -> DataFrame:
-    """Every conversation advanced one collection a round; state is cut to the shared checkpoint folder after each.
-
-    step(state, turns up to and with round k) -> state. Rounds are few (one for each assistant reply); conversations are many.
-    """
-    for k in range(rounds):
-        state = cut(step(state, turns.filter(F.col("reply_no") <= k), k))
-    return state

@@ -41,10 +41,15 @@ class Registry:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the table of conversations."""
+    return as_turns(read(spark, sf_dir, "conversations"))
+
+
+def as_turns(conversations: DataFrame) -> DataFrame:
     """Turns with all that a plain log leaves empty; first words stand for the ids of tool calls and results."""
     word = F.array(F.regexp_extract(F.lower("content"), "[a-z0-9]+", 0))
     none = F.array().cast("array<string>")
-    out = turns_of(read(spark, sf_dir, "conversations"))
+    out = turns_of(conversations)
     parts = F.array(F.struct(F.lit("speaker").alias("writer"), F.col("content").alias("text")))
     return out.withColumns({"opens": F.col("role") == "user", "said_by_user": F.col("role") == "user", "person_text": F.col("content"), "speaker": F.col("role"), "parts": parts, "call_words": F.when(F.col("role") == "assistant", word).otherwise(none), "result_words": F.when(F.col("role") == "user", word).otherwise(none), "tool_use_ids": none, "tool_result_ids": none})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import facts, identity
-from palimpsest.plans import collections, levels
+from palimpsest.plans import collections, levels, passes
 from palimpsest.queries import base as B
 from palimpsest.queries.base import Registry, _cost, turns, with_
 
@@ -140,20 +140,15 @@ def d7_degradations(spark, sf_dir):
     return _shortfalls(spark, sf_dir)
 
 
-@query()
-def d8_backfill_collections(spark, sf_dir):
-    """Three collections one after the other, levels carried along, so that the margins hold spans where they are."""
-    from palimpsest.sources.state import cut
-
-    costs = cut(B.costs(spark, sf_dir).withColumn("current", F.lit(None).cast("int")))
+#: Passes over short conversations; every second one's cache is warm.
+PASSES = passes.Settings(keep_last=B.KEEP_LAST, max_span_tokens=B.CAP, budget=B.BUDGET + 80, fold_line_tokens=B.FOLD_LINE, min_cut_tokens=1, stale_bound_tokens=40, min_saving_share=0.5, cache=lambda: F.when(F.col("conv_id") % 2 == 0, "warm").otherwise("cold"))
 
-    def step(state, rows, k):
-        seen = costs.drop("current").filter(F.col("last_turn") <= 2 * k + 1).join(state, ["conv_id", "span_no"], "left")
-        return levels.plan_levels(seen.withColumn("score", F.col("score") * (1 - 0.02 * k))).select("conv_id", "span_no", F.col("level").cast("int").alias("current"))
 
-    start = costs.select("conv_id", "span_no", "current").limit(0)
-    rows = turns(spark, sf_dir).withColumn("reply_no", F.lit(0))
-    return collections.backfill(rows, 3, step, start, cut)
+@query()
+def d8_backfill_collections(spark, sf_dir):
+    """Every conversation from its first reply to its last: each span with its level, and whether it is only staged."""
+    state, _ = passes.backfill(turns(spark, sf_dir), PASSES)
+    return state["spans"].select("conv_id", "span_no", "first_turn", "last_turn", "staged", "level")
 
 
 @query("WITH c AS (SELECT user_id AS pass_id, event_type <> 'error' AND user_id % 3 <> 0 AS ok FROM events)\nSELECT pass_id, count(*) AS calls FROM c GROUP BY pass_id HAVING bool_and(NOT ok)")
@@ -164,11 +159,26 @@ def d9_lasting_failures(spark, sf_dir):
     return collections.lasting_failures(calls)
 
 
-@query(with_("turns") + ", h AS (SELECT conv_id, turn_index, sha256(chr(0) || role || chr(0) || content) AS hash FROM turns WHERE turn_index = 0 UNION ALL SELECT t.conv_id, t.turn_index, sha256(h.hash || chr(0) || t.role || chr(0) || t.content) FROM h JOIN turns t ON t.conv_id = h.conv_id AND t.turn_index = h.turn_index + 1)\nSELECT * FROM h")
+CHAIN = """, s AS (SELECT conv_id, turn_index, '["' || role || '",[{"text":' || to_json(content)::VARCHAR || ',"type":"text"}]]' AS said FROM turns),
+h AS (SELECT conv_id, turn_index, sha256(chr(0) || said) AS hash FROM s WHERE turn_index = 0 UNION ALL SELECT s.conv_id, s.turn_index, sha256(h.hash || chr(0) || s.said) FROM h JOIN s ON s.conv_id = h.conv_id AND s.turn_index = h.turn_index + 1)
+SELECT * FROM h"""
+
+
+@query(with_("turns").rstrip() + CHAIN)
 def l1_chain_hashes(spark, sf_dir):
     return identity.chain_hashes(turns(spark, sf_dir))
 
 
+@query(with_("turns").rstrip() + CHAIN)
+def l1_chain_hashes_of_blocks(spark, sf_dir):
+    """Every second turn as a client sends it: blocks with a cache marker, an instruction and thinking before; nothing of it counts."""
+    text = F.to_json(F.struct(F.col("content").alias("text"), F.lit("text").alias("type")))
+    marked = F.concat(F.lit('{"cache_control":{"type":"ephemeral"},'), F.substring(text, 2, 1 << 30))
+    extra = F.when(F.col("role") == "user", '{"type":"text","text":"<system-reminder>now</system-reminder>"},').otherwise('{"type":"thinking","thinking":"","signature":"s"},')
+    raw = F.when(F.col("turn_index") % 2 == 0, F.concat(F.lit("["), extra, marked, F.lit("]")))
+    return identity.chain_hashes(turns(spark, sf_dir).withColumn("raw", raw), "raw")
+
+
 @query(with_("turns") + "SELECT conv_id AS request_id, conv_id, max(turn_index) - CASE WHEN max(turn_index) >= 1 THEN 1 ELSE 0 END + 1 AS agreed FROM turns GROUP BY conv_id")
 def l2_match_conversations(spark, sf_dir):
     """A conversation is recorded up to its last turn but one; the request carries all its turns. Ids of texts alike in two

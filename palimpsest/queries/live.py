@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from palimpsest.plans import levels
 from palimpsest.queries import base as B
 from palimpsest.queries import planning
 from palimpsest.queries.base import Registry, turns, with_
+from palimpsest.queries.collecting import PASSES as PASSES_
 from palimpsest.queries.collecting import _filed
+from palimpsest.sources.state import BucketTable, state_folder
 from palimpsest.streaming import streams
 
 query = Registry()
@@ -244,16 +248,24 @@ def event_stream(spark, sf_dir, files=1):
 def q1_stream_collections(spark, sf_dir):
     """Turns as a stream, planned by the batch code for the conversations that each batch touches."""
     stream = streams.open_stream(spark, f"{sf_dir}/conversations.parquet")
-    table = streams.StateTable(spark, stream.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    table = BucketTable(spark, ", ".join(f"{name} {kind}" for name, kind in stream.dtypes))
+    plans = BucketTable(spark, "conv_id long, span_no long, level int, tokens long")
 
     def plan(rows):
         return B.plan(_Tables(spark, {"conversations": rows}), "")
 
-    each, plans = streams.collect_turns(table, plan)
-    streams.run(stream, each=each)
+    streams.run(stream, each=streams.collect_turns(table, plans, plan))
     return plans.read()
 
 
+@query()
+def q1_stream_passes(spark, sf_dir):
+    """Turns as a stream: spans, staged or switched, with their levels after the newest reply; as d8_backfill_collections gives them."""
+    live = streams.Collections(spark, f"{state_folder(spark)}/collections-{uuid.uuid4()}", B.as_turns, PASSES_)
+    streams.run(streams.open_stream(spark, f"{sf_dir}/conversations.parquet"), each=live.each)
+    return live.state["spans"].read().select("conv_id", "span_no", "first_turn", "last_turn", "staged", "level")
+
+
 class _Tables:
     """Stands for a session whose reader gives the tables of one batch."""
 
@@ -266,13 +278,25 @@ class _Tables:
 
 @query("SELECT 'c' || user_id AS conversation_id, max(epoch_us(ts) / 1000000.0) AS last_used_at, arg_max(CASE WHEN event_id % 2 = 0 THEN 3600.0 ELSE 300.0 END, ts)::DOUBLE AS lifetime_s, bool_or(event_id % 3 > 0) AS uses_cache FROM events GROUP BY user_id")
 def q2_stream_cache_state(spark, sf_dir):
-    e = event_stream(spark, sf_dir)
-    replies = e.select(F.concat(F.lit("c"), "user_id").alias("conversation_id"), F.col("ts").cast("double").alias("started_at"), F.when(F.col("event_id") % 2 == 0, 3600.0).otherwise(300.0).alias("lifetime_s"), (F.col("event_id") % 3 > 0).alias("used"))
-    rows = streams.run(streams.stream_cache_state(replies), "update")
-    last = F.max(F.struct("batch", "last_used_at", "lifetime_s", "uses_cache")).alias("r")
+    rows = streams.run(streams.stream_cache_state(replies(event_stream(spark, sf_dir, None))), "update")
+    last = F.max(F.struct("last_used_at", "batch", "lifetime_s", "uses_cache")).alias("r")
     return rows.groupBy("conversation_id").agg(last).select("conversation_id", "r.last_used_at", "r.lifetime_s", "r.uses_cache")
 
 
+def replies(events):
+    """Events as replies of a user's conversation."""
+    return events.select(F.concat(F.lit("c"), "user_id").alias("conversation_id"), "ts", F.when(F.col("event_id") % 2 == 0, 3600.0).otherwise(300.0).alias("lifetime_s"), (F.col("event_id") % 3 > 0).alias("used"))
+
+
+@query("""WITH l AS (SELECT 'c' || user_id AS conversation_id, epoch_us(max(ts)) / 1000000.0 + arg_max(CASE WHEN event_id % 2 = 0 THEN 3600.0 ELSE 300.0 END, ts) + 5 AS gone, bool_or(event_id % 3 > 0) AS used FROM events GROUP BY user_id)
+SELECT conversation_id, gone::DOUBLE AS at FROM l WHERE used AND gone < (SELECT epoch_us(max(ts)) / 1000000.0 - 600 FROM events)""")
+def q2_stream_cold_caches(spark, sf_dir):
+    """Conversations whose cache has gone cold by the stream's event time, and when."""
+    rows = streams.run(streams.stream_cache_state(replies(event_stream(spark, sf_dir, None))), "update")
+    last = F.max_by(F.struct("state", "at"), F.struct("last_used_at", F.col("state") == streams.COLD, "batch")).alias("r")
+    return rows.filter("uses_cache").groupBy("conversation_id").agg(last).filter(F.col("r.state") == streams.COLD).select("conversation_id", "r.at")
+
+
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 24 HOUR THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g), t AS (SELECT 's' || user_id AS client_session, min(ts) AS opened_at, max(ts) + INTERVAL 24 HOUR AS closed_at, count(*) AS requests FROM k GROUP BY user_id, n)\nSELECT * FROM t WHERE closed_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def q3_stream_idle_close(spark, sf_dir):
     return streams.run(streams.stream_idle_close(event_stream(spark, sf_dir, None))).drop("batch")
@@ -304,14 +328,34 @@ def q6_stream_spawn_links(spark, sf_dir):
     return streams.run(streams.stream_spawn_pairs(calls, openings)).select("client_session", "call_id", "opening_id")
 
 
+@query()
+def q6_stream_one_to_one(spark, sf_dir):
+    """Links chosen on the stream: each call and each opening in one link at most."""
+    e = event_stream(spark, sf_dir, None).filter("event_type in ('click', 'view')")
+    digits, call = F.floor("value").cast("string"), F.col("event_type") == "click"
+    sides = e.select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("client_session"), "ts", F.col("event_id").cast("string").alias("id"), F.when(call, F.substring(digits, 1, 1)).alias("prompt"), F.when(~call, digits).alias("opening"))
+    return streams.run(streams.stream_spawn_links(sides)).select("client_session", "call_id", "opening_id")
+
+
 @query("SELECT user_id AS conv_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def q7_stream_health(spark, sf_dir):
     e = event_stream(spark, sf_dir).select(F.col("user_id").alias("conv_id"), "event_id", F.col("event_type").alias("status"))
-    table = streams.StateTable(spark, "conv_id long, event_id long, status string")
-    streams.run(e, each=streams.keep_latest(table, "conv_id", "event_id"))
+    table = BucketTable(spark, "conv_id long, event_id long, status string")
+    streams.run(e, each=streams.keep_latest(table, "event_id"))
     return table.read()
 
 
+@query(PASSES + "SELECT conv_id, pass_no, status, CASE WHEN status = 'completed' THEN n_kept ELSE 0 END AS n_kept, CASE WHEN status = 'completed' THEN round(condensed_tokens / tokens_seen, 6) END AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pass_no DESC) AS place FROM passes) WHERE place <= 50")
+def q7_stream_passes(spark, sf_dir):
+    """Passes as a stream: the newest fifty of each conversation, with H4's counts and H5's ratio."""
+    table = BucketTable(spark, "conv_id long, pass_no long, status string, n_kept long, tokens_seen long, condensed_tokens long")
+    path = f"{state_folder(spark)}/passes-{uuid.uuid4()}"
+    passes(spark, sf_dir).select("conv_id", "pass_no", "status", "n_kept", "tokens_seen", "condensed_tokens").repartition(4).write.parquet(path)
+    streams.run(streams.open_stream(spark, path), each=streams.keep_passes(table))
+    kept = health.transformation_ratio(health.gc_breakdown(table.read()))
+    return kept.select("conv_id", "pass_no", "status", "n_kept", "ratio")
+
+
 @query("SELECT event_id AS request_id, event_id % 2 AS attempt FROM events")
 def q8_dedupe_requests(spark, sf_dir):
     """Every event twice: one record is left of each."""
@@ -324,6 +368,6 @@ SELECT conv_id, message_turn, topic_label, content, CASE WHEN lead(content) OVER
 def q9_late_facts_stream(spark, sf_dir):
     """Events as facts without a speaker: the type is the value, three topics a user."""
     e = event_stream(spark, sf_dir).select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("message_turn"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("topic_label"), F.col("event_type").alias("content"), F.lit("fact").alias("knowledge_type"), F.lit(None).cast("string").alias("speaker"))
-    table = streams.StateTable(spark, "conv_id long, message_turn long, seq long, topic_label string, content string, knowledge_type string, speaker string, knowledge_status string")
+    table = BucketTable(spark, "conv_id long, message_turn long, seq long, topic_label string, content string, knowledge_type string, speaker string, knowledge_status string")
     streams.run(e, each=streams.file_late_facts(table))
     return table.read().select("conv_id", "message_turn", "topic_label", "content", "knowledge_status")
