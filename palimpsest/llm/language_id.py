@@ -39,13 +39,13 @@ SMOOTH = 0.5
 
 def training_rows(df: DataFrame, id_col: str, lang: str, text: str, per_lang: int = PER_LANG) -> DataFrame:
     """lang, text: at most per_lang rows of each language, by the hash of their id."""
-    known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = bounded(known.groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")))
-    place = F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    n = bounded(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    place = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # A margin over the wanted share leaves enough rows for the exact bound that follows.
-    some = known.withColumn("place", place).join(n, F.col(lang) == F.col("l")).filter(F.col("place") <= (1.5 * per_lang + 50) / F.col("n"))
-    best = Window.partitionBy("l").orderBy("place", id_col)
-    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_lang).select(F.col("l").alias("lang"), F.col(text).alias("text"))
+    some = known.withColumn("place", place).join(n, "lang").filter(F.col("place") <= (1.5 * per_lang + 50) / F.col("n"))
+    best = Window.partitionBy("lang").orderBy("place", "id")
+    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_lang).select("lang", "text")
 
 
 def _top(counts: DataFrame, key: str, most: int) -> list:

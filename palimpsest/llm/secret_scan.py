@@ -119,14 +119,14 @@ def secret_spans(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataF
     keyed = df.withColumn("__key", row_key(F.col(text))).withColumn("__scan", scan(F.col(text)))
     # Parts are few beside texts: written once, so that texts are scanned for them once.
     parts = cut(keyed.select(F.col("__key").alias("key"), F.explode("__scan.parts").alias("p")).select("key", "p.*").distinct())
-    linked = cut(link(parts, scope)).withColumnRenamed("key", "__key")
+    linked = cut(link(parts, scope)).select(F.col("key").alias("__key"), F.col("linked").alias("__linked"))
     if linked.count() <= FEW:
         linked = F.broadcast(linked)
     found = keyed.join(linked, "__key", "left")
     base = F.transform("__scan.base", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
-    more = F.transform(F.coalesce("linked", F.array()), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
+    more = F.transform(F.coalesce("__linked", F.array()), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
     spans = F.transform(F.array_sort(F.concat(base, more)), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
-    return found.withColumn("base_spans", F.col("__scan.base")).withColumn("spans", spans).drop("__key", "__scan", "linked")
+    return found.withColumn("base_spans", F.col("__scan.base")).withColumn("spans", spans).drop("__key", "__scan", "__linked")
 
 
 def written(spans: str) -> Column:

@@ -116,7 +116,7 @@ def url_filters(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", u
     good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     outcome = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
     outcomes = split.select(F.col(page_id).alias("doc_id"), site_of(F.col("host")).alias("host")).distinct().join(outcome, "doc_id", "left").select("host", "good")
-    known = reputation(outcomes).select(F.col("host").alias("__host"), "bound")
+    known = reputation(outcomes).select(F.col("host").alias("__host"), F.col("bound").alias("__bound"))
     judged = split.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(known, site_of(F.col("host")) == F.col("__host"), "left")
-    method = F.when(F.col("bound") < least_good, "block").otherwise("allow")
-    return judged.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.coalesce(F.col("__rule.verdict"), method)).drop("__host", "bound", "__rule")
+    method = F.when(F.col("__bound") < least_good, "block").otherwise("allow")
+    return judged.withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.coalesce(F.col("__rule.verdict"), method)).drop("__host", "__bound", "__rule")
