@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,40 +31,52 @@ def safe_cuts(turns: DataFrame) -> DataFrame:
     """conv_id, cut for each position at which no tool result after the cut answers a call before it."""
     calls = turns.select("conv_id", F.col("turn_index").alias("call"), F.explode("tool_use_ids").alias("id"))
     results = turns.select("conv_id", F.col("turn_index").alias("result"), F.explode("tool_result_ids").alias("id"))
-    # Of a call and its results only the widest gap matters: one row a call id.
+    # Of a call and its results only the widest gap matters: one row a call id. Positions from the one after the call to the
+    # last result's lie in the gap; a running sum over where gaps begin and end counts those that are open.
     gaps = calls.groupBy("conv_id", "id").agg(F.min("call").alias("call")).join(results.groupBy("conv_id", "id").agg(F.max("result").alias("result")), ["conv_id", "id"])
-    gaps = gaps.filter("call < result").select(F.col("conv_id").alias("c"), "call", "result")
-    cuts = turns.select("conv_id", F.col("turn_index").alias("cut"))
-    return cuts.join(gaps, (F.col("conv_id") == F.col("c")) & (F.col("call") < F.col("cut")) & (F.col("cut") <= F.col("result")), "left_anti")
+    ends = F.explode(F.array(F.struct((F.col("call") + 1).alias("cut"), F.lit(1).alias("d")), F.struct((F.col("result") + 1).alias("cut"), F.lit(-1).alias("d"))))
+    marks = gaps.filter("call < result").select("conv_id", ends.alias("e")).select("conv_id", F.col("e.cut").alias("cut"), F.col("e.d").alias("d"), F.lit(False).alias("is_turn"))
+    rows = turns.select("conv_id", F.col("turn_index").alias("cut"), F.lit(0).alias("d"), F.lit(True).alias("is_turn")).unionByName(marks)
+    so_far_ = conv().orderBy("cut").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("open", F.sum("d").over(so_far_)).filter("is_turn and open = 0").select("conv_id", "cut")
 
 
 def cut_points(turns: DataFrame, keep_last: int) -> DataFrame:
-    """conv_id, n_turns, cut: the latest safe start of a span that leaves at least keep_last turns; 0 if none."""
+    """conv_id, n_turns, cut: the latest safe start of a span that leaves at least keep_last turns; 0 if none.
+
+    The place after the last turn is a safe start too, for a keep_last of 0.
+    """
     starts = span_starts(turns).select("conv_id", F.col("turn_index").alias("cut"), "starts", F.count(F.lit(1)).over(conv()).alias("n_turns"))
     safe = safe_cuts(turns).withColumn("safe", F.lit(True))
     fitting = starts.join(safe, ["conv_id", "cut"], "left")
     ok = F.col("starts") & F.coalesce("safe", F.lit(False)) & (F.col("cut") <= F.col("n_turns") - keep_last)
-    return fitting.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), F.coalesce(F.max(F.when(ok, F.col("cut"))), F.lit(0)).alias("cut"))
+    cut = F.coalesce(F.max(F.when(ok, F.col("cut"))), F.lit(0)) if keep_last > 0 else F.first("n_turns")
+    return fitting.groupBy("conv_id").agg(F.first("n_turns").alias("n_turns"), cut.alias("cut"))
 
 
 def group_exchanges(turns: DataFrame, max_span_tokens: int = 8000) -> DataFrame:
     """Turns with span_no from 0: a span opens with an exchange, or before an assistant turn that would pass the cap once
-    the span has an assistant turn. The size starts again at each split, so an exchange is folded over its ordered turns."""
-    first = F.row_number().over(conv().orderBy("turn_index")) == 1
-    opened = turns.withColumn("__first", first)
-    opened = opened.withColumn("exchange_no", F.sum((F.col("opens") | F.col("__first")).cast("long")).over(so_far())).drop("__first")
-    ordered = F.array_sort(F.collect_list(F.struct("turn_index", "token_count", (F.col("role") == "assistant").alias("a"))))
-    start = F.expr("named_struct('size', 0L, 'sub', 0L, 'has', false, 'out', cast(array() as array<struct<turn_index:bigint,sub:bigint>>))")
-
-    def step(acc, t):
-        over = t.a & (acc["size"] + t.token_count > max_span_tokens) & acc.has
-        sub = acc.sub + over.cast("long")
-        return F.struct((F.when(over, 0).otherwise(acc["size"]) + t.token_count).alias("size"), sub.alias("sub"), (t.a | (acc.has & ~over)).alias("has"), F.concat(acc.out, F.array(F.struct(t.turn_index.alias("turn_index"), sub.alias("sub")))).alias("out"))
-
-    subs = opened.groupBy("conv_id", "exchange_no").agg(F.aggregate(ordered, start, step, lambda acc: acc.out).alias("out"))
-    subs = subs.select("conv_id", F.explode("out").alias("o")).select("conv_id", "o.*")
-    both = opened.join(subs, ["conv_id", "turn_index"])
-    return both.withColumn("span_no", (F.dense_rank().over(conv().orderBy("exchange_no", "sub")) - 1).cast("long")).drop("sub", "exchange_no")
+    the span has an assistant turn. The size starts again at each split, so a conversation's turns pass through one task in
+    order, each read once and none kept: the time is in proportion to its length. Texts stay out of it."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = None  # no conversation yet; a null one is one of its own
+        span, size, has = -1, 0, False
+        for batch in batches:
+            out = []
+            for conv_id, opens, tokens, reply in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "opens", "token_count", "reply")), strict=True):
+                if of != (conv_id,):
+                    of, span, size, has = (conv_id,), -1, 0, False
+                if span < 0 or opens or reply and has and size + tokens > max_span_tokens:
+                    span, size, has = span + 1, 0, False
+                size, has = size + tokens, has or reply
+                out.append(span)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn_index"), pa.array(out, pa.int64())], ["conv_id", "turn_index", "span_no"])
+
+    rows = turns.select("conv_id", "turn_index", F.coalesce("opens", F.lit(False)).alias("opens"), F.coalesce("token_count", F.lit(0)).alias("token_count"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("reply"))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn_index")]
+    spans = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_index").mapInArrow(group, ", ".join([*kinds, "span_no long"]))
+    return turns.join(spans, ["conv_id", "turn_index"])
 
 
 def spans_of(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,18 +83,27 @@ def validate_model_facts(answers: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def fact_batches(spans: DataFrame, max_tokens: int = 8000) -> DataFrame:
-    """spans (conv_id, span_no, tokens) with batch_no: packed in order, never past max_tokens, a span never divided."""
-    ordered = F.array_sort(F.collect_list(F.struct("span_no", "tokens")))
-    start = F.expr("named_struct('size', 0L, 'no', 0L, 'out', cast(array() as array<struct<span_no:bigint,tokens:bigint,batch_no:bigint>>))")
-
-    def step(acc, s):
-        full = (acc["size"] > 0) & (acc["size"] + s.tokens > max_tokens)
-        no = acc.no + full.cast("long")
-        row = F.struct(s.span_no.alias("span_no"), s.tokens.alias("tokens"), no.alias("batch_no"))
-        return F.struct((F.when(full, 0).otherwise(acc["size"]) + s.tokens).alias("size"), no.alias("no"), F.concat(acc.out, F.array(row)).alias("out"))
-
-    packed = spans.groupBy("conv_id").agg(F.aggregate(ordered, start, step, lambda a: a.out).alias("out"))
-    return packed.select("conv_id", F.inline("out"))
+    """spans (conv_id, span_no, tokens) with batch_no: packed in order, never past max_tokens, a span never divided.
+
+    A conversation's spans pass through one task in order, none kept, so the time is in proportion to their number.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, no, size = None, 0, 0
+        for batch in batches:
+            out = []
+            for conv_id, tokens in zip(batch.column("conv_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if of != (conv_id,):
+                    of, no, size = (conv_id,), 0, 0
+                if size > 0 and size + tokens > max_tokens:
+                    no, size = no + 1, 0
+                size += tokens
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "batch_no"])
+
+    rows = spans.select("conv_id", F.col("span_no").cast("long").alias("span_no"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    shape = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, span_no long, tokens long, batch_no long"
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "span_no").mapInArrow(pack, shape)
 
 
 ORDER = ("message_turn", "seq")

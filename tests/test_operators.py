@@ -221,3 +221,45 @@ def test_empty_tables(spark):
     turns = spark.createDataFrame([], "conv_id long, span_no long, turn_index long, content string, token_count long")
     assert exchanges.spans_of(turns).count() == 0
     assert summaries.concat_summary(turns).count() == 0
+
+
+def test_safe_cuts_equal_loop(spark):
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for conv in range(60):
+        n = rnd.randint(1, 12)
+        calls = [[f"c{rnd.randint(0, 5)}" for _ in range(rnd.choice([0, 0, 1, 2]))] for _ in range(n)]
+        results = [[f"c{rnd.randint(0, 5)}" for _ in range(rnd.choice([0, 0, 1, 2]))] for _ in range(n)]
+        rows += [(conv, i, calls[i], results[i]) for i in range(n)]
+        for cut in range(n):
+            if not any(set(calls[a]) & set(results[b]) for a in range(cut) for b in range(cut, n)):
+                want.add((conv, cut))
+    df = spark.createDataFrame(rows, "conv_id long, turn_index long, tool_use_ids array<string>, tool_result_ids array<string>")
+    assert {(r.conv_id, r.cut) for r in exchanges.safe_cuts(df).collect()} == want
+
+
+def test_nothing_kept_cuts_after_the_last_turn(spark):
+    df = spark.createDataFrame([(1, i, i % 2 == 0, "user" if i % 2 == 0 else "assistant", [], []) for i in range(4)], "conv_id long, turn_index long, opens boolean, role string, tool_use_ids array<string>, tool_result_ids array<string>")
+    assert [exchanges.cut_points(df, k).first().cut for k in (0, 1, 2, 4, 5)] == [4, 2, 2, 0, 0]
+
+
+def test_long_conversations_are_packed_in_linear_time(spark):
+    """One exchange of 100,000 turns, and as many spans, against a plain loop."""
+    import time
+
+    n = 100_000
+    df = spark.range(n).selectExpr("1L as conv_id", "id as turn_index", "id % 97 as token_count", "id = 0 as opens", "if(id % 2 = 1, 'assistant', 'user') as role")
+    start = time.perf_counter()
+    got = [r.span_no for r in exchanges.group_exchanges(df, 500).select("turn_index", "span_no").orderBy("turn_index").collect()]
+    packed = [r.batch_no for r in facts.fact_batches(df.selectExpr("conv_id", "turn_index as span_no", "token_count as tokens"), 500).orderBy("span_no").collect()]
+    assert time.perf_counter() - start < 60
+    span, size, has, batch, held = -1, 0, False, 0, 0
+    for i in range(n):
+        t = i % 97
+        if i == 0 or i % 2 == 1 and has and size + t > 500:
+            span, size, has = span + 1, 0, False
+        size, has = size + t, has or i % 2 == 1
+        if held > 0 and held + t > 500:
+            batch, held = batch + 1, 0
+        held += t
+        assert (got[i], packed[i]) == (span, batch)
