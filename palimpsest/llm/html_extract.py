@@ -3,13 +3,15 @@
 Each page's containers (article, main, section, div, td, body) are scored by the text of the blocks in them, less what stands
 in links. A container's path is its tags with classes and ids, digits generalised. In Spark the pages of a host vote: every
 page gives the scores of all its containers to their paths, summed by (host, path), and the host's best path wins. Every page
-is then read again and the text of the containers at its host's winning path is taken; a page that has none gives its own
-best container. Menus, headers, footers, forms, scripts and styles, as their tags name them, never count as text.
+is then read again and the text of the containers at its host's winning path is taken: the whole article (or main element) in
+which such a container stands, else its blocks and those directly in the containers around it (headline, lead, close); a page
+that has none gives its own best container. Menus, headers, footers, forms, scripts and styles, as their tags name them, never count as text.
 
 Classes and ids that sound like sidebars, notices, adverts or comments only make an element suspect, for wrappers of whole
 articles have such names too (`with-sidebar`). A suspect goes if what stands outside all suspects is at least a fifth of its
 text, or if it is mostly links and anything stands outside; else it is cleared, the largest first, mere parts of names before
-whole names, and counts as outside for the rest.
+whole names, and counts as outside for the rest. What is named as readers' comments goes however long it is, if anything
+stands outside; it is cleared last.
 
 Null or empty html gives empty text, 0 characters. A page of any length is read whole, in time that grows with its length. A
 null url is a host of its own. Of host paths with equal scores the shorter wins, then the later by name; of a page's own
@@ -38,6 +40,8 @@ DROPPED = frozenset("head nav header footer aside form button select option text
 RAW = ("script", "style", "textarea", "noscript", "template", "xmp")
 #: Words in a class or id that make an element suspect; a header only as a whole name, for articles have headers too.
 BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:(?<!\S)(?:header|masthead)(?!\S)|ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notices|newsletter|subscribe|sidebar|side|nav\w*|menu|breadcrumb\w*|footer|comment|comments|disqus|reply|replies|respond|related|share|social|popup|modal|login|signup|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
+#: Whole names that hold what readers write: such an element goes however long it is, if anything stands outside.
+READERS = frozenset("comment comments disqus replies respond".split())
 #: What a start tag closes when it is open in the same container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")} | {b: ("p",) for b in BLOCKS if b not in ("li", "dt", "dd", "tr", "td", "th")}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/A-Za-z][^>]*\Z", re.S | re.I)
@@ -55,7 +59,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(paths of the containers around it, text, characters of it in links) of each block with text, in page order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     within: list[tuple[int, ...]] = []  # of each block, the suspects around it
-    suspects: list[bool] = []  # whether the whole name is a word for it
+    suspects: list[int] = []  # 0 if part of a name is a word for it, 1 if the whole name is, 2 if readers write there
     stack: list[tuple[str, str, bool, int]] = []  # name, container path or "", whether it is dropped, number of the suspect or -1
     steps: dict[tuple[str, str], str] = {}
     text: list[str] = []
@@ -122,7 +126,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if named and not off and not dropped and (word := BOILERPLATE.search(named)):
             flush()
             suspect = len(suspects)
-            suspects.append(word[0].strip().lower() in named.lower().split())
+            names = named.lower().split()
+            suspects.append(2 if READERS.intersection(names) else int(word[0].strip().lower() in names))
         path = ""
         if name in CONTAINERS:
             above = next((p for _, p, _, _ in reversed(stack) if p), "")
@@ -139,7 +144,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return [b for b, gone in zip(out, judged(out, within, suspects), strict=True) if not gone] if suspects else out
 
 
-def judged(blocks: list, within: list[tuple[int, ...]], suspects: list[bool]) -> list[bool]:
+def judged(blocks: list, within: list[tuple[int, ...]], suspects: list[int]) -> list[bool]:
     """Of each block, whether a suspect around it goes."""
     size, linked = [0] * len(suspects), [0] * len(suspects)
     outside = 0
@@ -155,7 +160,7 @@ def judged(blocks: list, within: list[tuple[int, ...]], suspects: list[bool]) ->
             outside += plain
     gone: set[int] = set()
     for k in sorted(range(len(suspects)), key=lambda k: (suspects[k], -size[k], k)):
-        if outside >= OUTSIDE * size[k] or 2 * linked[k] > size[k] and outside > 0:
+        if outside >= OUTSIDE * size[k] or (2 * linked[k] > size[k] or suspects[k] == 2) and outside > 0:
             gone.add(k)
             continue
         # Cleared: what no other suspect holds stands outside now, what others hold waits for them.
@@ -205,14 +210,31 @@ def votes(html: Column) -> Column:
     return vote.asNondeterministic()(html)
 
 
+def around(path: str) -> tuple[str | None, frozenset[str]]:
+    """Of a container: the innermost article (else main) that it is or stands in, and the div and section containers around it."""
+    steps = path.split(">")
+    above = [">".join(steps[: k + 1]) for k in range(len(steps))]
+    tag = lambda p: p.rpartition(">")[2].partition(".")[0]
+    for name in ("article", "main"):
+        if own := [p for p in above if tag(p) == name]:
+            return own[-1], frozenset()
+    return None, frozenset(p for p in above[:-1] if tag(p) in ("div", "section"))
+
+
 def main_text(page: str | None, path: str | None) -> str:
-    """The blocks inside the containers at the path; without such blocks, those inside the page's best container."""
+    """The text of the containers at the path; without such text, that of the page's best container.
+
+    The container's article is the text, if it stands in one; else its own blocks, and those that stand directly in the containers
+    around it, as a headline, a lead and a close stand around a body.
+    """
     blocks = blocks_of(page) if page else []
-    own = [text for paths, text, _ in blocks if path in paths]
-    if not own and blocks:
+    if not any(path in paths for paths, _, _ in blocks):
         best = _best(scores(blocks), 1)
-        own = [text for paths, text, _ in blocks if not best or best[0][0] in paths]
-    return " ".join(own)
+        path = best[0][0] if best else None
+    if path is None:
+        return " ".join(text for _, text, _ in blocks)
+    article, beside = around(path)
+    return " ".join(text for paths, text, _ in blocks if (article or path) in paths or paths and paths[-1] in beside)
 
 
 def extract(html: Column, path: Column) -> Column:

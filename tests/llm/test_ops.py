@@ -364,6 +364,37 @@ def test_wrappers_keep_their_articles():
     assert html_extract.main_text("<p>a\u2003b\u3000\u2028c\x85d", None) == "a b c d"
 
 
+def layouts():
+    """(name, page, article's text) of articles in many layouts; the text is put together here, without a reader of markup."""
+    head, lead, close = "A headline here", "The lead says " + "what " * 20 + "comes.", "And so " + "it " * 15 + "ends."
+    body = ["Paragraph " + f"word{k} " * 60 + "stop." for k in range(5)]
+    p = lambda t: f"<p>{t}</p>"
+    main = "".join(map(p, body))
+    whole = " ".join([head, lead, *body, close])
+    frame = lambda x: f"<html><body><nav><a href=/>home</a></nav><div class=page>{x}</div><footer>imprint</footer></body></html>"
+    yield "story", frame(f"<div class=story><h1>{head}</h1>{p(lead)}<div class=body>{main}</div>{p(close)}</div>"), whole
+    yield "section", frame(f"<section><h1>{head}</h1>{p(lead)}<div class=text><div class=inner>{main}</div></div>{p(close)}</section>"), whole
+    for tag in ("article", "main"):
+        for n in range(1, 11):
+            yield f"{tag} {n}", frame(f"<{tag}><h1>{head}</h1>{p(lead)}{'<div>' * n}{main}{'</div>' * n}{p(close)}</{tag}>"), whole
+    short = "Short news. " + "fact " * 50 + "done."
+    for n in (1, 5, 30, 60, 500):
+        talk = "<div class=comments>" + "".join(f"<div class=comment><p>I think that number {k} is {'very ' * 8} wrong.</p></div>" for k in range(n)) + "</div>"
+        yield f"beside {n}", frame(f"<article><h1>{head}</h1>{p(short)}</article>{talk}"), f"{head} {short}"
+        yield f"inside {n}", frame(f"<article><h1>{head}</h1>{p(short)}{talk}</article>"), f"{head} {short}"
+        yield f"by id {n}", frame(f"<div class=post><h1>{head}</h1>{p(short)}</div>{talk.replace('class=comments', 'id=comments')}"), f"{head} {short}"
+
+
+def test_articles_are_whole_in_every_layout(spark):
+    rows = []
+    for k, (name, page, text) in enumerate(layouts()):
+        assert html_extract.main_text(page, None) == text, name
+        rows += [(100 * k + i, f"http://h{k}.example/{i}", page.replace("A headline", f"Headline {i} and")) for i in range(3)]
+    want = {100 * k + i: text.replace("A headline", f"Headline {i} and") for k, (_, _, text) in enumerate(layouts()) for i in range(3)}
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_every_container_votes(spark):
     """A host's path is the one with the greatest sum over all containers of all pages, counted plainly."""
     rnd = random.Random(5)
