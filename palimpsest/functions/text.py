@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,9 +60,20 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+@cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters in lower case that stand for another letter, or for several, where case doesn't count: a rule, not a list."""
+    folds = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.lower() == c != c.casefold()}
+    return {c: x for c, x in folds.items() if len(x) == 1}, {c: x for c, x in folds.items() if len(x) > 1 and c != "ß"}
+
+
 def folded(text: Column) -> Column:
-    """Lower case, with the letters that differ from others of the same sound only by case or place written as these."""
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ſς", "sσ")
+    """Text in which case doesn't count: lower case, then letters such as ß, ﬁ or ς as the letters that they stand for."""
+    one, several = _folds()
+    low = F.replace(F.translate(F.lower(text), "".join(one), "".join(one.values())), F.lit("ß"), F.lit("ss"))
+    # Ligatures are rare: only texts with one are gone through for each.
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in several.items()))
+    return F.when(low.rlike("[" + "".join(several) + "]"), F.aggregate(pairs, low, lambda s, p: F.replace(s, p.c, p.x))).otherwise(low)
 
 
 def normalise_value(text: Column) -> Column:

@@ -133,30 +133,64 @@ def file_facts(facts: DataFrame) -> DataFrame:
     return topical.unionByName(general)
 
 
-def fold_facts(facts: DataFrame, record: DataFrame | None = None) -> DataFrame:
-    """F5 and F8 by a fold, for facts without a speaker and for facts that arrive late.
-
-    record: facts filed already, which stay filed. A late fact takes its place by turn: it is measured against the value in
-    force at its turn. One fold a topic over its ordered facts.
-    """
+def _with_record(facts: DataFrame, record: DataFrame | None) -> DataFrame:
+    """Late facts and facts on record, with filed, norm and g: the topic, or the value of a general fact."""
     both = facts.withColumn("filed", F.lit(False))
     if record is not None:
         both = both.unionByName(record.select(*facts.columns).withColumn("filed", F.lit(True)))
     both = both.withColumn("norm", normalise_value(F.col("content")))
-    group = F.when(F.col("topic_label") == GENERAL, F.concat(F.lit("\0"), "norm")).otherwise(F.col("topic_label"))
-    row = F.struct("message_turn", "seq", F.col("filed").alias("filed"), "topic_label", "content", "knowledge_type", "speaker", "norm")
-    ordered = F.array_sort(F.collect_list(row))
-    kind = "array<struct<message_turn:bigint,seq:bigint,filed:boolean,topic_label:string,content:string,knowledge_type:string,speaker:string,norm:string>>"
-
-    def step(acc, f):
-        last = F.try_element_at(acc, F.lit(-1))
-        skip = (F.size(acc) > 0) & ~f.filed & ((last.norm == f.norm) | (F.coalesce(f.speaker == "assistant", F.lit(False)) & F.coalesce(last.speaker == "user", F.lit(False))))
-        return F.when(F.coalesce(skip, F.lit(False)), acc).otherwise(F.concat(acc, F.array(f)))
-
-    kept = both.groupBy("conv_id", group.alias("g")).agg(F.aggregate(ordered, F.array().cast(kind), step).alias("kept"))
-    rows = kept.select("conv_id", F.posexplode("kept").alias("i", "f"), F.size("kept").alias("n"))
-    status = F.when((F.col("i") < F.col("n") - 1) & (F.col("f.topic_label") != GENERAL), "superseded").otherwise("active")
-    return rows.select("conv_id", "f.message_turn", "f.seq", "f.topic_label", "f.content", "f.knowledge_type", "f.speaker", "f.norm", status.alias("knowledge_status"))
+    return both.withColumn("g", F.when(F.col("topic_label") == GENERAL, F.concat(F.lit("\0"), "norm")).otherwise(F.col("topic_label")))
+
+
+def _with_status(kept: DataFrame) -> DataFrame:
+    later = F.lead(F.lit(True)).over(Window.partitionBy("conv_id", "g").orderBy(*IN_RECORD)).isNotNull()
+    status = F.when(later & (F.col("topic_label") != GENERAL), "superseded").otherwise("active")
+    return kept.select("conv_id", "message_turn", "seq", "topic_label", "content", "knowledge_type", "speaker", "norm", status.alias("knowledge_status"))
+
+
+#: Of facts at one place, the late one comes first.
+IN_RECORD = (*ORDER, "filed", "topic_label", "content", "knowledge_type", "speaker")
+
+
+def fold_facts(facts: DataFrame, record: DataFrame | None = None) -> DataFrame:
+    """F5 and F8 one fact after the other, for facts without a speaker and for facts that arrive late.
+
+    record: facts filed already, which stay filed. A late fact takes its place by turn: it is measured against the value in
+    force at its turn. A topic's facts pass through one task in order and none is kept, so the time is in proportion to their number.
+    """
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, norm, speaker = None, None, None
+        for batch in batches:
+            keep = []
+            for *group, filed, value, by in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "g", "filed", "norm", "speaker")), strict=True):
+                first = of != group
+                skip = not first and not filed and (value == norm is not None or (by == "assistant" and speaker == "user"))
+                if not skip:
+                    of, norm, speaker = group, value, by
+                keep.append(not skip)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    both = _with_record(facts, record)
+    kept = both.repartition("conv_id", "g").sortWithinPartitions("conv_id", "g", *IN_RECORD).mapInArrow(file, both.schema)
+    return _with_status(kept)
+
+
+def late_facts(facts: DataFrame, record: DataFrame) -> DataFrame:
+    """F8 by windows: the record with the late facts that are filed, each measured against the value in force at its turn.
+
+    A fact on record stays and sets the value in force for those up to the next one on record; within such a stretch late
+    facts go as in file_facts. Speakers must be known (else fold_facts). One shuffle by topic.
+    """
+    topic = Window.partitionBy("conv_id", "g").orderBy(*IN_RECORD)
+    rows = _with_record(facts, record).withColumn("__part", F.count_if("filed").over(topic.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = Window.partitionBy("conv_id", "g", "__part").orderBy(*IN_RECORD)
+    before = F.lag("norm").over(stretch)
+    rows = rows.withColumn("__changed", (F.col("speaker") == "user") & (F.col("filed") | ~F.coalesce(before == F.col("norm"), F.lit(False))))
+    by_user = F.coalesce(F.max("__changed").over(stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumn("__user", by_user).filter(~(F.col("__user") & (F.col("speaker") == "assistant")))
+    rows = rows.withColumn("__same", F.coalesce(before == F.col("norm"), F.lit(False))).filter(F.col("filed") | ~F.col("__same"))
+    return _with_status(rows)
 
 
 def supersession_chain(filed: DataFrame) -> DataFrame:

@@ -50,12 +50,29 @@ def f7_unread_spans(spark, sf_dir):
     return facts.unread_spans(s, failed, answered)
 
 
-@query()
+_fact = "conv_id, message_turn, seq, topic_label, content, knowledge_type, speaker"
+#: The record is filed by itself; then it and the late facts in one order, a fact a step, the state being the value in force and who gave it.
+LATE = with_("facts").rstrip() + f""",
+facts_r AS (SELECT * FROM facts WHERE message_turn % 2 = 1),
+ordered_r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, topic_label ORDER BY message_turn, seq) AS k FROM facts_r WHERE topic_label <> 'general'),
+folded_r AS (SELECT *, true AS kept, content AS v, speaker AS s FROM ordered_r WHERE k = 1
+  UNION ALL SELECT * EXCLUDE (v, s, ok), ok, CASE WHEN ok THEN content ELSE v END, CASE WHEN ok THEN speaker ELSE s END FROM (
+    SELECT o.*, f.v, f.s, NOT (o.content = f.v OR (o.speaker = 'assistant' AND f.s = 'user')) AS ok FROM folded_r f JOIN ordered_r o ON o.conv_id = f.conv_id AND o.topic_label = f.topic_label AND o.k = f.k + 1)),
+record AS (SELECT {_fact} FROM folded_r WHERE kept UNION ALL SELECT {_fact} FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, content ORDER BY message_turn, seq) AS n FROM facts_r WHERE topic_label = 'general') WHERE n = 1),
+together AS (SELECT *, CASE WHEN topic_label = 'general' THEN 'general ' || content ELSE topic_label END AS g FROM (SELECT {_fact}, true AS old FROM record UNION ALL SELECT {_fact}, false FROM facts WHERE message_turn % 2 = 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, g ORDER BY message_turn, seq, old) AS k FROM together),
+merged AS (SELECT *, true AS kept, content AS v, speaker AS s FROM placed WHERE k = 1
+  UNION ALL SELECT * EXCLUDE (v, s, ok), ok, CASE WHEN ok THEN content ELSE v END, CASE WHEN ok THEN speaker ELSE s END FROM (
+    SELECT o.*, f.v, f.s, o.old OR NOT (o.content = f.v OR (o.speaker = 'assistant' AND f.s = 'user')) AS ok FROM merged f JOIN placed o ON o.conv_id = f.conv_id AND o.g = f.g AND o.k = f.k + 1))
+SELECT {_fact}, content AS norm, CASE WHEN topic_label <> 'general' AND lead(k) OVER (PARTITION BY conv_id, g ORDER BY k) IS NOT NULL THEN 'superseded' ELSE 'active' END AS knowledge_status FROM merged WHERE kept"""
+
+
+@query(LATE)
 def f8_late_facts(spark, sf_dir):
     """Facts of odd turns are on record; those of even turns arrive late and take their places."""
     f = B.facts(spark, sf_dir)
     record = facts.file_facts(f.filter("message_turn % 2 = 1"))
-    return facts.fold_facts(f.filter("message_turn % 2 = 0"), record)
+    return facts.late_facts(f.filter("message_turn % 2 = 0"), record)
 
 
 @query(with_("filed") + "SELECT conv_id, message_turn, seq, topic_label, content, knowledge_type, speaker, norm FROM filed WHERE knowledge_status = 'active'")

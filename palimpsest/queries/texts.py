@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions import writers
 from palimpsest.operators import facts, scoring, summaries
+from palimpsest.operators.phrases import find_mentions
 from palimpsest.queries.base import Registry, _list, _line, read, turns, with_
 
 query = Registry()
@@ -59,15 +60,23 @@ def x7_strip_statement(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(T.split_sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.sum(F.length(T.strip_statement(F.col("s")))).alias("chars"))
 
 
-@query()
+#: A phrase's edges as classes of letters, since this dialect's word edges know ASCII only.
+NAMED = r"""WITH d AS (SELECT doc_id, {doc} AS text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT item_id, 0 AS phrase_no, array_to_string(string_split(text, ' ')[1:2], ' ') AS phrase FROM benchmark
+  UNION ALL SELECT item_id, unnest(range(1, len(s) + 1)), unnest(s) FROM (SELECT item_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS s FROM benchmark)),
+q AS (SELECT item_id, phrase_no, {phrase} AS phrase FROM p),
+met AS MATERIALIZED (SELECT doc_id, item_id, phrase_no, text, phrase FROM d JOIN q ON contains(text, phrase) WHERE phrase <> '')
+SELECT doc_id, item_id, phrase_no FROM met WHERE regexp_matches(text, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || regexp_replace(phrase, '([^\p{{L}}\p{{N}}\s_])', '\\\1', 'g') || '($|[^\p{{L}}\p{{M}}\p{{N}}_])')""".format(doc=f"lower({_line.format('text')})", phrase=f"lower({_line.format('phrase')})")
+
+
+@query(NAMED)
 def x8_mentions(spark, sf_dir):
-    """Benchmark items whose two opening words each document names as a phrase: they meet by the phrase's first word."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    phrases = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("phrase"))
-    phrases = phrases.withColumn("word", F.try_element_at(words("phrase"), F.lit(1))).filter("word is not null")
-    docs = _docs(spark, sf_dir)
-    met = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word")).join(phrases, "word")
-    return met.join(docs, "doc_id").filter(T.mentions(F.col("text"), F.col("phrase"))).select("doc_id", "item_id").distinct()
+    """Benchmark items whose two opening words (phrase_no 0) or whole sentences each document names."""
+    items = read(spark, sf_dir, "benchmark")
+    opening = items.select("item_id", F.lit(0).alias("phrase_no"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("phrase"))
+    whole = items.select("item_id", F.posexplode(T.split_sentences(F.col("text"))).alias("n", "phrase")).select("item_id", F.col("n") + 1, "phrase")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_mentions(docs, opening.union(whole)).select("doc_id", "item_id", "phrase_no")
 
 
 @query()
