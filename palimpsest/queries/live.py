@@ -172,7 +172,13 @@ def probes(spark, sf_dir):
     return t.select("conv_id", F.col("turn_index").alias("probe_id"), F.concat(F.lit("What came after "), F.element_at("w", 2), F.lit("?")).alias("question"), F.array(F.element_at("w", 3)).alias("accept"), F.array(F.element_at("w", 1)).alias("reject"), F.col("turn_index").alias("established_at"))
 
 
-@query()
+#: Whole words of plain letters, their edges as classes of letters, since this dialect's word edges know ASCII only.
+_names = lambda text, word: rf"regexp_matches({text}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || {word} || '($|[^\p{{L}}\p{{M}}\p{{N}}_])', 'i')"
+PROBES = "probes AS (SELECT conv_id, turn_index AS probe_id, 'What came after ' || w[2] || '?' AS question, w[3] AS accept, w[1] AS reject FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM turns WHERE role = 'user') WHERE len(w) >= 3)"
+PRESENCE = f"presence AS (SELECT conv_id, probe_id, CASE WHEN bool_or(hit AND turn_index >= 0) THEN 'verbatim' WHEN bool_or(hit) THEN 'condensed' ELSE 'absent' END AS presence FROM (SELECT p.conv_id, probe_id, turn_index, coalesce({_names('content', 'accept')}, false) AS hit FROM probes p LEFT JOIN context c ON c.conv_id = p.conv_id) GROUP BY ALL)"
+
+
+@query(with_("turns").rstrip() + f", {PROBES}, v AS (SELECT p.conv_id, probe_id, CASE WHEN NOT {_names('content', 'accept')} THEN 'not_stated' WHEN {_names('question', 'accept')} THEN 'given_away' END AS violation FROM probes p JOIN turns t ON t.conv_id = p.conv_id AND turn_index = probe_id)\nSELECT * FROM v WHERE violation IS NOT NULL")
 def e1_validate_probes(spark, sf_dir):
     return E.validate_probes(probes(spark, sf_dir), turns(spark, sf_dir))
 
@@ -182,7 +188,6 @@ def e1_alternation(spark, sf_dir):
     return E.alternation_violations(turns(spark, sf_dir))
 
 
-PROBES = "probes AS (SELECT conv_id, turn_index AS probe_id, 'What came after ' || w[2] || '?' AS question, w[3] AS accept, w[1] AS reject FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM turns WHERE role = 'user') WHERE len(w) >= 3)"
 #: Answers that only name words of plain letters, so that whole words are the same to every regular expression.
 GRADED = PROBES + ", graded AS (SELECT *, CASE (conv_id + probe_id) % 5 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' WHEN 2 THEN accept WHEN 3 THEN accept || ' (was ' || reject || ')' ELSE 'none of it' END AS answer, CASE (conv_id + probe_id) % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'unknown' WHEN 2 THEN CASE WHEN accept = reject THEN 'unclear' ELSE 'right' END WHEN 3 THEN CASE WHEN accept = reject THEN 'unclear' ELSE 'right' END ELSE CASE WHEN accept NOT IN ('none', 'of', 'it') THEN 'wrong' WHEN reject IN ('none', 'of', 'it') THEN 'unclear' ELSE 'right' END END AS verdict FROM probes)"
 
@@ -213,12 +218,15 @@ def presence(spark, sf_dir):
     return E.answer_presence(probes(spark, sf_dir), planning.context(spark, sf_dir))
 
 
-@query()
+_present = with_("plan").rstrip() + f", {planning.RECAP}, {planning.CONTEXT}, {GRADED}, {PRESENCE}\n"
+
+
+@query(_present + "SELECT conv_id, probe_id, presence FROM presence")
 def e4_answer_presence(spark, sf_dir):
     return presence(spark, sf_dir)
 
 
-@query()
+@query(_present + "SELECT count(*) AS probes, count_if(verdict = 'right')::BIGINT AS right_with, count(*) AS right_without, count_if(verdict <> 'right')::BIGINT AS lost, count_if(presence = 'absent')::BIGINT AS absent, count_if(presence <> 'absent' AND verdict <> 'right')::BIGINT AS present_but_missed FROM graded JOIN presence USING (conv_id, probe_id)")
 def e5_survival_totals(spark, sf_dir):
     g = graded(spark, sf_dir).select("conv_id", "probe_id", F.col("verdict").alias("verdict_with"), F.lit("right").alias("verdict_without"))
     return E.survival_totals(g.join(presence(spark, sf_dir), ["conv_id", "probe_id"]))
@@ -230,7 +238,7 @@ def e6_prompt_reduction(spark, sf_dir):
     return E.prompt_reduction(arm(turns(spark, sf_dir), "without").unionByName(arm(planning.context(spark, sf_dir), "with")))
 
 
-@query()
+@query(_present + "SELECT conv_id, probe_id, presence, CASE presence WHEN 'absent' THEN 'unknown' ELSE 'right' END AS verdict FROM presence")
 def e7_survival_by_presence(spark, sf_dir):
     return E.survival_by_presence(presence(spark, sf_dir))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -131,12 +133,17 @@ def w3_is_relayed(spark, sf_dir):
     return tagged(spark, sf_dir).select("conv_id", "turn_index", "relayed")
 
 
-@query()
+#: Of a command the words after it are the client's, of a command's output all but the words after it.
+PARTS = TAGGED.rstrip() + r""", parts AS (SELECT conv_id, turn_index, CASE WHEN role = 'user' THEN kind ELSE 3 END AS kind, content, regexp_replace(content, '^\s+|\s+$', '', 'g') AS said, '<command-name>/go</command-name>' AS command, '<local-command-stdout>x</local-command-stdout>' AS output FROM tagged)
+"""
+
+
+@query(PARTS + "SELECT conv_id, turn_index, CASE WHEN kind < 2 AND said <> '' THEN 2 ELSE 1 END AS n_parts, CASE WHEN kind > 1 THEN 'speaker' WHEN kind = 0 THEN 'speaker' || CASE WHEN said <> '' THEN ',client' ELSE '' END ELSE 'client' || CASE WHEN said <> '' THEN ',speaker' ELSE '' END END AS writers, md5(CASE kind WHEN 0 THEN command WHEN 1 THEN output WHEN 2 THEN '<agent-message>' || content || '</agent-message>' ELSE content END || CASE WHEN kind < 2 AND said <> '' THEN '|' || said ELSE '' END) AS texts_md5 FROM parts")
 def w4_parts_by_writer(spark, sf_dir):
     return tagged(spark, sf_dir).select("conv_id", "turn_index", F.size("parts").alias("n_parts"), F.array_join(F.transform("parts", lambda p: p.writer), ",").alias("writers"), F.md5(F.array_join(F.transform("parts", lambda p: p.text), "|")).alias("texts_md5"))
 
 
-@query()
+@query(PARTS + "SELECT conv_id, turn_index, md5(CASE kind WHEN 0 THEN command WHEN 1 THEN said WHEN 2 THEN '<agent-message>' || content || '</agent-message>' ELSE content END) AS person_md5 FROM parts")
 def w5_person_text(spark, sf_dir):
     return tagged(spark, sf_dir).select("conv_id", "turn_index", F.md5("person_text").alias("person_md5"))
 
@@ -169,17 +176,25 @@ def w10_message_range_check(spark, sf_dir):
     return writers.range_violations(t).select("conv_id", "turn_index")
 
 
-@query()
+_quoted = lambda pattern: re.sub(r"^\(\?\w+\)", "", pattern).replace("'", "''")
+#: Letters beyond ASCII become a sign that is part of a word, since this dialect's word edges know ASCII only.
+SIGNS = with_("turns").rstrip() + rf""", plain AS (SELECT *, regexp_replace(content, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g') AS t FROM turns),
+signs AS (SELECT conv_id, turn_index, token_count, least(len(regexp_extract_all(t, '{_quoted(T.DECISIONS)}', 0, 'i')) / 3.0::DOUBLE, 1.0::DOUBLE) AS decision, len(regexp_extract_all(t, '{_quoted(T.DENSE)}')) AS signals FROM plain),
+scores AS (SELECT *, CASE WHEN token_count > 0 THEN least(signals::DOUBLE / token_count / 0.5::DOUBLE, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS density FROM signs)
+"""
+
+
+@query(SIGNS + "SELECT conv_id, turn_index, round(decision, 6) AS decision FROM scores")
 def s1_decision_score(spark, sf_dir):
     return scoring.turn_scores(turns(spark, sf_dir)).select("conv_id", "turn_index", F.round("decision", 6).alias("decision"))
 
 
-@query()
+@query(SIGNS + "SELECT conv_id, turn_index, round(density, 6) AS density FROM scores")
 def s2_density_score(spark, sf_dir):
     return scoring.turn_scores(turns(spark, sf_dir)).select("conv_id", "turn_index", F.round("density", 6).alias("density"))
 
 
-@query()
+@query(SIGNS + "SELECT conv_id, turn_index, decision, density, signals::INTEGER AS signals, signals || ' signals in ' || token_count || ' tokens, density ' || density::DECIMAL(18, 12)::DECIMAL(18, 4) AS reason FROM scores")
 def s8_turn_scores(spark, sf_dir):
     return scoring.turn_scores(turns(spark, sf_dir)).select("conv_id", "turn_index", "decision", "density", "signals", "reason")
 
