@@ -42,8 +42,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", source_mixing.n_words("text").alias("size")))
-    return source_mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken")
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", source_mixing.n_words("text").alias("size"), source_mixing.order_key("doc_id", "text").alias("key")))
+    return source_mixing.mix(docs, size="size", key="key").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ FROM g LEFT JOIN b USING (site)"""
 def _op7_sql() -> str:
     w = source_mixing.WEIGHTS
     return rf"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS ss, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS r FROM d GROUP BY source),
 a AS (SELECT *, ([{w[0]}.0, {w[1]}.0, {w[2]}.0]::DOUBLE[])[((r - 1) % 3 + 1)::INT] AS w, ({source_mixing.MOST} * ss)::DOUBLE AS cap, {source_mixing.SHARE} * sum(ss) OVER () AS total FROM s),
 l AS (SELECT *, row_number() OVER o AS f, (total::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level

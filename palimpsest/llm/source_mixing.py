@@ -6,7 +6,8 @@ source; the key's range is cut into ranges of about `per_range` documents, so th
 inside a range and, over one row a range, across them. A source is taken whole as often as its target holds it (epochs),
 then by key up to the exact rest of its budget.
 
-Null text has size 0. A null source is a source of its own, the last. Rows that are alike in id, size and source are
+Null text has size 0. A null source is a source of its own, the last. Keys come from id and text, so rows without id, or
+under one id, fall into all ranges. Rows that are alike in id, text and source share a range and are
 interchangeable: a cut between them takes the same words whichever comes first. An empty table, or sources of size 0, take 0
 words. Other columns stay; a column named like an output is replaced.
 """
@@ -28,6 +29,11 @@ def n_words(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def order_key(id_col: str, text: str) -> Column:
+    """The hash-random key of a row, from its id and its text, so that rows without id or under one id are spread too."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit(""))))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, n_docs, weight, target from one row a source (source, source_size, n_docs)."""
     by_code_point = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
@@ -46,13 +52,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return out.withColumn("target", F.least(F.col("cap"), F.coalesce(first_free * F.col("weight"), F.col("cap")))).select("source", "source_size", "n_docs", "weight", "target")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, per_range: int = PER_RANGE, whole: bool = False, size: str | None = None) -> DataFrame:
-    """df with size, source_size, target and taken (words, repeats counted). size: a column that has the sizes already.
+def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, per_range: int = PER_RANGE, whole: bool = False, size: str | None = None, key: str | None = None) -> DataFrame:
+    """df with size, source_size, target and taken (words, repeats counted). size, key: columns that have the sizes
+    and the order keys already, for a table without texts.
 
     whole: take the document at the cut whole if that comes nearer to the budget, else not at all, and add `copies`.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = df.withColumn("size", F.col(size).cast("long") if size else n_words(text)).withColumn("__source", F.col(source)).withColumn("__key", key)
+    sized = df.withColumn("size", F.col(size).cast("long") if size else n_words(text)).withColumn("__source", F.col(source)).withColumn("__key", F.col(key) if key else order_key(id_col, text))
     per_source = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goals = targets(per_source, weights, share, most).withColumn("__ranges", F.ceil(F.col("n_docs") / per_range))
     goals = goals.select(F.col("source").alias("__goal"), "source_size", "target", "__ranges")

@@ -281,6 +281,14 @@ def test_mixing_equals_sql(same):
     assert same(queries.op7_source_mixing, queries.oracle_sql()["op7_source_mixing"]) > 0
 
 
+def test_mixing_spreads_rows_without_id(spark):
+    """Rows without id, or all under one id, fall into all ranges of the key."""
+    for doc_id in (None, 7):
+        keys = spark.range(8000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).select(source_mixing.order_key("doc_id", "text").alias("key"))
+        parts = [r["count"] for r in keys.groupBy(F.substring("key", 1, 1)).count().collect()]
+        assert len(parts) == 16 and all(400 < n < 600 for n in parts)
+
+
 def test_mixing_edges(spark):
     rows = [(i, "w " * (i % 7), None if i % 5 == 0 else f"s{i % 3}") for i in range(200)] + [(None, None, "s1"), (1, "w ", "s1"), (1, "w ", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("taken", F.lit("x"))
