@@ -66,8 +66,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those of documents are left out. An empty table stays empty.
     """
     keyed = docs.select(*COLUMNS, row_key(*COLUMNS).alias("key"))
-    sized = cut(keyed.select("key", "doc_id", "source", source_mixing.n_words("text").alias("size")))
-    mixed = source_mixing.mix(sized, size="size", whole=True).groupBy("key").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
+    sized = cut(keyed.select("key", "doc_id", "source", source_mixing.n_words("text").alias("size"), source_mixing.order_key("doc_id", "text").alias("order")))
+    mixed = source_mixing.mix(sized, size="size", key="order", whole=True).groupBy("key").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("rows"))
     mixed = cut(mixed.select("key", F.expr("all div rows").alias("copies"), F.expr("all % rows").alias("more")))
     copied = lambda df, n: df.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("copy")).select(*COLUMNS)
     out = copied(keyed.join(mixed.filter("copies > 0").select("key", "copies"), "key"), "copies")
