@@ -47,9 +47,9 @@ def x4_normalise_value(spark, sf_dir):
 
 @query()
 def x5_normalise_topic(spark, sf_dir):
-    """The topic of every sentence's opening words."""
+    """The topic that every sentence makes, taken whole."""
     each = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_no", "s"))
-    return each.select("doc_id", "sentence_no", T.normalise_topic(F.array_join(F.slice(F.split("s", " "), 1, 3), " ")).alias("topic"))
+    return each.select("doc_id", "sentence_no", T.normalise_topic(F.col("s")).alias("topic"))
 
 
 @query(DOCS + r"SELECT doc_id, (len(regexp_extract_all(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), '[.!?]\s+')) + CASE WHEN regexp_matches(text, '\S') THEN 1 ELSE 0 END)::BIGINT AS n_sentences FROM d")
@@ -121,9 +121,10 @@ def w1_client_written_ranges(spark, sf_dir):
     return tagged(spark, sf_dir).select("conv_id", "turn_index", spans.alias("ranges"))
 
 
-@query()
+@query(with_("turns") + f"SELECT conv_id, turn_index, length(content) AS tool_end, CASE WHEN content = '' THEN 0 ELSE length(content) + 1 END + {len('[Request interrupted by user]')} + 1 AS speaker_start, 1 AS n_client FROM turns WHERE role = 'user'")
 def w2_divide_by_writer(spark, sf_dir):
-    blocks = F.array(F.struct(F.lit("tool_result").alias("type"), F.substring("content", 1, 20).alias("text")), F.struct(F.lit("text").alias("type"), F.lit("[Request interrupted by user]").alias("text")), F.struct(F.lit("text").alias("type"), F.col("content").alias("text")))
+    """Each text as a tool's output, then the mark of an interruption, then the text as the person's."""
+    blocks = F.array(F.struct(F.lit("tool_result").alias("type"), F.col("content").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("[Request interrupted by user]").alias("text")), F.struct(F.lit("text").alias("type"), F.col("content").alias("text")))
     d = writers.divide_by_writer(blocks)
     return turns(spark, sf_dir).filter("role = 'user'").select("conv_id", "turn_index", d.alias("d")).select("conv_id", "turn_index", F.col("d.tool")[0].e.alias("tool_end"), F.col("d.speaker")[0].s.alias("speaker_start"), F.size("d.client").alias("n_client"))
 
