@@ -26,24 +26,51 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+def _own_numbers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with a number for each pair of id and text, and the numbers of more than one row.
+
+    The number is the id, except where ids are null or stand for several texts: there the text of least hash keeps the id, if
+    there is one, and the other pairs get numbers from 2^62 up by a hash that is salted anew until none of them clashes.
+    """
+    keyed = docs.withColumn("key", row_key("text"))
+    ids = cut(keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least"), F.max("key").alias("most")).filter("rows > 1 or doc_id is null"))
+    again = ids.filter("doc_id is not null and least = most").select(F.col("doc_id").alias("number"))
+    shared_ids = ids.filter("doc_id is not null and least <> most").select("doc_id")
+    if ids.filter("doc_id is null or least <> most").isEmpty():
+        return docs.withColumn("number", F.col("doc_id")), again
+    several = bounded(shared_ids)
+    named = keyed.filter("doc_id is not null").join(several, "doc_id", "left_semi").select(*COLUMNS, "key")
+    odd = named.union(keyed.filter("doc_id is null").select(*COLUMNS, "key"))
+    pairs = odd.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows")).join(ids.filter("doc_id is not null").select("doc_id", F.col("least").alias("key"), F.lit(True).alias("first")), ["doc_id", "key"], "left")
+    pairs, salt = cut(pairs), 0
+    while True:
+        drawn = F.xxhash64(F.lit(salt), "doc_id", "key").bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+        numbers = cut(pairs.select("doc_id", "key", "rows", "first", F.when(F.col("first"), F.col("doc_id")).otherwise(drawn).alias("number")))
+        new = numbers.filter("first is null").select("number")
+        twice = new.groupBy("number").count().filter("count > 1").select("number")
+        if twice.union(new.join(docs.select(F.col("doc_id").alias("number")), "number", "left_semi")).isEmpty():
+            break
+        salt += 1
+    plain = docs.filter("doc_id is not null").join(several, "doc_id", "left_anti").select(*COLUMNS, F.col("doc_id").alias("number"))
+    at = numbers.select(F.col("doc_id").alias("i"), F.col("key").alias("k"), "number")
+    given = odd.join(at, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))).select(*COLUMNS, "number")
+    return plain.union(given), again.union(numbers.filter("rows > 1").select("number"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the n-gram join links: the one whose id names it.
 
-    Of rows alike in id, which are one document, the first by all columns stays. Rows without id link with nothing; of those
-    with the same text the first stays. Null and empty texts with an id of their own stay. Long texts are compared whole.
-    Columns other than those of documents are left out. An empty table stays empty.
+    A document is a pair of id and text: of rows alike in both, the first by all columns stays; different texts under one id, or
+    without id, are different documents and go only if they are linked with another that stays. Null and empty texts link with
+    nothing. Long texts are compared whole. Columns other than those of documents are left out. An empty table stays empty.
     """
-    docs = docs.select(*COLUMNS)
-    found = cut(ngram_join.ngram_join(docs.select("doc_id", "text")))
-    others = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.filter("doc_id is not null").join(bounded(others.union(again).distinct()), "doc_id", "left_anti").select(*COLUMNS)
-    repeated = docs.join(bounded(again.join(others, "doc_id", "left_anti")), "doc_id", "left_semi")
+    docs, again = _own_numbers(docs.select(*COLUMNS))
+    found = cut(ngram_join.ngram_join(docs.select("number", "text"), id_col="number"))
+    others = found.filter("number <> component_id").select("number").distinct()
+    kept = docs.join(bounded(others.union(again).distinct()), "number", "left_anti").select(*COLUMNS)
+    repeated = docs.join(bounded(again.join(others, "number", "left_anti")), "number", "left_semi")
     first = F.min(F.struct(*COLUMNS)).alias("row")  # summed where the rows are, before any shuffle
-    nameless = docs.filter("doc_id is null").groupBy(row_key("text").alias("key"))
-    for rows in (repeated.groupBy("doc_id"), nameless):
-        kept = kept.union(rows.agg(first).select("row.*"))
-    return kept
+    return kept.union(repeated.groupBy("number").agg(first).select("row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
