@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -39,8 +40,12 @@ def _words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+#: Counts the tokens of a text; operators take one as a parameter, so that a vocabulary's own (a pandas UDF, say) can stand in.
+Counter = Callable[[Column], Column]
+
+
 def count_tokens(text: Column) -> Column:
-    """A quarter of the characters, rounded up. Pass another column function where a vocabulary is at hand."""
+    """A quarter of the characters, rounded up; null of null."""
     return F.ceil(F.char_length(text) / 4).cast("long")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import first_sentence
@@ -86,8 +86,15 @@ def spans_of(turns: DataFrame) -> DataFrame:
     return out.withColumn("turn_indices", F.transform("rows", lambda r: r.turn_index)).withColumn("text", F.array_join(F.transform("rows", lambda r: r.content), "\n")).drop("rows")
 
 
-def index_lines(turns: DataFrame) -> DataFrame:
-    """conv_id, span_no, index_line: the first sentence the person said in the span, else of its first turn that says something."""
+def index_lines(turns: DataFrame, writer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """conv_id, span_no, index_line: the first sentence the person said in the span, else of its first turn that says something.
+
+    A writer of one's own is a column function over the span's turns in order, an array of (turn_index, role, content); a null
+    line becomes an empty one.
+    """
+    if writer is not None:
+        said = F.array_sort(F.collect_list(F.struct("turn_index", "role", "content")))
+        return turns.groupBy("conv_id", "span_no").agg(said.alias("said")).select("conv_id", "span_no", F.coalesce(writer(F.col("said")), F.lit("")).alias("index_line"))
     words = F.regexp_replace("person_text", r"\s", "") != ""
     asked = F.min_by("person_text", F.when(F.col("said_by_user") & words, F.col("turn_index")))
     says = (F.regexp_replace("content", r"\s", "") != "") & (F.size("tool_result_ids") <= 0)

@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import asked_words, decision_score, density_score, density_signals, tokenize_words
+from palimpsest.functions.text import Counter, asked_words, count_tokens, decision_score, density_score, density_signals, tokenize_words
 
 
 def conv():
     return Window.partitionBy("conv_id")
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """An importance scorer of one's own: its part's name, its weight, and a column function of a span's text and tokens.
+
+    What it gives outside 0 to 1 counts as the nearer end, null as 0.
+    """
+
+    name: str
+    weight: float
+    score: Callable[[Column, Column], Column]
+
+
+PARTS = ("recency", "relevance", "decision", "density", "liveness", "score")
+
+
 @dataclass(frozen=True)
 class Weights:
-    """Shares of the parts in a span's score, and how fast recency fades by turn."""
+    """Shares of the parts in a span's score, how fast recency fades by turn, and scorers beside the own ones."""
 
     attention: float = 0.6
     decision: float = 0.2
     density: float = 0.2
     decay: float = 0.05
+    scorers: tuple[Scorer, ...] = ()
 
     def __post_init__(self):
-        if min(self.attention, self.decision, self.density) < 0 or self.total <= 0:
+        if min(self.attention, self.decision, self.density, *(s.weight for s in self.scorers)) < 0 or self.total <= 0:
             raise ValueError("weights must not be negative, and their sum must be positive")
+        if len({*PARTS, *(s.name for s in self.scorers)}) < len(PARTS) + len(self.scorers):
+            raise ValueError("every scorer needs a name of its own")
 
     @property
     def total(self) -> float:
-        return self.attention + self.decision + self.density
+        return self.attention + self.decision + self.density + sum(s.weight for s in self.scorers)
 
 
 def recency(last_turn: Column, newest: Column, decay: float = Weights.decay) -> Column:
@@ -69,19 +88,23 @@ def now_text(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(kept, lambda r: r.person_text), "\n").alias("now"))
 
 
-def span_scores(spans: DataFrame, now: DataFrame, newest: DataFrame, weights: Weights = Weights(), relevance: DataFrame | None = None) -> DataFrame:
-    """Spans with recency, relevance, decision, density, liveness and score. newest: conv_id, newest (turn)."""
+def span_scores(spans: DataFrame, now: DataFrame, newest: DataFrame, weights: Weights = Weights(), relevance: DataFrame | None = None, counter: Counter = count_tokens) -> DataFrame:
+    """Spans with recency, relevance, decision, density, liveness, a column for each scorer, and score. newest: conv_id, newest (turn)."""
     related = lexical_relevance(spans, now) if relevance is None else relevance
     out = spans.join(related, ["conv_id", "span_no"]).join(newest, "conv_id")
-    out = out.withColumns({"recency": recency(F.col("last_turn"), F.col("newest"), weights.decay), "decision": decision_score(F.col("text")), "density": density_score(F.col("text"), F.ceil(F.char_length("text") / 4))})
+    out = out.withColumns({"recency": recency(F.col("last_turn"), F.col("newest"), weights.decay), "decision": decision_score(F.col("text")), "density": density_score(F.col("text"), counter(F.col("text")))})
     out = out.withColumn("liveness", F.greatest("recency", "relevance"))
-    score = (weights.attention * F.col("liveness") + weights.decision * F.col("decision") + weights.density * F.col("density")) / weights.total
-    return out.withColumn("score", score).drop("newest")
+    earned = weights.attention * F.col("liveness") + weights.decision * F.col("decision") + weights.density * F.col("density")
+    for s in weights.scorers:
+        within = F.least(F.greatest(s.score(F.col("text"), counter(F.col("text"))).cast("double"), F.lit(0.0)), F.lit(1.0))
+        out = out.withColumn(s.name, F.coalesce(within, F.lit(0.0)))
+        earned = earned + s.weight * F.col(s.name)
+    return out.withColumn("score", earned / weights.total).drop("newest")
 
 
 def score_ceiling(weights: Weights = Weights()) -> float:
     """The best score that any span can reach."""
-    return (weights.attention + weights.decision + weights.density) / weights.total
+    return (weights.attention + weights.decision + weights.density + sum(s.weight for s in weights.scorers)) / weights.total
 
 
 def turn_scores(turns: DataFrame) -> DataFrame:

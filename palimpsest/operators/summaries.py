@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import count_tokens, decision_score, density_score, escape_delimiters, split_sentences
+from palimpsest.functions.text import Counter, count_tokens, decision_score, density_score, escape_delimiters, split_sentences
 
 RATIO, LEAST, WORDS_A_TOKEN, MARKER_TOKENS = 0.35, 64, 0.75, 6
 
@@ -34,9 +34,9 @@ def summary_requests(spans: DataFrame, transcripts: DataFrame) -> DataFrame:
     return out.select("conv_id", "span_no", "tokens", target.alias("target_tokens"), F.floor(target * WORDS_A_TOKEN).alias("target_words"), "transcript")
 
 
-def admit_summaries(candidates: DataFrame, spans: DataFrame, marker: int = MARKER_TOKENS) -> DataFrame:
+def admit_summaries(candidates: DataFrame, spans: DataFrame, marker: int = MARKER_TOKENS, counter: Counter = count_tokens) -> DataFrame:
     """C4: candidates (conv_id, span_no, text, stop_reason) with tokens and status: accepted or the reason it is refused."""
-    tokens = count_tokens(F.trim("text")) + marker
+    tokens = counter(F.trim("text")) + marker
     both = candidates.join(spans.select("conv_id", "span_no", F.col("tokens").alias("run")), ["conv_id", "span_no"]).withColumn("summary_tokens", tokens)
     status = F.when(~worth_compacting(F.col("run"), marker), "too_small").when(F.col("stop_reason") != "end_turn", "incomplete").when(F.trim("text") == "", "empty").when(F.col("summary_tokens") >= F.col("run"), "not_shorter").otherwise("accepted")
     return both.withColumn("status", status).drop("run")
@@ -49,10 +49,10 @@ def concat_summary(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id", "span_no").agg(F.concat_ws(" ", marker, F.array_join(F.transform(rows, lambda r: r.content), " ")).alias("summary_text"))
 
 
-def extractive_summary(spans: DataFrame) -> DataFrame:
+def extractive_summary(spans: DataFrame, counter: Counter = count_tokens) -> DataFrame:
     """The best sentences of a span by decision and density, in order, up to the target; a stand-in that needs no model."""
     each = spans.filter(worth_compacting(F.col("tokens"))).select("conv_id", "span_no", "tokens", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
-    n = count_tokens(F.col("sentence"))
+    n = counter(F.col("sentence"))
     each = each.withColumn("n", n).withColumn("s", F.round(decision_score(F.col("sentence")) + density_score(F.col("sentence"), n), 6))
     best = Window.partitionBy("conv_id", "span_no").orderBy(F.desc("s"), "pos")
     kept = each.withColumn("sum", F.sum("n").over(best)).filter(F.col("sum") <= summary_target(F.col("tokens")))

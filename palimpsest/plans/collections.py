@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.plans.levels import COMPACTED, KEPT, level_name
@@ -43,16 +43,32 @@ def switch_measures(plan: DataFrame, window_tokens: int, stale_ratio: float = 0.
     return plan.groupBy("conv_id").agg((F.sum("tokens") - F.sum("level_tokens")).alias("saving_tokens"), F.sum("level_tokens").alias("rewritten_tokens"), when("tokens").alias("stale_tokens"), F.lit(int(stale_ratio * window_tokens)).cast("long").alias("stale_bound_tokens"), when("thinking_tokens").alias("thinking_dropped"), when("attachment_tokens").alias("attachments_dropped"))
 
 
+#: D4's rules as expressions over the measures, in order: reason, condition, whether to switch.
+SWITCH_RULES = (
+    ("invalid", "least(rewritten_tokens, stale_tokens, stale_bound_tokens, min_saving_share) < 0", False),
+    ("tool_round_open", "tool_round_open", False),
+    ("no_saving", "saving_tokens <= 0", False),
+    ("requested", "requested", True),
+    ("cache_cold", "cache = 'cold'", True),
+    ("repays_rewrite", "saving_tokens >= min_saving_share * rewritten_tokens", True),
+    ("stale_weight_at_bound", "stale_tokens >= stale_bound_tokens", True),
+)
+WAITING = "waiting_for_payback"
+SWITCH_REASON = "CASE " + " ".join(f"WHEN {holds} THEN '{name}'" for name, holds, _ in SWITCH_RULES) + f" ELSE '{WAITING}' END"
+SWITCHES = "CASE " + " ".join(f"WHEN {holds} THEN {yes}" for _, holds, yes in SWITCH_RULES) + " ELSE false END"
+MEASURES = "saving_tokens BIGINT, rewritten_tokens BIGINT, stale_tokens BIGINT, stale_bound_tokens BIGINT, min_saving_share DOUBLE, cache STRING, requested BOOLEAN, tool_round_open BOOLEAN"
+
+
+def register_switch(spark: SparkSession) -> None:
+    """D4 as functions for SQL, over the measures in the order of MEASURES: switch_reason(...) and decide_switch(...)."""
+    for name, kind, body in (("switch_reason", "STRING", SWITCH_REASON), ("decide_switch", "BOOLEAN", SWITCHES)):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({MEASURES}) RETURNS {kind} RETURN {body}")
+
+
 def decide_switch(m: DataFrame) -> DataFrame:
     """M (saving_tokens, rewritten_tokens, stale_tokens, stale_bound_tokens, min_saving_share, cache, requested, tool_round_open)
     with switch and reason; the first rule that holds decides. Negative measures give reason `invalid`."""
-    bad = F.least("rewritten_tokens", "stale_tokens", "stale_bound_tokens", F.col("min_saving_share")) < 0
-    rules = [("invalid", bad, False), ("tool_round_open", F.col("tool_round_open"), False), ("no_saving", F.col("saving_tokens") <= 0, False), ("requested", F.col("requested"), True), ("cache_cold", F.col("cache") == "cold", True), ("repays_rewrite", F.col("saving_tokens") >= F.col("min_saving_share") * F.col("rewritten_tokens"), True), ("stale_weight_at_bound", F.col("stale_tokens") >= F.col("stale_bound_tokens"), True)]
-    reason, switch = None, None
-    for name, holds, yes in rules:
-        reason = F.when(holds, name) if reason is None else reason.when(holds, name)
-        switch = F.when(holds, yes) if switch is None else switch.when(holds, yes)
-    return m.withColumn("switch", switch.otherwise(False)).withColumn("reason", reason.otherwise("waiting_for_payback"))
+    return m.withColumns({"switch": F.expr(SWITCHES), "reason": F.expr(SWITCH_REASON)})
 
 
 def switch_result(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import GENERAL, count_tokens
+from palimpsest.functions.text import GENERAL, Counter, count_tokens
 from palimpsest.operators.facts import supersession_chain
 from palimpsest.plans.levels import ARCHIVED, COMPACTED, KEPT, OUT
 
@@ -56,9 +56,9 @@ def span_texts(spans: DataFrame, turns: DataFrame, notes: DataFrame | None = Non
     return out.withColumns({"kept_text": lines(F.col("quotes")), "compacted_text": compacted, "archived_text": lines(F.array(heading(ARCHIVED_AT)))}).drop("quotes", "facts", "notes")
 
 
-def level_costs(texts: DataFrame) -> DataFrame:
+def level_costs(texts: DataFrame, counter: Counter = count_tokens) -> DataFrame:
     """Tokens of each span at each level."""
-    return texts.withColumns({"kept_tokens": count_tokens(F.col("kept_text")), "compacted_tokens": count_tokens(F.col("compacted_text")), "archived_tokens": count_tokens(F.col("archived_text"))})
+    return texts.withColumns({f"{level}_tokens": counter(F.col(f"{level}_text")) for level in ("kept", "compacted", "archived")})
 
 
 def folded_lines(plan: DataFrame) -> DataFrame:
@@ -70,14 +70,14 @@ def folded_lines(plan: DataFrame) -> DataFrame:
     return runs.select("conv_id", "first_turn", "last_turn", "spans", line.alias("line"))
 
 
-def render_recap(plan: DataFrame) -> DataFrame:
+def render_recap(plan: DataFrame, counter: Counter = count_tokens, header: str = HEADER) -> DataFrame:
     """conv_id, content, token_count from a plan with the three texts; nothing for a conversation without spans."""
     text = F.when(F.col("level") == KEPT, F.col("kept_text")).when(F.col("level") == COMPACTED, F.coalesce("compacted_text", "kept_text")).otherwise(F.col("archived_text"))
     shown = plan.filter(F.col("level") > OUT).select("conv_id", "first_turn", text.alias("line"))
     lines = F.array_sort(F.collect_list(F.struct("first_turn", "line")))
-    content = F.concat(F.lit(HEADER), F.array_join(F.transform(lines, lambda r: r.line), "\n"))
+    content = F.concat(F.lit(header), F.array_join(F.transform(lines, lambda r: r.line), "\n"))
     out = shown.unionByName(folded_lines(plan).select("conv_id", "first_turn", "line")).groupBy("conv_id").agg(content.alias("content"))
-    return out.withColumn("token_count", count_tokens(F.col("content")))
+    return out.withColumn("token_count", counter(F.col("content")))
 
 
 def carry_instructions(instructions: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -103,11 +103,11 @@ def forwarded_request(context: DataFrame, instructions: DataFrame) -> DataFrame:
     return both.withColumn("seq", F.row_number().over(conv().orderBy("place", "content"))).drop("place")
 
 
-def sent_tokens(turns: DataFrame, instructions: DataFrame, thinking_valid_from: int = 0) -> DataFrame:
+def sent_tokens(turns: DataFrame, instructions: DataFrame, thinking_valid_from: int = 0, counter: Counter = count_tokens) -> DataFrame:
     """conv_id, text, thinking, attachments, instructions, total, estimated. turns: token_count, thinking_tokens, attachment_tokens, unsized_attachments."""
     still = F.when(F.col("turn_index") >= thinking_valid_from, F.col("thinking_tokens")).otherwise(0)
     sums = turns.groupBy("conv_id").agg(F.sum("token_count").alias("text_tokens"), F.sum(still).alias("thinking"), F.sum("attachment_tokens").alias("attachments"), F.coalesce(F.bool_or((F.col("unsized_attachments") > 0) | (F.col("thinking_tokens") > 0)), F.lit(False)).alias("estimated"))
-    told = instructions.select("conv_id", "content").distinct().groupBy("conv_id").agg(F.sum(count_tokens(F.col("content"))).alias("instruction_tokens"))
+    told = instructions.select("conv_id", "content").distinct().groupBy("conv_id").agg(F.sum(counter(F.col("content"))).alias("instruction_tokens"))
     both = sums.join(told, "conv_id", "left").withColumn("instruction_tokens", F.coalesce("instruction_tokens", F.lit(0)))
     return both.withColumn("total", F.col("text_tokens") + F.col("thinking") + F.col("attachments") + F.col("instruction_tokens"))
 

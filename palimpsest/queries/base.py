@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import BACK_REFERENCES, STOPWORDS, first_sentence
+from palimpsest.functions.text import BACK_REFERENCES, DECISIONS, DENSE, STOPWORDS
 from palimpsest.operators import exchanges, scoring
 from palimpsest.plans import levels, recap
-from palimpsest.sources.state import cut
+from palimpsest.sources.state import written
 from palimpsest.sources.turns import inline_instructions, turns_of
 
 #: Settings of the queries: conversations of the tables are short, so that the usual ones would cut little.
@@ -73,37 +73,47 @@ def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchanges.group_exchanges(split(spark, sf_dir).filter("not in_tail"), CAP)
 
 
-def spans(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    return exchanges.spans_of(condensed(spark, sf_dir) if rows is None else rows)
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchanges.spans_of(condensed(spark, sf_dir))
 
 
-def scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+def divided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns with in_tail, those before the cut with span_no, and their spans, each written once."""
+    t = written(split(spark, sf_dir))
+    rows = written(exchanges.group_exchanges(t.filter("not in_tail"), CAP))
+    return t, rows, written(exchanges.spans_of(rows))
+
+
+def scored_of(t: DataFrame, s: DataFrame) -> DataFrame:
     """Spans with recency, relevance and score, the greater of both."""
-    t = split(spark, sf_dir)
     newest = t.groupBy("conv_id").agg(F.max("turn_index").alias("newest"))
-    s = cut(spans(spark, sf_dir, rows))
     related = scoring.lexical_relevance(s, scoring.now_text(t))
     out = s.join(related, ["conv_id", "span_no"]).join(newest, "conv_id").withColumn("recency", scoring.recency(F.col("last_turn"), F.col("newest")))
     return out.withColumn("score", F.round(F.greatest("recency", "relevance"), 6)).drop("newest")
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, _, s = divided(spark, sf_dir)
+    return scored_of(t, s)
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored spans with their text at each level; the opening line, doubled, stands for a summary of longer spans."""
-    c = cut(condensed(spark, sf_dir))
-    s = scored(spark, sf_dir, c).join(exchanges.index_lines(c), ["conv_id", "span_no"])
+    t, rows, s = divided(spark, sf_dir)
+    lined = scored_of(t, s).join(exchanges.index_lines(rows), ["conv_id", "span_no"])
     summary = F.when(F.col("tokens") > 40, F.concat_ws(" ", "index_line", "index_line"))
-    return recap.span_texts(s.withColumn("summary_text", summary), c)
+    return recap.span_texts(lined.withColumn("summary_text", summary), rows)
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans ready for planning, written once; every third has a level already, and every fifth can't be archived."""
-    out = cut(recap.level_costs(texts(spark, sf_dir)))
+    out = written(recap.level_costs(texts(spark, sf_dir)))
     current = F.when((F.col("conv_id") + F.col("span_no")) % 3 == 0, (F.col("conv_id") % 4).cast("int"))
     return out.withColumns({"current": current, "archivable": (F.col("conv_id") + F.col("span_no")) % 5 != 0, "budget": F.lit(BUDGET), "fold_line_tokens": F.lit(FOLD_LINE)})
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(levels.plan_levels(costs(spark, sf_dir), BANDS))
+    return levels.plan_levels(costs(spark, sf_dir), BANDS)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +183,20 @@ CTES = {
     "chain": """SELECT *, CASE WHEN topic_label <> 'general' THEN lead(message_turn) OVER w END AS replaced_turn, CASE WHEN topic_label <> 'general' THEN lead(content) OVER w END AS replaced_by, CASE WHEN topic_label <> 'general' THEN lead(speaker) OVER w END AS replaced_speaker FROM filed
   WINDOW w AS (PARTITION BY conv_id, topic_label ORDER BY message_turn, seq)""",
 }
+
+
+def signs(source: str, keys: str, text: str, tokens: str) -> str:
+    """CTEs plain, signs and scores: decision and density (S1, S2) of a text.
+
+    Letters beyond ASCII become a sign that is part of a word, since this dialect's word edges know ASCII only.
+    """
+    quoted = lambda pattern: re.sub(r"^\(\?\w+\)", "", pattern).replace("'", "''")
+    return rf"""plain AS (SELECT {keys}, {tokens} AS n_tokens, regexp_replace({text}, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g') AS t FROM {source}),
+signs AS (SELECT {keys}, n_tokens, least(len(regexp_extract_all(t, '{quoted(DECISIONS)}', 0, 'i')) / 3.0::DOUBLE, 1.0::DOUBLE) AS decision, len(regexp_extract_all(t, '{quoted(DENSE)}')) AS signals FROM plain),
+scores AS (SELECT *, CASE WHEN n_tokens > 0 THEN least(signals::DOUBLE / n_tokens / 0.5::DOUBLE, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS density FROM signs)
+"""
+
+
 #: What each CTE reads, in order.
 READS = {name: [other for other in CTES if other != name and re.search(rf"\b(?:FROM|JOIN) {other}\b", sql)] for name, sql in CTES.items()}
 

@@ -120,11 +120,25 @@ def d3_switch_measures(spark, sf_dir):
     return _measured(spark, sf_dir)
 
 
-@query(with_("plan").rstrip() + f""", {MEASURES}, r AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'tool_round_open' WHEN saving_tokens <= 0 THEN 'no_saving' WHEN conv_id % 7 = 0 THEN 'requested' WHEN conv_id % 5 = 0 THEN 'cache_cold' WHEN saving_tokens >= 1.0 * rewritten_tokens THEN 'repays_rewrite' WHEN stale_tokens >= stale_bound_tokens THEN 'stale_weight_at_bound' ELSE 'waiting_for_payback' END AS reason FROM measures)
-SELECT conv_id, reason, reason NOT IN ('tool_round_open', 'no_saving', 'waiting_for_payback') AS switch FROM r""")
+SWITCH = with_("plan").rstrip() + f""", {MEASURES}, r AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN 'tool_round_open' WHEN saving_tokens <= 0 THEN 'no_saving' WHEN conv_id % 7 = 0 THEN 'requested' WHEN conv_id % 5 = 0 THEN 'cache_cold' WHEN saving_tokens >= 1.0 * rewritten_tokens THEN 'repays_rewrite' WHEN stale_tokens >= stale_bound_tokens THEN 'stale_weight_at_bound' ELSE 'waiting_for_payback' END AS reason FROM measures)
+SELECT conv_id, reason, reason NOT IN ('tool_round_open', 'no_saving', 'waiting_for_payback') AS switch FROM r"""
+
+
+def _to_decide(spark, sf_dir):
+    return _measured(spark, sf_dir).withColumns({"min_saving_share": F.lit(1.0), "cache": F.when(F.col("conv_id") % 5 == 0, "cold").otherwise("warm"), "requested": F.col("conv_id") % 7 == 0, "tool_round_open": F.col("conv_id") % 11 == 0})
+
+
+@query(SWITCH)
 def d4_decide_switch(spark, sf_dir):
-    m = _measured(spark, sf_dir).withColumns({"min_saving_share": F.lit(1.0), "cache": F.when(F.col("conv_id") % 5 == 0, "cold").otherwise("warm"), "requested": F.col("conv_id") % 7 == 0, "tool_round_open": F.col("conv_id") % 11 == 0})
-    return collections.decide_switch(m).select("conv_id", "reason", "switch")
+    return collections.decide_switch(_to_decide(spark, sf_dir)).select("conv_id", "reason", "switch")
+
+
+@query(SWITCH)
+def d4_switch_functions(spark, sf_dir):
+    """The same policy by its SQL functions."""
+    collections.register_switch(spark)
+    args = "saving_tokens, rewritten_tokens, stale_tokens, stale_bound_tokens, min_saving_share, cache, requested, tool_round_open"
+    return spark.sql(f"SELECT conv_id, switch_reason({args}) AS reason, decide_switch({args}) AS switch FROM {{m}}", m=_to_decide(spark, sf_dir))
 
 
 @query(with_("plan") + f"SELECT conv_id, count(*) FILTER (WHERE level = 0) AS n_folded, count(*) FILTER (WHERE level = 1) AS n_archived, count(*) FILTER (WHERE level = 2) AS n_compacted, count(*) FILTER (WHERE level = 3) AS n_kept, sum({_cost('level')})::BIGINT AS tokens_after, sum(tokens)::BIGINT AS tokens_before, (sum(tokens) - sum({_cost('level')}))::BIGINT AS tokens_saved FROM plan GROUP BY conv_id")

@@ -64,7 +64,8 @@ def s3_recency(spark, sf_dir):
 
 @query(with_("relevance") + "SELECT conv_id, span_no, round(relevance, 6) AS relevance FROM relevance")
 def s4_lexical_relevance(spark, sf_dir):
-    r = scoring.lexical_relevance(B.spans(spark, sf_dir), scoring.now_text(B.split(spark, sf_dir)))
+    t, _, s = B.divided(spark, sf_dir)
+    r = scoring.lexical_relevance(s, scoring.now_text(t))
     return r.select("conv_id", "span_no", F.round("relevance", 6).alias("relevance"))
 
 
@@ -73,14 +74,30 @@ def s5_now_text(spark, sf_dir):
     return scoring.now_text(B.split(spark, sf_dir))
 
 
-@query()
-def s6_span_score(spark, sf_dir):
-    t = B.split(spark, sf_dir)
+def _span_scores(spark, sf_dir, weights):
+    t, _, s = B.divided(spark, sf_dir)
     newest = t.groupBy("conv_id").agg(F.max("turn_index").alias("newest"))
-    out = scoring.span_scores(B.spans(spark, sf_dir), scoring.now_text(t), newest)
+    return scoring.span_scores(s, scoring.now_text(t), newest, weights)
+
+
+PARTS = with_("scored").rstrip() + ", " + B.signs("scored", "conv_id, span_no", "text", "ceil(length(text) / 4.0)") + ", parts AS (SELECT s.conv_id, s.span_no, text, s.recency, s.relevance, greatest(s.recency, s.relevance) AS liveness, decision, density FROM scored s JOIN scores USING (conv_id, span_no))\n"
+
+
+@query(PARTS + "SELECT conv_id, span_no, round(recency, 6) AS recency, round(relevance, 6) AS relevance, round(liveness, 6) AS liveness, round(decision, 6) AS decision, round(density, 6) AS density, round(0.6::DOUBLE * liveness + 0.2::DOUBLE * decision + 0.2::DOUBLE * density, 6) AS score FROM parts")
+def s6_span_score(spark, sf_dir):
+    out = _span_scores(spark, sf_dir, scoring.Weights())
     return out.select("conv_id", "span_no", *(F.round(c, 6).alias(c) for c in ("recency", "relevance", "liveness", "decision", "density", "score")))
 
 
+@query(PARTS + ", asks AS (SELECT *, least(len(text) - len(replace(text, '?', '')), 3) / 3.0::DOUBLE AS asking, greatest(0.0::DOUBLE, 1.0::DOUBLE - length(text) / 400.0::DOUBLE) AS brevity FROM parts)\nSELECT conv_id, span_no, round(asking, 6) AS asking, round(brevity, 6) AS brevity, round((0.5::DOUBLE * liveness + 0.25::DOUBLE * decision + 0.25::DOUBLE * density + 0.5::DOUBLE * asking + 0.25::DOUBLE * brevity) / 1.75::DOUBLE, 6) AS score FROM asks")
+def s6_own_scorers(spark, sf_dir):
+    """Two importance scorers beside the own ones, each with its weight: questions asked, and brevity."""
+    asking = scoring.Scorer("asking", 0.5, lambda text, tokens: F.regexp_count(text, F.lit(r"\?")) / 3.0)
+    brevity = scoring.Scorer("brevity", 0.25, lambda text, tokens: 1.0 - F.char_length(text) / 400.0)
+    out = _span_scores(spark, sf_dir, scoring.Weights(0.5, 0.25, 0.25, scorers=(asking, brevity)))
+    return out.select("conv_id", "span_no", *(F.round(c, 6).alias(c) for c in ("asking", "brevity", "score")))
+
+
 @query(with_("spans") + "SELECT conv_id, round(1.0, 6)::DOUBLE AS ceiling, count(*) AS spans FROM spans GROUP BY conv_id")
 def s7_score_ceiling(spark, sf_dir):
     return B.spans(spark, sf_dir).groupBy("conv_id").agg(F.lit(round(scoring.score_ceiling(), 6)).alias("ceiling"), F.count(F.lit(1)).alias("spans"))
@@ -126,11 +143,22 @@ def c5_concat_summary(spark, sf_dir):
     return summaries.concat_summary(B.condensed(spark, sf_dir))
 
 
-@query()
+@query(with_("spans").rstrip() + r""", pieces AS (SELECT conv_id, span_no, tokens, generate_subscripts(p, 1) AS pos, unnest(p) AS sentence FROM (SELECT conv_id, span_no, tokens,
+  list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS p FROM spans WHERE tokens > 6 / 0.65)),
+""" + B.signs("pieces", "conv_id, span_no, tokens, pos, sentence", "sentence", "ceil(length(sentence) / 4.0)::BIGINT") + """,
+ranked AS (SELECT *, sum(n_tokens) OVER (PARTITION BY conv_id, span_no ORDER BY round(decision + density, 6) DESC, pos) AS so_far FROM scores)
+SELECT conv_id, span_no, string_agg(sentence, ' ' ORDER BY pos) AS summary_text, sum(n_tokens)::BIGINT AS summary_tokens FROM ranked WHERE so_far <= least(greatest(64, floor(tokens * 0.35::DOUBLE)), tokens - 7) GROUP BY ALL""")
 def c6_extractive_summary(spark, sf_dir):
     return summaries.extractive_summary(B.spans(spark, sf_dir))
 
 
+@query(with_("condensed") + "SELECT conv_id, span_no, string_agg(role || ' ' || length(content), ', ' ORDER BY turn_index) AS index_line FROM condensed GROUP BY ALL")
+def g5_own_index_writer(spark, sf_dir):
+    """An index writer of one's own: who spoke in the span, and for how long."""
+    line = lambda said: F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit(" "), F.char_length(t["content"]).cast("string"))), ", ")
+    return exchanges.index_lines(B.condensed(spark, sf_dir), line)
+
+
 @query(with_("spans") + ", o AS (SELECT conv_id, span_no, tokens, sum(tokens) OVER (PARTITION BY conv_id ORDER BY span_no) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY span_no) AS k FROM spans), p AS (SELECT conv_id, span_no, tokens, k, tokens AS size, 0::BIGINT AS batch_no FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.span_no, o.tokens, o.k, CASE WHEN p.size + o.tokens > 200 THEN o.tokens ELSE p.size + o.tokens END, p.batch_no + (p.size + o.tokens > 200)::INT FROM p JOIN o ON o.conv_id = p.conv_id AND o.k = p.k + 1)\nSELECT conv_id, span_no, tokens, batch_no FROM p")
 def f4_fact_batches(spark, sf_dir):
     from palimpsest.operators import facts

@@ -128,6 +128,16 @@ def r3_annotate_spans(spark, sf_dir):
     return recap.annotate_spans(B.condensed(spark, sf_dir), facts.file_facts(B.facts(spark, sf_dir)))
 
 
+@query()
+def r3_facts_from_texts(spark, sf_dir):
+    """From the texts of turns to the notes of spans: facts read (F1), filed (F5), and those replaced later (F6) told beside their span.
+
+    No SQL, since it rests on F1; a test holds it against facts written out by hand.
+    """
+    rows = B.condensed(spark, sf_dir)
+    return recap.annotate_spans(rows, facts.file_facts(facts.extract_facts(B.turns(spark, sf_dir))))
+
+
 @query(with_("instructions", "cuts") + ", f AS (SELECT conv_id, content, min(turn) AS turn FROM instructions JOIN cuts USING (conv_id) WHERE turns_before < cut GROUP BY ALL)\nSELECT conv_id, list(content ORDER BY turn, content) AS instructions FROM f GROUP BY conv_id")
 def r4_carry_instructions(spark, sf_dir):
     return recap.carry_instructions(B.instructions(spark, sf_dir), B.cuts(spark, sf_dir))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import writers
 from palimpsest.operators import facts, scoring, summaries
 from palimpsest.operators.phrases import find_mentions
-from palimpsest.queries.base import Registry, _list, _line, read, turns, with_
+from palimpsest.queries.base import Registry, _line, _list, read, signs, turns, with_
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -177,12 +175,7 @@ def w10_message_range_check(spark, sf_dir):
     return writers.range_violations(t).select("conv_id", "turn_index")
 
 
-_quoted = lambda pattern: re.sub(r"^\(\?\w+\)", "", pattern).replace("'", "''")
-#: Letters beyond ASCII become a sign that is part of a word, since this dialect's word edges know ASCII only.
-SIGNS = with_("turns").rstrip() + rf""", plain AS (SELECT *, regexp_replace(content, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', '_', 'g') AS t FROM turns),
-signs AS (SELECT conv_id, turn_index, token_count, least(len(regexp_extract_all(t, '{_quoted(T.DECISIONS)}', 0, 'i')) / 3.0::DOUBLE, 1.0::DOUBLE) AS decision, len(regexp_extract_all(t, '{_quoted(T.DENSE)}')) AS signals FROM plain),
-scores AS (SELECT *, CASE WHEN token_count > 0 THEN least(signals::DOUBLE / token_count / 0.5::DOUBLE, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS density FROM signs)
-"""
+SIGNS = with_("turns").rstrip() + ", " + signs("turns", "conv_id, turn_index", "content", "token_count")
 
 
 @query(SIGNS + "SELECT conv_id, turn_index, round(decision, 6) AS decision FROM scores")
@@ -195,7 +188,7 @@ def s2_density_score(spark, sf_dir):
     return scoring.turn_scores(turns(spark, sf_dir)).select("conv_id", "turn_index", F.round("density", 6).alias("density"))
 
 
-@query(SIGNS + "SELECT conv_id, turn_index, decision, density, signals::INTEGER AS signals, signals || ' signals in ' || token_count || ' tokens, density ' || density::DECIMAL(18, 12)::DECIMAL(18, 4) AS reason FROM scores")
+@query(SIGNS + "SELECT conv_id, turn_index, decision, density, signals::INTEGER AS signals, signals || ' signals in ' || n_tokens || ' tokens, density ' || density::DECIMAL(18, 12)::DECIMAL(18, 4) AS reason FROM scores")
 def s8_turn_scores(spark, sf_dir):
     return scoring.turn_scores(turns(spark, sf_dir)).select("conv_id", "turn_index", "decision", "density", "signals", "reason")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import count_tokens
+from palimpsest.functions.text import Counter, count_tokens
 
 BLOCK = "struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,is_error:boolean,content:string,signature:string,data:string,source:string,cache_control:struct<type:string,ttl:string>>"
 REQUEST = f"struct<model:string,system:array<{BLOCK}>,tools:array<struct<name:string,input_schema:string,cache_control:struct<type:string,ttl:string>>>,messages:array<struct<role:string,content:string>>>"
@@ -62,17 +62,17 @@ def lift_instructions(content: Column) -> tuple[Column, Column]:
     return F.regexp_replace(left, r"^\s+|\s+$", ""), F.transform(F.regexp_extract_all(content, F.lit(REMINDER), F.lit(0)), lambda x: F.rtrim(x))
 
 
-def _marked(r: str) -> Column:
+def _marked(r: str, counter: Counter) -> Column:
     """One row a tool and system block in order: struct<tokens, ttl, marked>."""
-    tools = F.transform(F.col(f"{r}.tools"), lambda t: F.struct(count_tokens(F.concat(F.coalesce(t["name"], F.lit("")), F.coalesce(t.input_schema, F.lit("")))).alias("tokens"), t.cache_control.ttl.alias("ttl"), t.cache_control.isNotNull().alias("marked")))
-    system = F.transform(F.col(f"{r}.system"), lambda b: F.struct(F.coalesce(count_tokens(b.text), F.lit(0)).alias("tokens"), b.cache_control.ttl.alias("ttl"), b.cache_control.isNotNull().alias("marked")))
+    tools = F.transform(F.col(f"{r}.tools"), lambda t: F.struct(counter(F.concat(F.coalesce(t["name"], F.lit("")), F.coalesce(t.input_schema, F.lit("")))).alias("tokens"), t.cache_control.ttl.alias("ttl"), t.cache_control.isNotNull().alias("marked")))
+    system = F.transform(F.col(f"{r}.system"), lambda b: F.struct(F.coalesce(counter(b.text), F.lit(0)).alias("tokens"), b.cache_control.ttl.alias("ttl"), b.cache_control.isNotNull().alias("marked")))
     none = F.array().cast("array<struct<tokens:bigint,ttl:string,marked:boolean>>")
     return F.concat(F.coalesce(tools, none), F.coalesce(system, none))
 
 
-def prompt_figures(log: DataFrame) -> DataFrame:
+def prompt_figures(log: DataFrame, counter: Counter = count_tokens) -> DataFrame:
     """request_id, fixed_prompt_tokens, uncached_prefix_tokens (after the last marker), cache_lifetime_s."""
-    rows = parsed_requests(log).filter("r is not null").withColumn("p", _marked("r"))
+    rows = parsed_requests(log).filter("r is not null").withColumn("p", _marked("r", counter))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x.tokens)
     last = F.coalesce(F.array_max(F.transform("p", lambda x, i: F.when(x.marked, i + 1).otherwise(0))), F.lit(0))
     after = F.slice("p", last + 1, F.greatest(F.lit(1), F.size("p")))
@@ -82,9 +82,9 @@ def prompt_figures(log: DataFrame) -> DataFrame:
     return rows.select("request_id", total(F.col("p")).alias("fixed_prompt_tokens"), total(after).alias("uncached_prefix_tokens"), life.alias("cache_lifetime_s"))
 
 
-def rewrite_overhead(figures: DataFrame, instructions: DataFrame) -> DataFrame:
+def rewrite_overhead(figures: DataFrame, instructions: DataFrame, counter: Counter = count_tokens) -> DataFrame:
     """I8: request_id, overhead_tokens: the uncached prefix, and each distinct instruction once. instructions: request_id, content."""
-    told = instructions.distinct().groupBy("request_id").agg(F.sum(count_tokens(F.col("content"))).alias("t"))
+    told = instructions.distinct().groupBy("request_id").agg(F.sum(counter(F.col("content"))).alias("t"))
     return figures.join(told, "request_id", "left").select("request_id", (F.col("uncached_prefix_tokens") + F.coalesce("t", F.lit(0))).alias("overhead_tokens"))
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import count_tokens
+from palimpsest.functions.text import Counter, count_tokens
 
 
 def by_turn():
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
-def turns_of(conversations: DataFrame) -> DataFrame:
+def turns_of(conversations: DataFrame, counter: Counter = count_tokens) -> DataFrame:
     """conv_id, turn_index, role, content, token_count; system rows are instructions and take no index."""
     said = conversations.filter("role <> 'system'")
-    return said.select("conv_id", (F.row_number().over(by_turn()) - 1).cast("long").alias("turn_index"), "role", F.col("text").alias("content"), count_tokens(F.col("text")).alias("token_count"))
+    return said.select("conv_id", (F.row_number().over(by_turn()) - 1).cast("long").alias("turn_index"), "role", F.col("text").alias("content"), counter(F.col("text")).alias("token_count"))
 
 
 def inline_instructions(conversations: DataFrame) -> DataFrame:
