@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,31 +75,96 @@ def turn_totals(requests: DataFrame) -> DataFrame:
     return requests.groupBy("client_session", "turn_no").agg(F.count(F.lit(1)).alias("requests"), F.sum("tokens_from_client").alias("tokens_from_client"), F.sum("tokens_forwarded").alias("tokens_forwarded"), (F.sum("tokens_from_client") - F.sum("tokens_forwarded")).alias("tokens_saved"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), write.alias("collection_cache_write_tokens"), ended.alias("ended_at"))
 
 
+#: So many rows of a session, and the rest of the stretch that they end in, are linked by one task.
+STRETCH = 20_000
+
+
 def link_subagents(calls: DataFrame, openings: DataFrame, minutes: int = 10) -> DataFrame:
     """T5: client_session, call_id, opening_id: one to one, the longest prompt first, then the earliest call.
 
-    Candidate pairs come from ten-minute bands. A pair that stands first for both its call and its opening is what the choice
-    one by one would take, whatever else happens; such pairs are taken in rounds, each written once, until none is left.
-    Null ids link with nothing; rows alike in an id count as one call or opening.
+    A session falls into stretches where nothing happens for longer than `minutes`; no link crosses such a gap. Stretches are dealt
+    over tasks, some to a group, and each group's links are chosen in order without laying out the pairs. Null ids link with nothing; rows
+    alike in an id count as one call or opening, so what stands between them stays together.
     """
-    band = lambda c: F.floor(seconds(F.col(c)) / (60 * minutes))
-    near = openings.withColumn("band", F.explode(F.array(band("opened_at") - 1, band("opened_at"), band("opened_at") + 1)))
-    pairs = calls.withColumn("band", band("called_at")).join(near, ["client_session", "band"])
-    gap = F.abs(seconds(F.col("opened_at")) - seconds(F.col("called_at")))
-    pairs = pairs.filter(F.contains("opening", "prompt") & (gap <= 60 * minutes)).select("client_session", "call_id", "opening_id", F.char_length("prompt").alias("n"), "called_at", "opened_at")
-
-    order = [F.desc("n"), "called_at", "opened_at", "call_id", "opening_id"]
-    by_call, by_opening = Window.partitionBy("client_session", "call_id").orderBy(*order), Window.partitionBy("client_session", "opening_id").orderBy(*order)
-    left, taken = pairs.filter("call_id is not null and opening_id is not null"), []
-    while True:
-        ranked = cut(left.withColumns({"of_call": F.row_number().over(by_call), "of_opening": F.row_number().over(by_opening)}))
-        best = ranked.filter("of_call = 1 and of_opening = 1").select("client_session", "call_id", "opening_id")
-        taken.append(best)
-        if ranked.isEmpty():
-            return reduce(DataFrame.unionByName, taken)
-        left = ranked.drop("of_call", "of_opening")
-        for side in ("call_id", "opening_id"):
-            left = left.join(best.select("client_session", side), ["client_session", side], "left_anti")
+    id_of, of = dict(calls.dtypes)["call_id"], dict(openings.dtypes)["opening_id"]
+    own = calls.select("client_session", seconds(F.col("called_at")).alias("at"), "call_id", F.lit(None).cast(of).alias("opening_id"), F.col("prompt").alias("words")).filter("call_id is not null")
+    other = openings.select("client_session", seconds(F.col("opened_at")).alias("at"), F.lit(None).cast(id_of).alias("call_id"), "opening_id", F.col("opening").alias("words")).filter("opening_id is not null")
+    sides = own.unionByName(other).filter("client_session is not null and at is not null and words is not null")
+    in_order = Window.partitionBy("client_session").orderBy("at")
+    before, so_far = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(Window.unboundedPreceding, 0)
+    sides = sides.withColumn("until", F.max("at").over(Window.partitionBy("client_session", "call_id", "opening_id")))
+    sides = sides.withColumns({"reach": F.max("until").over(before), "no": F.row_number().over(in_order)})
+    begins = F.when(F.col("reach").isNull() | (F.col("at") - F.col("reach") > 60 * minutes), F.col("no"))
+    sides = sides.withColumn("stretch", F.floor(F.max(begins).over(so_far) / STRETCH)).drop("until", "reach", "no")
+
+    def link(rows: pa.Table) -> pa.Table:
+        return _links(rows, 60 * minutes)
+
+    return sides.groupBy("client_session", "stretch").applyInArrow(link, f"client_session {dict(calls.dtypes)['client_session']}, call_id {id_of}, opening_id {of}")
+
+
+def _links(rows: pa.Table, within: float) -> pa.Table:
+    """The links of whole stretches, chosen one by one; a call finds the next free opening that holds its prompt by skipping taken ones."""
+    both = list(zip(*(rows.column(c).to_pylist() for c in ("at", "call_id", "opening_id", "words")), strict=True))
+    openings = sorted((at, o, words) for at, _, o, words in both if o is not None)
+    times = [at for at, _, _ in openings]
+    calls = sorted(((-len(words), at, c, words) for at, c, _, words in both if c is not None), key=lambda x: x[:3])
+
+    # Of each prompt the openings that hold it, those near one of its calls only, and from each place the next that is free.
+    held: dict[str, list[int]] = {}
+    for _, at, _, words in calls:
+        fits = held.setdefault(words, [0])
+        first = max(bisect_left(times, at - within - 0.001), fits[0])
+        last = max(bisect_right(times, at + within + 0.001), first)
+        fits += [k for k in range(first, last) if words in openings[k][2]]
+        fits[0] = last
+    for fits in held.values():
+        del fits[0]
+    skip = {words: list(range(len(fits) + 1)) for words, fits in held.items()}
+    called, opened = set(), set()
+
+    def free(words: str, at: float, k: int) -> int | None:
+        """The first place from k on that the call may take."""
+        fits, to = held[words], skip[words]
+        while True:
+            path = []
+            while k < len(fits) and (to[k] != k or openings[fits[k]][1] in opened):
+                path.append(k)
+                k = to[k] if to[k] != k else k + 1
+            for x in path:
+                to[x] = k
+            if k == len(fits) or times[fits[k]] - at > within:
+                return None
+            if at - times[fits[k]] <= within:
+                return k
+            k += 1
+
+    links = []
+    for (_, at), tied in groupby(calls, key=lambda x: x[:2]):
+        waiting = []
+
+        def stand(call, words: str, k: int, at: float = at, waiting: list = waiting) -> None:
+            k = free(words, at, k)
+            if k is not None:
+                heappush(waiting, (times[held[words][k]], call, openings[held[words][k]][1], words, k))
+
+        for _, _, call, words in tied:
+            if call not in called:
+                stand(call, words, bisect_left(held[words], bisect_left(times, at - within - 0.001)))
+        while waiting:
+            _, call, opening, words, k = heappop(waiting)
+            if call in called:
+                continue
+            if opening in opened:
+                stand(call, words, k)
+                continue
+            called.add(call)
+            opened.add(opening)
+            links.append((call, opening))
+    kinds = rows.schema
+    session = [rows.column("client_session")[0].as_py()] * len(links)
+    columns = [session, [c for c, _ in links], [o for _, o in links]]
+    return pa.table([pa.array(v, kinds.field(c).type) for v, c in zip(columns, ("client_session", "call_id", "opening_id"), strict=True)], names=["client_session", "call_id", "opening_id"])
 
 
 def subagent_turns(requests: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,16 @@ def test_links_one_to_one_as_one_by_one(spark):
     assert {(r.call_id, r.opening_id) for r in got.collect()} == want and len(want) > 10
 
 
+def test_links_of_rows_alike_in_time(spark):
+    """Copies of calls and openings at one time are linked in one pass, not in a round for each copy; ids that come again hold their stretch together."""
+    at, start = datetime.datetime(2024, 1, 1), time.time()
+    calls = [("s", i, "a", at) for i in range(400)] + [("t", 1, "a", at), ("t", 1, "a", at + datetime.timedelta(hours=2)), (None, 2, "a", at)]
+    opened = [("s", i, "ab", at) for i in range(399, -1, -1)] + [("t", 7, "xa", at), ("t", 8, "a", at + datetime.timedelta(hours=2)), (None, 9, "a", at)]
+    got = requests.link_subagents(spark.createDataFrame(calls, "client_session string, call_id long, prompt string, called_at timestamp"), spark.createDataFrame(opened, "client_session string, opening_id long, opening string, opened_at timestamp"))
+    assert sorted(map(tuple, got.collect())) == [("s", i, i) for i in range(400)] + [("t", 1, 7)]
+    assert time.time() - start < 60
+
+
 def test_nested_subagents_of_any_depth(spark):
     rows = [("s", 1, None, 4, 1, None)] + [("s", k, f"a{k}", 90 + k, k, k - 1) for k in range(2, 12)]
     rows += [("s", 20, "x", 7, 20, 21), ("s", 21, "y", 8, 21, 20), ("s", 30, "alone", 9, 30, None)]
