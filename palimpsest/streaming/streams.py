@@ -107,10 +107,17 @@ def stream_settle(requests: DataFrame, later: DataFrame, within: str = "1 day")
 
 
 def stream_spawn_pairs(calls: DataFrame, openings: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Q6: candidate pairs of calls and openings, in either order within ten minutes; the greedy choice follows by batch."""
-    a = calls.withWatermark("called_at", within).alias("a")
-    b = openings.withWatermark("opened_at", within).alias("b")
-    near = f"a.client_session = b.client_session and b.opened_at >= a.called_at - interval {within} and b.opened_at <= a.called_at + interval {within} and contains(b.opening, a.prompt)"
+    """Q6: candidate pairs of calls and openings, in either order within ten minutes; the greedy choice follows by batch.
+
+    Sides meet by session and band of time, a band as wide as a call looks around itself, so that a side is held against those near it
+    and not against its whole session.
+    """
+    wide = F.expr(f"2 * unix_micros(timestamp_seconds(0) + interval {within})")
+    band = lambda at: F.floor(F.unix_micros(F.expr(at)) / wide)
+    bands = F.sequence(band(f"called_at - interval {within}"), band(f"called_at + interval {within}"))
+    a = calls.withWatermark("called_at", within).withColumn("band", F.explode(bands)).alias("a")
+    b = openings.withWatermark("opened_at", within).withColumn("band", band("opened_at")).alias("b")
+    near = f"a.client_session = b.client_session and a.band = b.band and b.opened_at >= a.called_at - interval {within} and b.opened_at <= a.called_at + interval {within} and contains(b.opening, a.prompt)"
     return a.join(b, F.expr(near)).select("a.client_session", "call_id", "opening_id", "called_at", "opened_at")
 
 
