@@ -270,7 +270,7 @@ def q1_stream_collections(spark, sf_dir):
 def q1_stream_passes(spark, sf_dir):
     """Turns as a stream: spans, staged or switched, with their levels after the newest reply; as d8_backfill_collections gives them."""
     live = streams.Collections(spark, f"{state_folder(spark)}/collections-{uuid.uuid4()}", B.as_turns, PASSES_)
-    streams.run(streams.open_stream(spark, f"{sf_dir}/conversations.parquet"), each=live.each)
+    streams.run(streams.open_stream(spark, f"{sf_dir}/conversations.parquet", size=streams.BACKLOG), each=live.each)
     return live.state["spans"].read().select("conv_id", "span_no", "first_turn", "last_turn", "staged", "level")
 
 

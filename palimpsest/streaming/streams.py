@@ -18,14 +18,22 @@ from palimpsest.sources.state import BucketTable, state_folder, written
 MARGIN_S = 5
 
 
-def open_stream(spark: SparkSession, path: str, files: int | None = 1) -> DataFrame:
-    """A Parquet folder or file as a stream, its schema read from the files; `files` a trigger, None for all at once.
+#: So many bytes of files make a batch of a backlog: a batch costs its rounds of jobs however little it holds.
+BACKLOG = 1 << 30
+
+
+def open_stream(spark: SparkSession, path: str, files: int | None = 1, size: int | None = None) -> DataFrame:
+    """A Parquet folder or file as a stream, its schema read from the files; `files` a trigger, None for all at once, or `size` bytes.
 
     Files are in no order of time, so what stands behind a watermark reads all at once: else a file's newest row makes rows of
     later files late.
     """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern a single file may be a source too
+    if size is not None:
+        reader = reader.option("maxBytesPerTrigger", size)
+    elif files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern a single file may be a source too
 
 
 def run(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, folder: str | None = None) -> DataFrame | None:

@@ -1,6 +1,7 @@
 """Streams over many files in no order of time give the rows of the whole table."""
 
 import os
+import time
 
 import duckdb
 import pyarrow.parquet as pq
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import queries
 from palimpsest.plans import passes
+from palimpsest.queries import live
 from palimpsest.queries.base import as_turns
 from palimpsest.sources.state import BucketTable
 from palimpsest.streaming import streams
@@ -143,3 +145,29 @@ def test_links_on_a_stream_are_one_to_one(spark, tmp_path):
     rows = streams.run(streams.stream_spawn_links(replayed(spark, str(tmp_path), batches, schema))).collect()
     links = {(r.call_id, r.opening_id) for r in rows}
     assert links == {("c2", "o1"), ("c1", "o2"), ("c3", "o3"), ("d1", "p1"), ("f1", "q2")} and len(rows) == 5
+
+
+def test_a_backlog_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
+    """Batches go by bytes, not by files: the passes of a stream cost as many rounds as whole histories have."""
+    talks = [(c, i, "assistant" if i % 2 else "user", f"turn {i} of {c}") for c in range(6) for i in range(2)]
+    source = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame(talks, "conv_id long, turn int, role string, text string").repartition(5).write.parquet(source)
+    seen, each = [], streams.Collections.each
+    monkeypatch.setattr(streams.Collections, "each", lambda self, df, n: (seen.append(df.count()), each(self, df, n))[1])
+    live.q1_stream_passes(spark, str(tmp_path))
+    assert seen == [len(talks)]
+    seen.clear()
+    streams.run(streams.open_stream(spark, source, size=1), each=lambda df, n: seen.append(df.count()))
+    assert len(seen) > 1 and sum(seen) == len(talks)
+
+
+def test_pairs_of_a_long_session_meet_near_each_other_only(spark, tmp_path):
+    """Sides of one session over weeks: each is held against those of its minutes, so the pairs come in time."""
+    sides, start = 30_000, time.time()
+    spark.range(sides).selectExpr("id", "timestamp_seconds(1704067200 + id * 60) ts").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = streams.open_stream(spark, str(tmp_path / "t"), None).withColumn("client_session", F.lit("s"))
+    calls = rows.select("client_session", F.col("id").alias("call_id"), F.lit("a").alias("prompt"), F.col("ts").alias("called_at"))
+    openings = rows.select("client_session", F.col("id").alias("opening_id"), F.lit("ba").alias("opening"), F.col("ts").alias("opened_at"))
+    got = streams.run(streams.stream_spawn_pairs(calls, openings))
+    assert got.count() == got.select("call_id", "opening_id").distinct().count() == sum(min(sides, i + 11) - max(0, i - 10) for i in range(sides))
+    assert time.time() - start < 60
