@@ -62,7 +62,8 @@ def asked_words(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as one space, none at the ends; spaces that stand alone are left where they are."""
+    return F.trim(F.regexp_replace(text, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 @cache
@@ -76,9 +77,11 @@ def folded(text: Column) -> Column:
     """Text in which case doesn't count: lower case, then letters such as ß, ﬁ or ς as the letters that they stand for."""
     one, several = _folds()
     low = F.replace(F.translate(F.lower(text), "".join(one), "".join(one.values())), F.lit("ß"), F.lit("ss"))
-    # Ligatures are rare: only texts with one are gone through for each.
+    # Ligatures are rare: only texts with one are gone through for each. They are told by what is left without them, since a
+    # pattern tries its letters one after the other at every place.
     pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(x).alias("x")) for c, x in several.items()))
-    return F.when(low.rlike("[" + "".join(several) + "]"), F.aggregate(pairs, low, lambda s, p: F.replace(s, p.c, p.x))).otherwise(low)
+    whole = F.when(F.char_length(F.translate(low, "".join(several), "")) < F.char_length(low), F.aggregate(pairs, low, lambda s, p: F.replace(s, p.c, p.x))).otherwise(low)
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(whole)  # plain letters fold to themselves
 
 
 def normalise_value(text: Column) -> Column:
@@ -107,9 +110,10 @@ def strip_statement(sentence: Column) -> Column:
 
 
 def phrase_pattern(phrase: Column) -> Column:
-    """A pattern for the phrase as whole words, however they are spaced."""
-    escaped = F.regexp_replace(squeezed(phrase), r"([^\p{L}\p{N}\s_])", r"\\$1")
-    return F.concat(F.lit(r"(?iU)(?<!\w)"), F.replace(escaped, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))
+    """A pattern for the phrase as whole words, however they are spaced; its first letter is tried before the costlier look behind."""
+    line = squeezed(phrase)
+    escaped = lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}\s_])", r"\\$1")
+    return F.concat(F.lit("(?iU)(?="), escaped(F.substring(line, 1, 1)), F.lit(r")(?<!\w)"), F.replace(escaped(line), F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))
 
 
 def mentions(text: Column, phrase: Column) -> Column:

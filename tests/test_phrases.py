@@ -84,3 +84,25 @@ def test_a_topic_of_many_facts(spark):
     n = {form(rows.filter("message_turn % 5 > 0"), rows.filter("message_turn % 5 = 0")).count() for form in (facts.late_facts, facts.fold_facts)}
     assert len(n) == 1 and time.time() - start < 60
     assert facts.late_facts(rows.limit(0), rows.limit(0)).count() == 0
+
+
+def test_pattern_tries_the_first_letter_first(spark):
+    """The pattern with its first letter ahead finds what the plain one finds."""
+    rnd = random.Random(5)
+    say = lambda most: "".join(rnd.choice(PIECES) + rnd.choice(["", " ", "\t "]) for _ in range(rnd.randint(1, most)))
+    df = spark.createDataFrame([(say(12), rnd.choice(PIECES + [say(2)])) for _ in range(3000)] + [("a" * 9, ""), ("𝔸b", "𝔸B"), ("x 𝔸", "𝔸")], "text string, phrase string")
+    escaped = F.regexp_replace(T.squeezed(F.col("phrase")), r"([^\p{L}\p{N}\s_])", r"\\$1")
+    plain = F.concat(F.lit(r"(?iU)(?<!\w)"), F.replace(escaped, F.lit(" "), F.lit(r"\s+")), F.lit(r"(?!\w)"))
+    both = df.select("*", T.mentions(F.col("text"), F.col("phrase")).alias("m"), F.regexp_like("text", plain).alias("p"))
+    assert both.filter("m <> p").count() == 0 and both.filter("m").count() > 100 and T.phrase_pattern(F.lit("b c")) is not None
+    assert df.limit(1).select(T.phrase_pattern(F.lit("+b")).alias("x")).first().x.startswith(r"(?iU)(?=\+)")
+
+
+def test_folding_letters_of_long_texts(spark):
+    """Ligatures of any kind fold as the rule says, beside long texts that hold none and cost little."""
+    several = [c for c in map(chr, range(0x110000)) if c.lower() == c != c.casefold() and len(c.casefold()) > 1]
+    rows = spark.createDataFrame([(f"é {c} é",) for c in several] + [("Plain TEXT\u0085\u00a0 \t x ",)], "t string").select(T.normalise_value(F.col("t")).alias("v")).collect()
+    assert [r.v for r in rows] == [f"é {c.casefold()} é" for c in several] + ["plain text x"]
+    long, start = spark.range(0, 400, 1, 4).select(F.repeat(F.concat(F.lit("été où "), F.col("id").cast("string")), 15_000).alias("t")), time.time()
+    assert long.filter(F.length(T.folded(F.col("t"))) > 0).count() == 400
+    assert time.time() - start < 15
