@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import folded, mentions
 from palimpsest.sources.state import cut
 
-#: A phrase is known by so many of its first tokens: the greatest of these that it has.
+#: A phrase is known by so many of its first tokens: the greatest of these that it has. Each is twice the one before.
 ANCHORS = (1, 2, 4, 8)
 #: Anchors of up to so many phrases (a hash each) are sent to every executor, so that other tokens of texts are never shuffled.
 FEW = 200_000
@@ -20,23 +22,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(same, F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
 
 
-def _hash(words: Column, n: int) -> Column:
-    return F.xxhash64(F.lit(n), F.array_join(words, " "))
+def _runs(words: Column, then: Callable[[list[Column]], Column]) -> Column:
+    """then() of the hashes of all runs of each length in ANCHORS, by their first token; null where a run would pass the end.
+
+    A run's hash is that of its halves' hashes, so that no run's text is put together.
+    """
+
+    def halves(known: list[Column]) -> Column:
+        if len(known) == len(ANCHORS):
+            return then(known)
+        half, short = ANCHORS[len(known) - 1], known[-1]
+        both = F.transform(short, lambda x, i: F.when(i + half < F.size(short), F.xxhash64(x, F.get(short, i + half))))
+        both = F.transform(both, lambda x, i: F.when(i + 2 * half <= F.size(short), x))
+        return _once(both, lambda h: halves([*known, h]))
+
+    return _once(F.transform(words, lambda w: F.xxhash64(w)), lambda h: halves([h]))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then() of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def anchor(words: Column) -> Column:
     """The hash of a phrase's first tokens; null for a phrase without any."""
-    return F.coalesce(*(F.when(F.size(words) >= n, _hash(F.slice(words, 1, n), n)) for n in sorted(ANCHORS, reverse=True)))
+    return _runs(words, lambda runs: F.coalesce(*(F.get(r, F.lit(0)) for r in reversed(runs))))
 
 
 def anchors(words: Column) -> Column:
-    """The hashes of all runs of tokens in a text that a phrase could begin with."""
-
-    def runs(n: int) -> Column:
-        of = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: _hash(F.slice(words, i, F.lit(n)), n))
-        return F.when(F.size(words) >= n, of).otherwise(F.array().cast("array<bigint>"))
-
-    return F.array_distinct(F.concat(*map(runs, ANCHORS)))
+    """The hashes of all runs of tokens in a text that a phrase could begin with, and perhaps a null."""
+    return _runs(words, lambda runs: F.array_distinct(F.concat(*runs)))
 
 
 def find_mentions(texts: DataFrame, phrases: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
