@@ -248,14 +248,14 @@ def e8_question_message(spark, sf_dir):
     return E.question_message(probes(spark, sf_dir))
 
 
-def event_stream(spark, sf_dir, files=1):
-    return streams.open_stream(spark, f"{sf_dir}/events.parquet", files).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("client_session", F.concat(F.lit("s"), "user_id"))
+def event_stream(spark, sf_dir, files=None, size=None):
+    return streams.open_stream(spark, f"{sf_dir}/events.parquet", files, size).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("client_session", F.concat(F.lit("s"), "user_id"))
 
 
 @query(with_("plan") + "SELECT conv_id, span_no, level, tokens FROM plan")
 def q1_stream_collections(spark, sf_dir):
     """Turns as a stream, planned by the batch code for the conversations that each batch touches."""
-    stream = streams.open_stream(spark, f"{sf_dir}/conversations.parquet")
+    stream = streams.open_stream(spark, f"{sf_dir}/conversations.parquet", size=streams.BACKLOG)
     table = BucketTable(spark, ", ".join(f"{name} {kind}" for name, kind in stream.dtypes))
     plans = BucketTable(spark, "conv_id long, span_no long, level int, tokens long")
 
@@ -347,7 +347,7 @@ def q6_stream_one_to_one(spark, sf_dir):
 
 @query("SELECT user_id AS conv_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def q7_stream_health(spark, sf_dir):
-    e = event_stream(spark, sf_dir).select(F.col("user_id").alias("conv_id"), "event_id", F.col("event_type").alias("status"))
+    e = event_stream(spark, sf_dir, size=streams.BACKLOG).select(F.col("user_id").alias("conv_id"), "event_id", F.col("event_type").alias("status"))
     table = BucketTable(spark, "conv_id long, event_id long, status string")
     streams.run(e, each=streams.keep_latest(table, "event_id"))
     return table.read()
@@ -359,7 +359,7 @@ def q7_stream_passes(spark, sf_dir):
     table = BucketTable(spark, "conv_id long, pass_no long, status string, n_kept long, tokens_seen long, condensed_tokens long")
     path = f"{state_folder(spark)}/passes-{uuid.uuid4()}"
     passes(spark, sf_dir).select("conv_id", "pass_no", "status", "n_kept", "tokens_seen", "condensed_tokens").repartition(4).write.parquet(path)
-    streams.run(streams.open_stream(spark, path), each=streams.keep_passes(table))
+    streams.run(streams.open_stream(spark, path, size=streams.BACKLOG), each=streams.keep_passes(table))
     kept = health.transformation_ratio(health.gc_breakdown(table.read()))
     return kept.select("conv_id", "pass_no", "status", "n_kept", "ratio")
 
@@ -375,7 +375,7 @@ def q8_dedupe_requests(spark, sf_dir):
 SELECT conv_id, message_turn, topic_label, content, CASE WHEN lead(content) OVER (PARTITION BY conv_id, topic_label ORDER BY message_turn) IS NULL THEN 'active' ELSE 'superseded' END AS knowledge_status FROM k""")
 def q9_late_facts_stream(spark, sf_dir):
     """Events as facts without a speaker: the type is the value, three topics a user."""
-    e = event_stream(spark, sf_dir).select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("message_turn"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("topic_label"), F.col("event_type").alias("content"), F.lit("fact").alias("knowledge_type"), F.lit(None).cast("string").alias("speaker"))
+    e = event_stream(spark, sf_dir, size=streams.BACKLOG).select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("message_turn"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("topic_label"), F.col("event_type").alias("content"), F.lit("fact").alias("knowledge_type"), F.lit(None).cast("string").alias("speaker"))
     table = BucketTable(spark, "conv_id long, message_turn long, seq long, topic_label string, content string, knowledge_type string, speaker string, knowledge_status string")
     streams.run(e, each=streams.file_late_facts(table))
     return table.read().select("conv_id", "message_turn", "topic_label", "content", "knowledge_status")
