@@ -44,6 +44,11 @@ def _words(values: list[str]) -> Column:
 Counter = Callable[[Column], Column]
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then() of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def count_tokens(text: Column) -> Column:
     """A quarter of the characters, rounded up; null of null."""
     return F.ceil(F.char_length(text) / 4).cast("long")

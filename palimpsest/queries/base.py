@@ -97,23 +97,26 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_of(t, s)
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored spans with their text at each level; the opening line, doubled, stands for a summary of longer spans."""
-    t, rows, s = divided(spark, sf_dir)
+def texts(spark: SparkSession, sf_dir: str, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Scored spans with their text at each level; the opening line, doubled, stands for a summary of longer spans.
+
+    parts: what divided() gave, where a query reads it too.
+    """
+    t, rows, s = parts or divided(spark, sf_dir)
     lined = scored_of(t, s).join(exchanges.index_lines(rows), ["conv_id", "span_no"])
     summary = F.when(F.col("tokens") > 40, F.concat_ws(" ", "index_line", "index_line"))
     return recap.span_texts(lined.withColumn("summary_text", summary), rows)
 
 
-def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def costs(spark: SparkSession, sf_dir: str, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Spans ready for planning, written once; every third has a level already, and every fifth can't be archived."""
-    out = written(recap.level_costs(texts(spark, sf_dir)))
+    out = written(recap.level_costs(texts(spark, sf_dir, parts)))
     current = F.when((F.col("conv_id") + F.col("span_no")) % 3 == 0, (F.col("conv_id") % 4).cast("int"))
     return out.withColumns({"current": current, "archivable": (F.col("conv_id") + F.col("span_no")) % 5 != 0, "budget": F.lit(BUDGET), "fold_line_tokens": F.lit(FOLD_LINE)})
 
 
-def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.plan_levels(costs(spark, sf_dir), BANDS)
+def plan(spark: SparkSession, sf_dir: str, parts: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    return levels.plan_levels(costs(spark, sf_dir, parts), BANDS)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

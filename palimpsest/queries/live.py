@@ -15,7 +15,7 @@ from palimpsest.queries import planning
 from palimpsest.queries.base import Registry, turns, with_
 from palimpsest.queries.collecting import PASSES as PASSES_
 from palimpsest.queries.collecting import _filed
-from palimpsest.sources.state import BucketTable, state_folder
+from palimpsest.sources.state import BucketTable, state_folder, written
 from palimpsest.streaming import streams
 
 query = Registry()
@@ -165,10 +165,10 @@ def h20_fact_board(spark, sf_dir):
     return health.fact_board(states(spark, sf_dir)).select("conv_id", "speaker", "message_turn", "content", "reaches_model", "place")
 
 
-def probes(spark, sf_dir):
+def probes(spark, sf_dir, said=None):
     """A probe for each user turn of three words or more: its third word is the answer, the last turn's first word a replaced one."""
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    t = turns(spark, sf_dir).filter("role = 'user'").withColumn("w", words).filter(F.size("w") >= 3)
+    t = (turns(spark, sf_dir) if said is None else said).filter("role = 'user'").withColumn("w", words).filter(F.size("w") >= 3)
     return t.select("conv_id", F.col("turn_index").alias("probe_id"), F.concat(F.lit("What came after "), F.element_at("w", 2), F.lit("?")).alias("question"), F.array(F.element_at("w", 3)).alias("accept"), F.array(F.element_at("w", 1)).alias("reject"), F.col("turn_index").alias("established_at"))
 
 
@@ -215,7 +215,10 @@ def e3_split_answers(spark, sf_dir):
 
 
 def presence(spark, sf_dir):
-    return E.answer_presence(probes(spark, sf_dir), planning.context(spark, sf_dir))
+    """Where each probe's answer stands in what would be sent; turns are put in order once, for the probes too."""
+    parts = B.divided(spark, sf_dir)
+    asked = written(probes(spark, sf_dir, parts[0]).select("conv_id", "probe_id", "accept"))
+    return E.answer_presence(asked, planning.context(spark, sf_dir, parts))
 
 
 _present = with_("plan").rstrip() + f", {planning.RECAP}, {planning.CONTEXT}, {GRADED}, {PRESENCE}\n"

@@ -154,8 +154,10 @@ def r5_render_recap(spark, sf_dir):
 CONTEXT = "context AS (SELECT conv_id, -1 AS turn_index, 'user' AS role, content, ceil(length(content) / 4.0)::BIGINT AS token_count FROM recaps UNION ALL SELECT conv_id, turn_index, role, content, token_count FROM split WHERE in_tail)"
 
 
-def context(spark, sf_dir):
-    return recap.assemble_context(recap.render_recap(B.plan(spark, sf_dir)), B.split(spark, sf_dir).filter("in_tail"))
+def context(spark, sf_dir, parts=None):
+    """The recap and the tail; both start from the same written turns."""
+    parts = parts or B.divided(spark, sf_dir)
+    return recap.assemble_context(recap.render_recap(B.plan(spark, sf_dir, parts)), parts[0].filter("in_tail"))
 
 
 @query(with_("plan").rstrip() + f", {RECAP}, {CONTEXT}\nSELECT * FROM context")
