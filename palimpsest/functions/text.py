@@ -66,6 +66,21 @@ def asked_words(text: Column) -> Column:
     return F.array_except(significant_words(text), _words(BACK_REFERENCES))
 
 
+def counted_words(words: Column, asked: Column, few: int = 256) -> Column:
+    """An array of (word, c): how often each asked word that is among the words stands there. asked: distinct, without nulls.
+
+    Up to `few` such words are counted one by one; for more, words are sorted with a mark before each asked one, so that the
+    work stays in proportion to a long text.
+    """
+    pair = lambda w, c: F.struct(w.alias("word"), c.cast("long").alias("c"))
+    one_by_one = lambda words, met: F.transform(met, lambda w: pair(w, F.size(words) - F.size(F.array_remove(words, w))))
+    marked = lambda words, met: F.sort_array(F.concat(F.transform(met, lambda w: F.struct(w.alias("w"), F.lit(0).alias("k"))), F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(1).alias("k")))))
+    starts = lambda rows: F.filter(F.transform(rows, lambda r, i: F.when((i == 0) | (F.get(rows, i - 1)["w"] != r["w"]), F.struct(r["w"].alias("w"), r["k"].alias("k"), i.alias("i")))), lambda r: r.isNotNull())
+    runs = lambda heads, n: F.filter(F.transform(heads, lambda r, i: F.when(r["k"] == 0, pair(r["w"], F.coalesce(F.get(heads, i + 1)["i"], n) - r["i"] - 1))), lambda r: r.isNotNull())
+    sorted_ = lambda words, met: once(marked(words, met), lambda rows: once(starts(rows), lambda heads: runs(heads, F.size(rows))))
+    return once(words, lambda ws: once(F.array_intersect(ws, asked), lambda met: F.when(F.size(met) <= few, one_by_one(ws, met)).otherwise(sorted_(ws, met))))
+
+
 def squeezed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends; spaces that stand alone are left where they are."""
     return F.trim(F.regexp_replace(text, r"(?U)[^\S ]\s*| \s+", " "))

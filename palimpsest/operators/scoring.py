@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import Counter, asked_words, count_tokens, decision_score, density_score, density_signals, tokenize_words
+from palimpsest.functions.text import Counter, asked_words, count_tokens, counted_words, decision_score, density_score, density_signals, tokenize_words
 
 
 def conv():
@@ -57,20 +57,22 @@ def recency(last_turn: Column, newest: Column, decay: float = Weights.decay) ->
 
 
 def lexical_relevance(spans: DataFrame, now: DataFrame) -> DataFrame:
-    """conv_id, span_no, relevance. spans: conv_id, span_no, text; now: conv_id, now.
+    """conv_id, span_no, relevance. spans: conv_id, span_no, text; now: conv_id, now, a row a conversation.
 
-    Words are counted by (conversation, span, word) before anything meets; a span without an asked word scores 0.
+    Asked words are counted within a span's row, so that other words are never laid out, and what is counted meets once. A
+    span without an asked word scores 0.
     """
-    asked = now.select("conv_id", F.explode(asked_words(F.col("now"))).alias("word"))
-    counts = spans.select("conv_id", "span_no", F.explode(tokenize_words(F.col("text"))).alias("word")).groupBy("conv_id", "span_no", "word").agg(F.count(F.lit(1)).alias("c"))
-    met = counts.join(asked, ["conv_id", "word"])
-    used = met.groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("df"))
     sizes = spans.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    weight = F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))
-    weights = asked.join(used, ["conv_id", "word"], "left").join(sizes, "conv_id").select("conv_id", "word", weight.alias("weight"))
-    totals = weights.groupBy("conv_id").agg(F.sum("weight").alias("total"))
-    earned = met.join(weights, ["conv_id", "word"]).groupBy("conv_id", "span_no").agg(F.sum(F.col("weight") * F.col("c") / (F.col("c") + 1)).alias("earned"))
-    both = spans.select("conv_id", "span_no").join(earned, ["conv_id", "span_no"], "left").join(totals, "conv_id", "left")
+    asked = now.select("conv_id", asked_words(F.col("now")).alias("asked")).join(sizes, "conv_id")
+    told = F.explode(counted_words(tokenize_words(F.col("text")), F.col("asked"))).alias("w")
+    met = spans.join(asked, "conv_id").select("conv_id", "span_no", "n", F.size("asked").alias("n_asked"), told)
+    at, w = Window.partitionBy("conv_id", "w.word"), F.log(1 + F.col("n") / (1 + F.col("df")))
+    met = met.withColumns({"df": F.count(F.lit(1)).over(at), "first": F.col("span_no") == F.min("span_no").over(at)}).withColumn("weight", w)
+    once_a_word = F.coalesce(F.sum(F.when(F.col("first"), F.col("weight"))), F.lit(0.0))
+    earned = met.groupBy("conv_id", "span_no", "n", "n_asked").agg(F.sum(F.col("weight") * F.col("w.c") / (F.col("w.c") + 1)).alias("earned"), once_a_word.alias("total"), F.count_if("first").alias("words"))
+    unmet = (F.col("n_asked") - F.sum("words").over(conv())) * F.log(1 + F.col("n"))  # the weight of asked words in no span
+    earned = earned.select("conv_id", "span_no", "earned", (F.sum("total").over(conv()) + unmet).alias("total"))
+    both = spans.select("conv_id", "span_no").join(earned, ["conv_id", "span_no"], "left")
     return both.select("conv_id", "span_no", F.coalesce(F.try_divide("earned", "total"), F.lit(0.0)).alias("relevance"))
 
 

@@ -79,7 +79,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def divided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turns with in_tail, those before the cut with span_no, and their spans, each written once."""
-    t = written(split(spark, sf_dir))
+    t = written(split(spark, sf_dir).drop("parts", "call_words", "result_words", "tool_use_ids"))
     rows = written(exchanges.group_exchanges(t.filter("not in_tail"), CAP))
     return t, rows, written(exchanges.spans_of(rows))
 

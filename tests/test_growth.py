@@ -1,12 +1,15 @@
 """Steps that read each text once and lay out only what meets, held against plain loops."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import pyspark.sql.functions as F
 import pytest
 
 from palimpsest.functions import text as T
-from palimpsest.operators import phrases
+from palimpsest.operators import phrases, scoring
 
 PIECES = ["my", "SQL", "my  sql", "ſql", "Straße", "STRASSE", "c++", "C", "+", "a.b", "a", "b", "İ", "i", "…", "日本", "K", "k", "\n", "é", "***"]
 
@@ -35,3 +38,30 @@ def test_texts_are_read_once_for_small_groups(spark, tmp_path):
     got = phrases.find_mentions(texts, asked, ("conv_id",))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert got.count() == sum(i % 7 == i % 20 % 7 for i in range(200))
+
+
+@pytest.mark.parametrize("few", [256, 5, 0])
+def test_counted_words(spark, few):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, [rnd.choice(words) for _ in range(rnd.randint(0, 80))], rnd.sample([*words, "x"], rnd.randint(0, 30))) for k in range(200)]
+    out = spark.createDataFrame(rows, "k int, w array<string>, a array<string>").select("k", T.counted_words(F.col("w"), F.col("a"), few).alias("o"))
+    assert {r.k: {x.word: x.c for x in r.o} for r in out.collect()} == {k: {x: c for x, c in Counter(w).items() if x in a} for k, w, a in rows}
+
+
+def test_relevance_equals_loop_and_reads_texts_once(spark, tmp_path):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(25)] + ["the", "Mention"]
+    spans = [(c, s, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 15)))) for c in range(40) for s in range(rnd.randint(1, 6))] + [(None, 0, "w1")]
+    now = [(c, " ".join(rnd.choice([*words, f"own{c}"]) for _ in range(rnd.randint(0, 8)))) for c in range(38)] + [(99, "w1")]
+    spark.createDataFrame(spans, "conv_id long, span_no long, text string").write.parquet(str(tmp_path / "s"))
+    got = scoring.lexical_relevance(spark.read.parquet(str(tmp_path / "s")), spark.createDataFrame(now, "conv_id long, now string"))
+    asked = {c: set(re.findall("[a-z0-9]+", n.lower())) - {"the", "mention"} for c, n in now}
+    want = {}
+    for c, s, text in spans:
+        own = [re.findall("[a-z0-9]+", t.lower()) for c2, _, t in spans if c2 == c]
+        weight = {w: math.log(1 + len(own) / (1 + sum(w in o for o in own))) for w in asked.get(c, ())} if c is not None else {}
+        counts = Counter(re.findall("[a-z0-9]+", text.lower()))
+        want[c, s] = round(sum(x * counts[w] / (counts[w] + 1) for w, x in weight.items()) / sum(weight.values()), 9) if weight else 0.0
+    assert {(r.conv_id, r.span_no): round(r.relevance, 9) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(text#") == 1
